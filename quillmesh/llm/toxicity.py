@@ -22,7 +22,7 @@ from .langid import held_out
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
-_BEGINNINGS = (4, 5)
+_BEGINNINGS = (4, 5, 6, 7)
 
 
 def features(word: str) -> list[str]:
@@ -105,7 +105,7 @@ def _bags(names: list[str]):
     return bags
 
 
-def _fit(bags: list, start: np.ndarray, steps: int, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def _fit(bags: list, start: np.ndarray, steps: int, rate: float = 0.2, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that raise the likelihood of the bags' labels under noisy-or; Adam steps."""
     label = np.array([b.toxic for b in bags], float)
     plain = np.array([b.plain for b in bags], float)
@@ -131,7 +131,7 @@ def _fit(bags: list, start: np.ndarray, steps: int, rate: float = 0.1, decay: fl
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_features: int = 3000, docs_per_label: int = 8000, steps: int = 200) -> BagModel:
+def train(docs: DataFrame, labels: DataFrame, most_features: int = 3000, docs_per_label: int = 8000, steps: int = 400) -> BagModel:
     """Fit on labelled rows that crc32 mod 5 does not hold out.
 
     Features: at most ``most_features`` whose documents are far more often toxic than clean,
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = 3000, docs_pe
         return BagModel({}, -40.0)
     counts = known.select("text", "toxic").mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (total[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (total[0] + 1.0))
-    least = max(2, total[1] // 400)
+    least = max(2, total[1] // 100)
     chosen = counts.filter(F.col("toxic") >= least).withColumn("odds", odds).filter("odds >= 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "feature").limit(most_features).collect()
     names = [r.feature for r in chosen]
     if not names:
