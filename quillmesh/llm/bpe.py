@@ -16,26 +16,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import load
-from .common import column_bytes
+from .chunks import WordSplitter, byte_letters, load
+from .common import column_bytes, sliced
 
 
 class ForcedBoundaryBpe:
     """Encodes as the tokenizer file says: its normaliser and word splitter, then own fragments and merges."""
 
-    def __init__(self, path: str, most_kept: int = 300_000):
+    def __init__(self, path: str, most_kept: int = 400_000):
         self.library, self.most = load(path), most_kept
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {pair: rank for rank, pair in enumerate(merges)}
+        # a pair of ids to the rank of its rule, and the rank to the id it makes
+        self.ranks = {self.ids[a] << 32 | self.ids[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.made = [self.ids[a + b] for a, b in merges]
         self.inside = {word[i : i + 2] for token in self.ids for word in [token.removesuffix(self.suffix)] for i in range(len(word) - 1)}
-        self.specials = sorted((str(x.content) for x in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.splitter = WordSplitter(self.library)
         self.names = {i: x for x, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.fragments: dict[tuple[str, bool], list[int]] = {}
-        self.words: dict[bytes, tuple[bytes, str]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
 
     def cut(self, word: str) -> list[str]:
         """The fragments of a word: cuts where two bytes are in no token side by side."""
@@ -44,16 +46,20 @@ class ForcedBoundaryBpe:
 
     def merge(self, fragment: str, ends_word: bool) -> list[int]:
         """Ids of one fragment: the earliest merge rule first, leftmost first."""
-        parts = list(fragment)
+        letters = list(fragment)
         if ends_word:
-            parts[-1] += self.suffix
-        ranks = self.ranks
-        while len(parts) > 1:
-            rank, at = min((ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts if p in self.ids]
+            letters[-1] += self.suffix
+        ids, rank_of, none = [self.ids[x] for x in letters if x in self.ids], self.ranks.get, 1 << 60
+        ranks = [rank_of(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (rank := min(ranks)) != none:
+            at = ranks.index(rank)
+            ids[at : at + 2] = [self.made[rank]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of(ids[at - 1] << 32 | ids[at], none)
+            if at < len(ranks):
+                ranks[at] = rank_of(ids[at] << 32 | ids[at + 1], none)
+        return ids
 
     def encode_word(self, word: str) -> list[int]:
         cuts, out = self.cut(word), []
@@ -66,39 +72,35 @@ class ForcedBoundaryBpe:
             out += ids
         return out
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """A chunk without white space; special tokens in it are taken as the library takes them."""
-        for special in self.specials:
-            if special in chunk:
-                left, _, right = chunk.partition(special)
-                return [*self.encode_chunk(left), self.library.token_to_id(special), *self.encode_chunk(right)]
-        plain = self.library.normalizer.normalize_str(chunk)
-        return [i for word, _ in self.library.pre_tokenizer.pre_tokenize_str(plain) for i in self.encode_word(word)]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        new = list({c for c in chunks if c not in self.words})
-        if len(self.words) + len(new) > self.most:
+    def _word(self, word: str) -> tuple[bytes, str]:
+        """(ids as bytes, the tokens with a space between) of one plain word."""
+        if len(self.words) >= self.most:
             self.words.clear()
-            new = list(set(chunks))
-        for chunk in new:
-            ids = self.encode_chunk(chunk.decode())
-            self.words[chunk] = np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids])
+        ids = self.encode_word(byte_letters(word))
+        found = self.words[word] = self._packed(ids)
+        return found
+
+    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
+        return b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([self.names[i] for i in ids])
 
     def encode(self, text: bytes) -> tuple[bytes, str]:
-        """(ids as little-endian 32-bit integers, the decoded text). White space always ends a word."""
-        chunks = text.split()
-        try:
-            found = [self.words[c] for c in chunks]
-        except KeyError:
-            self._learn(chunks)
-            found = [self.words[c] for c in chunks]
+        """(ids as little-endian 32-bit integers, the decoded text)."""
+        string, found = text.decode(), []
+        if self.splitter.is_plain(string):
+            known = self.words
+            for word in self.splitter.plain(string):
+                x = known.get(word)
+                found.append(self._word(word) if x is None else x)
+        else:
+            for word, special in self.splitter.other(string):
+                found.append(self._packed([self.library.token_to_id(word)] if special else self.encode_word(word)))
         return b"".join([x for x, _ in found]), " ".join([x for _, x in found if x])
 
 
 def _encoding(path: str):
     def encode(batches):
         model = ForcedBoundaryBpe(path)
-        for batch in batches:
+        for batch in sliced(batches):
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for text in column_bytes(batch.column("text")):
                 ids, decoded = model.encode(text)

@@ -1,19 +1,25 @@
-"""Whole-text encoding with the tokenizers library, one library call per distinct chunk.
+"""Whole-text encoding with tokenizer files.
 
-A chunk is cut where the vocabulary's pre-tokenizer always cuts, so the concatenated chunk ids
-are the ids of the whole text. Workers keep a bounded table of chunks they have met.
+Texts are cut where the vocabulary's pre-tokenizer always cuts, so the ids of the parts in a row
+are the ids of the whole text. Workers keep a bounded table of words they have met.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-#: Before these characters a run of spaces is not cut where a plain space would be: such texts go to the library whole.
-_ODD_SPACE = re.compile(rb"[\x1c-\x1f\x85]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_SPACED = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+#: Of these characters (Latin-1 without controls and odd spaces) normal form and lower case are plain.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
+#: The word splitter of the byte-level vocabularies.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_TO_BYTES = ByteLevel(add_prefix_space=False, use_regex=False)
 
 
 def load(path: str) -> Tokenizer:
@@ -24,48 +30,87 @@ def load(path: str) -> Tokenizer:
     return tokenizer
 
 
-class ChunkEncoder:
-    """Ids of whole texts as little-endian integers of ``width`` bytes.
+def byte_letters(word: str) -> str:
+    """A word with each of its bytes as the letter that byte-level vocabularies write for it."""
+    return word if word.isascii() and word.isprintable() and " " not in word else _TO_BYTES.pre_tokenize_str(word)[0][0]
 
-    ``drops_space``: the vocabulary drops white space, so chunks are what stands between it.
-    Otherwise a chunk is a word with the white space before it.
-    """
 
-    def __init__(self, path: str, drops_space: bool, most_chunks: int = 400_000):
+class WordSplitter:
+    """The words of a text under a vocabulary of lower-case words that drops white space."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        self.specials = sorted((str(x.content) for x in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+
+    def is_plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.specials)
+
+    def plain(self, text: str) -> list[str]:
+        """Words of a plain text."""
+        return _WORD.findall(text.lower())
+
+    def other(self, text: str) -> list[tuple[str, bool]]:
+        """(byte letters of a word or a special token, whether special) of any text, by the library."""
+        for special in self.specials:
+            if special in text:
+                left, _, right = text.partition(special)
+                return [*self.other(left), (special, True), *self.other(right)]
+        normal = self.tokenizer.normalizer.normalize_str(text)
+        return [(word, False) for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+
+
+class WordEncoder:
+    """Ids of whole texts by the library's BPE model, one call per distinct word."""
+
+    def __init__(self, path: str, most_words: int = 500_000):
         self.tokenizer = load(path)
-        self.drops_space = drops_space
+        self.splitter, self.model, self.most = WordSplitter(self.tokenizer), self.tokenizer.model, most_words
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.most = most_chunks
-        self.first: dict[bytes, bytes] = {}
-        self.rest: dict[bytes, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.type).tobytes() for x in found]
-
-    def _learn(self, table: dict[bytes, bytes], chunks: list[bytes], prefix: str) -> None:
-        new = list({c for c in chunks if c not in table})
-        if len(table) + len(new) > self.most:
-            table.clear()
-            new = list(set(chunks))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            table.update(zip(part, self._library([prefix + c.decode() for c in part])))
-
-    def _join(self, table: dict[bytes, bytes], chunks: list[bytes], prefix: str) -> bytes:
-        try:
-            return b"".join([table[c] for c in chunks])
-        except KeyError:
-            self._learn(table, chunks, prefix)
-            return b"".join([table[c] for c in chunks])
+        self.known: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        if len(self.known) >= self.most:
+            self.known.clear()
+        ids = self.known[word] = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(byte_letters(word))])
+        return ids
 
     def encode(self, text: bytes) -> bytes:
-        if self.drops_space:
-            return self._join(self.first, text.split(), "")
-        if _ODD_SPACE.search(text):
-            return self._library([text.decode()])[0]
-        if b"  " in text:
-            return self._join(self.first, _SPACED.findall(text), "")
-        chunks = text.split(b" ")
-        return self._join(self.first, chunks[:1], "") + self._join(self.rest, chunks[1:], " ")
+        string = text.decode()
+        if not self.splitter.is_plain(string):
+            return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, self.type).tobytes()
+        known, out = self.known, []
+        for word in self.splitter.plain(string):
+            ids = known.get(word)
+            out.append(self._word(word) if ids is None else ids)
+        return b"".join(out)
+
+
+class RankEncoder:
+    """Ids of whole texts under a byte-level vocabulary, by its merge ranks.
+
+    A byte-level file without a normaliser is a table of ranks, which is merged faster than by the
+    file's own tokenizer and to the same ids; texts that hold its special tokens go to the latter.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = load(path)
+        self.specials = [str(x.content).encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        letters = {c: b for b in range(256) for c in [byte_letters_of(b)]}
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token.encode() not in self.specials}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+
+    def encode(self, text: bytes) -> np.ndarray:
+        string = text.decode()
+        if any(s in text for s in self.specials):
+            return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, self.type)
+        return np.array(self.ranks.encode_ordinary(string), self.type)
+
+
+def byte_letters_of(byte: int) -> str:
+    """The letter for one byte: itself if it is visible, else the next free one from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return chr(byte) if byte in visible else chr(0x100 + sum(b not in visible for b in range(byte)))

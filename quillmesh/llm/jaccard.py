@@ -16,11 +16,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_bytes, mix
+from .common import Scratch, column_bytes, mix, word_hashes
 
 _SLOTS = 1 << 18
 _CHAIN = 4096
@@ -28,36 +27,34 @@ _FEW = 200_000  # document ids that may be broadcast: 1.6 MB
 
 
 class Shingler:
-    """Sets of hashed word shingles; a bounded table of hashed words."""
-
-    def __init__(self, words: int, most_words: int = 500_000):
-        self.words, self.most, self.known = words, most_words, {}
-
-    def _hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.array([known[w] for w in words], np.uint64)
+    """Sets of hashed word shingles."""
+
+    def __init__(self, words: int):
+        self.words = words
+
+    def _rolled(self, h: np.ndarray, k: int) -> np.ndarray:
+        """The hash of each run of k words, from the run's first word on."""
+        out = np.full(max(0, len(h) - k + 1), k, np.uint64)
+        for i in range(k):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)], 0x51ED27)
+        return out
 
     def sets(self, texts: list[bytes]):
         """For each text its sorted distinct shingle hashes; empty for a text without words."""
         k = self.words
-        for text in texts:
-            h = self._hashes(text.lower().split())
-            if not len(h):
-                yield h
-                continue
-            n = max(1, len(h) - k + 1)
-            out = np.full(n, min(len(h), k), np.uint64)
-            for i in range(min(len(h), k)):
-                out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n], 0x51ED27)
-            yield np.unique(out)
+        for h, counts in word_hashes(texts):
+            rolled, start = self._rolled(h, k), 0
+            for n in counts.tolist():
+                if n >= k:
+                    yield np.unique(rolled[start : start + n - k + 1])
+                else:
+                    yield self._rolled(h[start : start + n], n) if n else h[:0]
+                start += n
+
+
+def _slot_counts(sets: list[np.ndarray]) -> np.ndarray:
+    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    return np.bincount((every & np.uint64(_SLOTS - 1)).astype(np.int64), minlength=_SLOTS)
 
 
 def _common_slots(words: int):
@@ -65,10 +62,12 @@ def _common_slots(words: int):
         """Slots of the fixed-size count table that stand out in this part of the documents."""
         shingler, counts = Shingler(words), np.zeros(_SLOTS, np.int64)
         for batch in batches:
+            held: list[np.ndarray] = []
             for s in shingler.sets(column_bytes(batch.column("text"))):
-                counts += np.bincount((s & np.uint64(_SLOTS - 1)).astype(np.int64), minlength=_SLOTS) if len(s) > 50_000 else 0
-                if len(s) <= 50_000:
-                    np.add.at(counts, (s & np.uint64(_SLOTS - 1)).astype(np.int64), 1)
+                held.append(s)
+                if len(held) >= 512 or len(s) > _SLOTS:
+                    counts, held = counts + _slot_counts(held), []
+            counts = counts + _slot_counts(held)
         mean = counts.mean()
         slots = np.flatnonzero(counts > mean + 6 * np.sqrt(mean) + 8)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(slots, pa.int64()), "n": pa.array(counts[slots], pa.int64())})
@@ -87,13 +86,19 @@ def _bitmap(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def _folded(s: np.ndarray) -> list[int]:
+    """A parity bitmap of 256 bits as four integers, for a first filter inside a join."""
+    bits = np.bincount((mix(s, 0xF01D) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.frombuffer(np.packbits(bits.astype(np.uint8)).tobytes(), "<i8").tolist()
+
+
 def _signing(words: int, num: int, den: int, common):
     def sign(batches):
         shingler, weight = Shingler(words), np.zeros(_SLOTS, np.int64)
         slots, counts = common.value
         weight[slots] = counts
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n", "set_a", "set_b", "prefix_a", "prefix_b", "bitmap", "prefix")}
+            out: dict[str, list] = {k: [] for k in ("n", "set_a", "set_b", "prefix_a", "prefix_b", "bitmap", "folded", "prefix")}
             for s in shingler.sets(column_bytes(batch.column("text"))):
                 first = s[:0]
                 if len(s):
@@ -103,8 +108,9 @@ def _signing(words: int, num: int, den: int, common):
                     out[f"{name}_a"].append(int(mix(x, 0xA1).sum(dtype=np.uint64).astype(np.int64)))
                     out[f"{name}_b"].append(int(np.bitwise_xor.reduce(mix(x, 0xB2)).astype(np.int64)) if len(x) else 0)
                 out["bitmap"].append(_bitmap(s) if len(s) else b"")
+                out["folded"].append(_folded(s))
                 out["prefix"].append(first.astype(np.int64))
-            kinds = {"n": pa.int64(), "bitmap": pa.binary(), "prefix": pa.list_(pa.int64())}
+            kinds = {"bitmap": pa.binary(), "folded": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **{k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}})
 
     return sign
@@ -171,6 +177,11 @@ def _similar_sizes(num: int, den: int, a: str, b: str):
     return (F.col(a) * num <= F.col(b) * den) & (F.col(b) * num <= F.col(a) * den)
 
 
+def least_overlap(num: int, den: int):
+    """The overlap that a link between sets of x_n and y_n shingles needs at least."""
+    return F.expr(f"((x_n + y_n) * {num} + {num + den - 1}) div {num + den}")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
@@ -186,7 +197,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = rows.select("text").mapInArrow(_common_slots(words), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most _SLOTS rows
     common = spark.sparkContext.broadcast((common["slot"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
-    signed = scratch.cut(rows.mapInArrow(_signing(words, num, den, common), "doc_id long, n long, set_a long, set_b long, prefix_a long, prefix_b long, bitmap binary, prefix array<long>"), "signed")
+    signed = scratch.cut(rows.mapInArrow(_signing(words, num, den, common), "doc_id long, n long, set_a long, set_b long, prefix_a long, prefix_b long, bitmap binary, folded array<long>, prefix array<long>"), "signed")
 
     known = signed.filter("n > 0 and doc_id is not null")
     key = ["n", "set_a", "set_b"]
@@ -194,7 +205,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     reps = known.drop("prefix").join(classes.select(*key, F.col("rep").alias("doc_id")).hint("merge"), [*key, "doc_id"], "left_semi")
     reps = reps.dropDuplicates(["doc_id", "set_a", "set_b"])
     groups = reps.groupBy("n", "prefix_a", "prefix_b").agg(F.min("doc_id").alias("gid"))
-    members = scratch.cut(reps.join(groups.hint("merge"), ["n", "prefix_a", "prefix_b"]).select("gid", F.col("doc_id").alias("rep"), "n", "bitmap"), "members")
+    members = scratch.cut(reps.join(groups.hint("merge"), ["n", "prefix_a", "prefix_b"]).select("gid", F.col("doc_id").alias("rep"), "n", "bitmap", "folded"), "members")
 
     # of each group, the prefix of its first member; shingles that stand in one group's prefix only link nothing
     first = signed.select("doc_id", "n", "prefix").join(members.filter("gid = rep").select(F.col("gid").alias("doc_id"), "n").hint("merge"), ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n"])
@@ -234,14 +245,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     # Round 2: every pair that is not yet in one component
     placed = members.select("gid", "rep", "n").join(labels.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
     placed = scratch.cut(placed.withColumn("component", F.coalesce("component", "rep")), "placed")
-    inside = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    inside = scratch.cut(inside.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("whole")), "groups")
+    # whole: the one component of a group; bits: the folded bitmap of a group with a single member
+    inside = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    bits = [F.when(F.col("members") == 1, F.get("folded", F.lit(i))).alias(f"bits{i}") for i in range(4)]
+    inside = inside.join(members.filter("gid = rep").select("gid", "folded").hint("merge"), "gid")
+    inside = scratch.cut(inside.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("whole"), *bits), "groups")
     lists2 = lists.drop("size").join(inside.hint("merge"), "gid")
-    x, y = (lists2.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("gid", "n", "at", "whole"))) for side in "xy")
-    least = F.ceil((F.col("x_n") + F.col("y_n")) * num / F.lit(float(num + den)) - 1e-9)  # overlap that a link needs
+    x, y = (lists2.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("gid", "n", "at", "whole", "bits0", "bits1", "bits2", "bits3"))) for side in "xy")
+    distance = sum(F.bit_count(F.col(f"x_bits{i}").bitwiseXOR(F.col(f"y_bits{i}"))) for i in range(4))
+    near = F.coalesce(F.col("x_n") + F.col("y_n") - 2 * least_overlap(num, den) >= distance, F.lit(True))
+    least = least_overlap(num, den)
     room = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1
     apart = F.col("x_whole").isNull() | F.col("y_whole").isNull() | (F.col("x_whole") != F.col("y_whole"))
-    met = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & (F.col("x_gid") < F.col("y_gid")) & apart & _similar_sizes(num, den, "x_n", "y_n") & (room >= least))
+    met = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & (F.col("x_gid") < F.col("y_gid")) & apart & _similar_sizes(num, den, "x_n", "y_n") & (room >= least) & near)
     group_pairs = met.select("x_gid", "y_gid").distinct()
     mixed = inside.filter("whole is null").select("gid")
     group_pairs = scratch.cut(group_pairs.union(mixed.select(F.col("gid"), F.col("gid"))), "group-pairs")

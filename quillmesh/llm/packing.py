@@ -1,7 +1,7 @@
 """Lexical retrieval packing.
 
-Documents that share rare words are brought together: each is dealt by the smallest hash among
-its informative words, in order, into shards of bounded size. A shard is a BM25 inverted index
+Documents that share words are brought together: each is dealt by the smallest hashes among its
+words, in order, into shards of bounded size. A shard is a BM25 inverted index
 of its documents. A window starts with a seed document and is filled greedily with the seed's
 best unused neighbours; the last one is cut where the window ends, and its rest starts the next
 window. So every window is full; only what is left at the end of a partition is not, and it
@@ -14,91 +14,80 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder
-from .common import column_bytes
+from .chunks import RankEncoder
+from .common import Scratch, column_bytes, sliced, word_hashes
 
 _SLOTS = 1 << 18
 _K1, _B = 1.2, 0.75
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Terms:
-    """Words to slots of a fixed-size term table; a bounded table of words met."""
-
-    def __init__(self, most: int = 500_000):
-        self.most, self.known = most, {}
-
-    def slots(self, text: bytes) -> np.ndarray:
-        """The slot of each word of a text, A-Z as a-z."""
-        words, known = text.lower().split(), self.known
-        try:
-            return np.array([known[w] for w in words], np.int64)
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w) & (_SLOTS - 1)
-            return np.array([known[w] for w in words], np.int64)
-
-
-def _frequencies(batches):
-    """Documents that hold each term slot; at slot -1 the documents, at -2 their words."""
-    terms, counts, docs, words = Terms(), np.zeros(_SLOTS, np.int64), 0, 0
-    for batch in batches:
-        for text in column_bytes(batch.column("text")):
-            slots = terms.slots(text)
-            counts[np.unique(slots)] += 1
-            docs, words = docs + 1, words + len(slots)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_pydict({"slot": pa.array(np.concatenate([some, [-1, -2]]), pa.int64()), "n": pa.array(np.concatenate([counts[some], [docs, words]]), pa.int64())})
+def term_slots(texts: list[bytes]):
+    """For each text the term slots of its words."""
+    for hashes, counts in word_hashes(texts):
+        yield from np.split((hashes & np.uint64(_SLOTS - 1)).astype(np.int64), np.cumsum(counts)[:-1])
+
+
+def distinct(slots: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The distinct slots of a text; ``seen`` is room for one number for each slot."""
+    at = np.arange(len(slots))
+    seen[slots] = at
+    return slots[seen[slots] == at]
 
 
-def _dealing(statistics):
-    def deal(batches):
-        """Adds to each document the smallest hash among its informative words."""
-        counts, docs, _ = statistics.value
-        order = np.random.default_rng(7).permutation(_SLOTS)
-        order[(counts < 2) | (counts > max(2, docs // 20))] += _SLOTS  # after all informative ones
-        terms = Terms()
-        for batch in batches:
-            texts = batch.column("text")
-            keys = [int(order[s].min()) if len(s := terms.slots(x)) else 2 * _SLOTS for x in column_bytes(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("doc_id"), texts], names=["deal", "doc_id", "text"])
+def _dealing(batches):
+    """Documents with their place in the order, and, in rows of kind 1, documents by term slot.
 
-    return deal
+    The order is by the three smallest hashes among a document's words: texts with the same words
+    come to stand side by side. At slot -1 the documents are counted, at -2 their words.
+    """
+    counts, docs, words, seen = np.zeros(_SLOTS, np.int64), 0, 0, np.zeros(_SLOTS, np.int64)
+    order = np.random.default_rng(7).permutation(_SLOTS)
+    for batch in sliced(batches, 4096):
+        keys = []
+        for slots in term_slots(column_bytes(batch.column("text"))):
+            some = distinct(slots, seen)
+            counts[some] += 1
+            docs, words = docs + 1, words + len(slots)
+            least = order[some]
+            least = np.sort(np.partition(least, 2)[:3] if len(least) > 3 else least)
+            keys.append(sum(int(x) << 18 * (2 - i) for i, x in enumerate(least)) if len(least) else 1 << 60)
+        n = len(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(keys, pa.int64()), batch.column("doc_id"), batch.column("text")], names=["kind", "deal", "doc_id", "text"])
+    some = np.flatnonzero(counts)
+    slots, n = np.concatenate([some, [-1, -2]]), np.concatenate([counts[some], [docs, words]])
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(slots), np.int32)), pa.array(slots, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(slots), pa.string())], names=["kind", "deal", "doc_id", "text"])
 
 
 class Shard:
     """A BM25 index of some documents, by corpus-wide statistics."""
 
-    def __init__(self, words: list[np.ndarray], statistics, query_terms: int = 24):
+    def __init__(self, words: list[np.ndarray], statistics, query_terms: int = 12):
         counts, docs, total = statistics
         mean = max(1.0, total / max(1, docs))
-        self.n, self.terms, self.query_terms = len(words), [], query_terms
-        slots, owners, weights = [], [], []
-        for i, w in enumerate(words):
-            slot, tf = np.unique(w, return_counts=True)
-            df = np.maximum(1, counts[slot])
-            weight = np.log1p(np.maximum(0.0, docs - df + 0.5) / (df + 0.5)) * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * len(w) / mean))
-            top = np.argsort(-weight, kind="stable")[:query_terms]
+        self.n, self.terms = len(words), []
+        lengths = np.array([len(w) for w in words], np.int64)
+        owner = np.repeat(np.arange(self.n), lengths)
+        key, tf = np.unique(owner * _SLOTS + np.concatenate([*words, np.zeros(0, np.int64)]), return_counts=True)
+        owner, slot = key // _SLOTS, key % _SLOTS
+        df = np.maximum(1, counts[slot])
+        weight = np.log1p(np.maximum(0.0, docs - df + 0.5) / (df + 0.5)) * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * lengths[owner] / mean))
+        for part in np.split(np.arange(len(key)), np.cumsum(np.bincount(owner, minlength=self.n))[:-1]) if self.n else []:
+            top = part[np.argpartition(-weight[part], query_terms)[:query_terms]] if len(part) > query_terms else part
             self.terms.append(slot[top])
-            slots.append(slot)
-            weights.append(weight)
-            owners.append(np.full(len(slot), i))
-        slots, owners, weights = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (slots, owners, weights))
-        order = np.argsort(slots, kind="stable")
-        self.slots, self.owners, self.weights = slots[order], owners[order].astype(np.int64), weights[order]
+        order = np.argsort(slot, kind="stable")
+        self.owners, self.weights = owner[order], weight[order]
+        self.starts = np.searchsorted(slot[order], np.arange(_SLOTS + 1))
 
     def neighbours(self, seed: int) -> list[int]:
         """The other documents that share a query term with the seed, best first."""
         scores = np.zeros(self.n)
-        for a, b in zip(np.searchsorted(self.slots, self.terms[seed]), np.searchsorted(self.slots, self.terms[seed], "right")):
+        for term in self.terms[seed]:
+            a, b = self.starts[term], self.starts[term + 1]
             scores[self.owners[a:b]] += self.weights[a:b]
         scores[seed] = 0
         found = np.flatnonzero(scores)
@@ -176,13 +165,14 @@ def near_full(packer: Packer) -> bool:
 
 def _packing(statistics, tokenizer: str, end_id: int, window: int, shard_docs: int, shard_tokens: int):
     def pack(batches):
-        encoder, terms, known = ChunkEncoder(tokenizer, drops_space=False), Terms(), statistics.value
+        encoder, known = RankEncoder(tokenizer), statistics.value
         packer = Packer(TaskContext.get().partitionId() << 32, window)
         end, ids, words, tokens = np.array([end_id], encoder.type), [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), column_bytes(batch.column("text"))):
-                ids.append((doc_id, np.concatenate([np.frombuffer(encoder.encode(text), encoder.type), end])))
-                words.append(terms.slots(text))
+        for batch in sliced(batches):
+            texts = column_bytes(batch.column("text"))
+            for doc_id, text, slots in zip(batch.column("doc_id").to_pylist(), texts, term_slots(texts)):
+                ids.append((doc_id, np.concatenate([encoder.encode(text), end])))
+                words.append(slots)
                 tokens += len(ids[-1][1])
                 if len(ids) >= shard_docs or tokens >= shard_tokens:
                     _fill(packer, ids, words, known)
@@ -195,9 +185,9 @@ def _packing(statistics, tokenizer: str, end_id: int, window: int, shard_docs: i
     return pack
 
 
-def corpus_statistics(rows: DataFrame) -> tuple[np.ndarray, int, int]:
+def corpus_statistics(counted: DataFrame) -> tuple[np.ndarray, int, int]:
     """(documents by term slot, documents, words) of all documents; a table of fixed size."""
-    found = rows.select("text").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most _SLOTS + 2 rows
+    found = counted.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most _SLOTS + 2 rows
     slot, n = found["slot"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
     counts = np.zeros(_SLOTS, np.int64)
     counts[slot[slot >= 0]] = n[slot >= 0]
@@ -216,7 +206,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    statistics = spark.sparkContext.broadcast(corpus_statistics(rows))
-    dealt = rows.mapInArrow(_dealing(statistics), "deal long, doc_id long, text string")
-    ordered = dealt.repartitionByRange("deal", "doc_id", F.xxhash64("text")).sortWithinPartitions("deal", "doc_id", "text")
+    dealt = Scratch(spark, "packing").cut(rows.mapInArrow(_dealing, "kind int, deal long, doc_id long, text string"), "dealt")
+    counted = dealt.filter("kind = 1").select(F.col("deal").alias("slot"), F.col("doc_id").alias("n"))
+    statistics = spark.sparkContext.broadcast(corpus_statistics(counted))
+    texts = dealt.filter("kind = 0").drop("kind")
+    ordered = texts.repartitionByRange("deal", "doc_id", F.xxhash64("text")).sortWithinPartitions("deal", "doc_id", "text")
     return ordered.mapInArrow(_packing(statistics, tokenizer, end_id, window, shard_docs, shard_tokens), _PIECE)

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder
-from .common import Scratch, column_bytes
+from .chunks import WordEncoder
+from .common import Scratch, column_bytes, sliced
 
 # Fixed values of the seekable format.
 _SKIPPABLE_INDEX = 0x184D2A50
@@ -112,7 +112,7 @@ class TokenFile:
 
 def _writing(folder: str, tokenizer: str, end_id: int, file_tokens: int):
     def write(batches):
-        encoder, context = ChunkEncoder(tokenizer, drops_space=True), TaskContext.get()
+        encoder, context = WordEncoder(tokenizer), TaskContext.get()
         part, attempt, seq, out, total = context.partitionId(), str(context.taskAttemptId()), 0, None, 0
         end = np.array([end_id], encoder.type)
 
@@ -120,7 +120,7 @@ def _writing(folder: str, tokenizer: str, end_id: int, file_tokens: int):
             out.close()
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [path], "width": pa.array([encoder.width], pa.int32()), "n_docs": [len(out.entries)], "n_tokens": [total], "n_bytes": [out.n_bytes]})
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), column_bytes(batch.column("text"))):
                 if out is None:
                     path, total = f"{folder}/tokens-{part:06d}-{seq:04d}.zst", 0

@@ -9,7 +9,8 @@ import public_tokenizers
 import pytest
 
 from quillmesh.llm import bpe, packing, tokenfile
-from quillmesh.llm.chunks import ChunkEncoder, load
+from quillmesh.llm.chunks import RankEncoder, WordEncoder, load
+from quillmesh.llm.common import word_hashes
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -22,12 +23,30 @@ def u32(ids):
     return np.array(ids, "<u4").tobytes()
 
 
-@pytest.mark.parametrize("path,drops", [(WORD, True), (BYTE, False)])
-def test_chunks_equal_whole_texts(docs, odd_docs, path, drops):
-    encoder, library = ChunkEncoder(path, drops, most_chunks=500), load(path)
-    for _, text in texts(docs, odd_docs):
-        got = np.frombuffer(encoder.encode(text.encode()), encoder.type).tolist()
-        assert got == library.encode(text, add_special_tokens=False).ids, text[:200]
+def test_fast_encoders_equal_the_library(docs, odd_docs):
+    for encoder, path in ((WordEncoder(WORD, most_words=500), WORD), (RankEncoder(BYTE), BYTE)):
+        library = load(path)
+        for _, text in texts(docs, odd_docs):
+            got = np.frombuffer(encoder.encode(text.encode()), encoder.type).tolist()
+            assert got == library.encode(text, add_special_tokens=False).ids, text[:200]
+
+
+def test_every_latin_letter_equals_the_library():
+    encoder, library = WordEncoder(WORD), load(WORD)
+    for text in ["".join(map(chr, range(0x20, 0x7F))), "".join(map(chr, range(0xA1, 0x100))), *(f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}'s" for c in range(1, 0x180))]:
+        assert np.frombuffer(encoder.encode(text.encode()), encoder.type).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_word_hashes_follow_the_words():
+    rows = [b"One two\ttwo  ONE", b"", b" \n ", b"x" * 40, b"a " * 1_500_000 + b"one", b"y" * 3_000_000 + b" two", "\u00e9t\u00e9 \u00c9T\u00c9".encode()]
+    flat, counts = zip(*word_hashes(rows))
+    flat, counts = np.concatenate(flat), np.concatenate(counts)
+    words = [w for t in rows for w in t.lower().split()]
+    assert counts.tolist() == [len(t.split()) for t in rows] and len(flat) == len(words)
+    by_word = {}
+    for w, h in zip(words, flat.tolist()):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
 
 
 def test_bpe_equals_library(docs, odd_docs):
