@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .langid import held_out
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (4, 5, 6, 7)
+_FEW_LABELS = 500_000  # labels that may be broadcast: 6 MB
 
 
 def features(word: str) -> list[str]:
@@ -142,7 +144,13 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = 3000, docs_pe
     spark = docs.sparkSession
     marks = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(~held_out(5, 0) & F.col("text").isNotNull())
-    known = rows.join(marks.hint("shuffle_hash"), "doc_id")
+    # few labels go to the documents; of many, the labelled texts are gathered once and written
+    scratch = Scratch(spark, "toxicity")
+    marks = scratch.cut(marks, "marks")
+    few = marks.count() <= _FEW_LABELS
+    known = rows.join(marks.hint("broadcast" if few else "merge"), "doc_id")
+    if not few:
+        known = scratch.cut(known, "known")
     total = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return BagModel({}, -40.0)
@@ -155,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = 3000, docs_pe
         return BagModel({}, -40.0)
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("doc_id", "toxic").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= docs_per_label).select("doc_id").distinct()
-    sample = known.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("toxic", "text")
+    sample = known.join(ids.hint("broadcast"), "doc_id", "left_semi").select("toxic", "text")  # at most 2 * docs_per_label ids
     bags = sample.mapInArrow(_bags(names), "toxic int, plain long, hits array<array<int>>").collect()
     weights, bias = _fit(bags, np.array([min(6.0, r.odds) for r in chosen]), steps)
     return BagModel({f: float(w) for f, w in zip(names, weights)}, bias)
