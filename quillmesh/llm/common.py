@@ -57,6 +57,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Rows of whole texts are wide: no more than ``rows`` of them go to Python at a time from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def column_bytes(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 byte strings; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
@@ -81,7 +88,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_REACH = 1 << 21
+_REACH = 1 << 19
 
 
 def _powers(base: int) -> np.ndarray:

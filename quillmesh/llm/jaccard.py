@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_bytes, mix, word_hashes
+from .common import Scratch, column_bytes, mix, text_batches, word_hashes
 
 _SLOTS = 1 << 18
 _CHAIN = 4096
@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
+    text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = rows.select("text").mapInArrow(_common_slots(words), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most _SLOTS rows
     common = spark.sparkContext.broadcast((common["slot"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))

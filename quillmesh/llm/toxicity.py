@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, text_batches
 from .langid import held_out
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -42,7 +42,7 @@ def _count(batches):
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             for f in {f for w in set(_WORD.findall((text or "").lower())) for f in features(w)}:
                 counts.setdefault(f, [0, 0])[label] += 1
-            if len(counts) > 300_000:
+            if len(counts) > 200_000:
                 yield _flush(counts)
                 counts = {}
     yield _flush(counts)
@@ -51,7 +51,7 @@ def _count(batches):
 class BagModel:
     """Weights of features and the bias of a sentence; a bounded table of words and the features in them."""
 
-    def __init__(self, weights: dict[str, float], bias: float, most_words: int = 500_000):
+    def __init__(self, weights: dict[str, float], bias: float, most_words: int = 200_000):
         self.weights, self.bias, self.most = weights, bias, most_words
         self.known: dict[str, list[str]] = {}
 
@@ -142,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = 3000, docs_pe
     without clean examples every score is 0.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     marks = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(~held_out(5, 0) & F.col("text").isNotNull())
     # few labels go to the documents; of many, the labelled texts are gathered once and written
