@@ -79,9 +79,9 @@ def clean_markup(c: Column) -> Column:
 
 
 def clean_extracted(c: Column) -> Column:
-    """Text taken from files: no control characters, hyphenated line ends joined, at most one blank line."""
-    plain = F.regexp_replace(F.replace(c, F.lit("\f"), F.lit("\n")), r"[\x00-\x08\x0b\x0e-\x1f]", "")
-    return strip(F.regexp_replace(F.regexp_replace(plain, r"-\n(?=[a-z])", ""), r"\n{3,}", "\n\n"))
+    """Text taken from files: control characters as spaces, hyphenated line ends joined, at most one blank line."""
+    plain = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
+    return strip(F.regexp_replace(F.regexp_replace(plain, r"-\n", ""), r"\n{2,}", "\n\n"))
 
 
 def sentences(c: Column, more_than: int = 20) -> Column:

@@ -41,3 +41,39 @@ def bibtex(papers: DataFrame) -> DataFrame:
     venue = F.when(article, field("journal", F.col("venue"))).otherwise(field("booktitle", F.col("venue")))
     fields = F.array_compact(F.array(field("title", F.col("title")), field("author", F.array_join("authors", " and ")), field("year", F.col("year").cast("string")), venue, field("doi", F.col("doi")), field("pages", F.col("pages")), field("abstract", cut)))
     return papers.select("internal_id", key.alias("citekey"), F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), F.array_join(fields, ",\n"), F.lit("\n}")).alias("bibtex"))
+
+
+def append_log(rows: DataFrame, path: str, **extras: str) -> None:
+    """Append raw rows as JSON lines, stamped with the time and any extras."""
+    stamped = rows.withColumn("logged_at", F.current_timestamp())
+    stamped.withColumns({k: F.lit(v) for k, v in extras.items()}).write.mode("append").json(path)
+
+
+def routed(results: DataFrame) -> DataFrame:
+    """Adds route (good, review or error) and review_reason, from parsed and warnings (an array)."""
+    warned = F.size(F.coalesce("warnings", F.array().cast("array<string>"))) > 0
+    route = F.when(~F.coalesce("parsed", F.lit(False)), "error").when(warned, "review").otherwise("good")
+    return results.withColumns({"route": route, "review_reason": F.when(route == "review", F.array_join("warnings", "; "))})
+
+
+def write_routes(results: DataFrame, path: str) -> None:
+    """Good rows, rows to review and errors, each in a partition of one table written in one pass."""
+    routed(results).write.mode("overwrite").partitionBy("route").json(path)
+
+
+def review_artefacts(queue: DataFrame) -> dict[str, DataFrame]:
+    """The lists a reviewer works from: pending, pending by priority, pending with a DOI but no file, included."""
+    pending = queue.filter("decision = 'maybe'")
+    no_file = ~F.coalesce(F.lower("pdf_status"), F.lit("")).isin("downloaded", "oa_found")
+    return {
+        "pending": pending,
+        "prioritised": pending.orderBy("grp", F.desc("score"), "internal_id"),
+        "doi_without_file": pending.filter(no_file & (F.coalesce("doi", F.lit("")) != "")),
+        "included": queue.filter("decision = 'include'"),
+    }
+
+
+def manual_list(queue: DataFrame) -> DataFrame:
+    """What has to be fetched by hand, the newest first."""
+    wanted = queue.filter(F.lower("pdf_status").isin("manual", "not_found", "failed"))
+    return wanted.select("internal_id", "year", "title", "doi", "pdf_status").orderBy(F.desc_nulls_last("year"), "internal_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators import profiles as R
+
 _P = r"""
 papers as (
   select doc_id as pos, lpad(cast(doc_id as varchar), 8, '0') as internal_id, source as source_db, title,
@@ -73,6 +75,50 @@ _RESP = """
 resp as (select conv_id, turn, length(text) as n, case length(text) % 4 when 0 then 'include' when 1 then 'EXCLUDE' when 2 then 'maybe' else 'other' end as d from conversations where role = 'assistant')"""
 
 
+def _hit(terms):
+    return f"regexp_matches(t, '{terms}')"
+
+
+def _first(rules, otherwise):
+    return "case " + " ".join(f"when {_hit(p)} then '{label}'" for label, p in rules) + f" else '{otherwise}' end"
+
+
+def _all(rules):
+    return "list_filter([" + ", ".join(f"case when {_hit(p)} then '{label}' end" for label, p in rules) + "], lambda x: x is not null)"
+
+
+def _joined(rules, otherwise, sep=", ", sentence=False):
+    text = f"array_to_string({_all(rules)}, '{sep}')"
+    return f"case when len({_all(rules)}) = 0 then '{otherwise}' else " + (f"upper(left({text}, 1)) || lower(substr({text}, 2)) || '.'" if sentence else text) + " end"
+
+
+_STEPS = "markov|petri net|simulation|monte carlo"
+_PROFILE = f"""{_P}, texts as (select *, lower(title || ' ' || coalesce(abstract, '')) as t from papers),
+profiled as (select pos, title, abstract, t, {_first(R.RELEVANCE, R.RELEVANCE_ELSE)} as relevance, {_joined(R.METHODS, R.METHODS_ELSE, sentence=True)} as method, {_first(R.EVIDENCE, R.EVIDENCE_ELSE)} as evidence,
+  {_joined(R.LIMITS, R.LIMITS_ELSE, '; ', True)} as limitations, {_joined(R.CONTEXTS, R.CONTEXTS_ELSE, sentence=True)} as context, {_joined(R.DATA_SOURCES, R.DATA_SOURCES_ELSE, sentence=True)} as data_source, {_first(R.TECHNIQUE, R.TECHNIQUE_ELSE)} as technique,
+  case when not {_hit(R.SOFTWARE)} then 'excluir' when {_hit(R.MINING)} or {_hit(R.STOCHASTIC)} then 'incluir' else 'talvez' end as decision, {_joined(R.QUESTIONS, 'RQ1')} as questions, {_joined(R.PHASES, 'Não definido')} as phases, {_all(R.CRITERIA)} as ics,
+  case when {_hit(R.MINING)} and {_hit('markov')} and {_hit('simulation|monte carlo')} and {_hit('machine learning|reinforcement learning|ai|nlp')} then 'L3' when {_hit(R.MINING)} and {_hit(_STEPS)} then 'L2' when {_hit(R.MINING)} or {_hit(_STEPS)} then 'L1' else 'L0' end as level,
+  'Relevância ' || {_first(R.VERDICT, 'média')} || ' para a revisão. ' || {_first(R.STRENGTH, R.STRENGTH_ELSE)} || '.' as assessment from texts),
+judged as (select *, case decision {" ".join(f"when '{k}' then '{v}'" for k, v in R.REASONS.items())} end as reason,
+  case when decision = 'excluir' and not {_hit(R.SOFTWARE_STRICT)} then list_append(ics, 'EC1') when decision = 'excluir' and len(ics) = 0 then ['EC3'] when decision = 'talvez' and len(ics) = 0 then ['EC3?'] else ics end as tags,
+  case when decision = 'incluir' and (relevance like 'Alta:%' or relevance like 'Média-alta:%') then 'Alta' when decision = 'talvez' or evidence = '{R.EVIDENCE_ELSE}' then 'Média' else 'Baixa' end as priority from profiled)"""
+_CLEAN = rf"trim(regexp_replace(replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g'), '-' || chr(10), ''), '\n{{2,}}', chr(10) || chr(10), 'g'), {_WS})"
+
+
+def _inferred():
+    tests = ("n_chars > 80", "contains(lower(text), 'the')", "n_chars > 1000", "contains(lower(text), 'ing')", "doc_id % 3 = 0", "n_chars > 3000", "contains(lower(text), 'ou')", "doc_id % 7 = 0")
+    known = "known as (select doc_id, " + ", ".join(f"case when doc_id % 11 <> 0 then ({t})::int end as qa{i}" for i, t in enumerate(tests, 1)) + " from documents)"
+    asked = {k: f"regexp_matches(u, '{p}')" for k, p in R.QUALITY.items()}
+    asked["qa1"] = f"length(trim(coalesce(abstract, ''), {_WS})) > 80"
+    asked["qa3"] += " or not contains(lower(data_source), 'não identificada')"
+    asked["qa4"] += " or not contains(lower(technique), 'não identificada')"
+    asked["qa5"] = f"evidence in ('{R.EVIDENCE[0][0]}', '{R.EVIDENCE[1][0]}')"
+    asked["qa6"] = "not contains(lower(limitations), 'não ficaram explícitas')"
+    items = ", ".join(f"coalesce(qa{i}, ({asked[f'qa{i}']})::int) as qa{i}" for i in range(1, 9))
+    whole = "lower(concat_ws(' ', title, coalesce(abstract, ''), '', '', evidence, data_source, technique, context))"
+    return f"with {_PROFILE}, {known}, j as (select *, {whole} as u from judged join known on pos = doc_id) select pos, {items}, '{R.QA_NOTE}' as qa_notes, case when qa1 is null then 'inferido' else 'manual' end as qa_status from j"
+
+
 def oracle_sql() -> dict[str, str]:
     found = _oracle_sql()
     rows = found["enrich_by_doi"]
@@ -134,11 +180,20 @@ select p.pos, length(coalesce(nullif(trim(p.abstract, {_WS}), ''), g.abstract))
         "source_hit_rate": f"select source, count(*) filter (hit) as hits, count(*) as n from (select 's2' as source, s2 as hit from {_FLAGS} union all select 's3', s3 from {_FLAGS} union all select 's5', s5 from {_FLAGS} union all select 's7', s7 from {_FLAGS} union all select 'any', s2 or s3 or s5 or s7 from {_FLAGS}) group by 1",
         "first_source": f"select c_custkey, case when s7 then 's7' when s5 then 's5' when s3 then 's3' when s2 then 's2' end as source, s7 or s5 or s3 or s2 as recovered from {_FLAGS}",
         "vocab_warnings": "with k as (select event_id, props->>'$.k' as k from events) select event_id, case when k is null then 'missing small' when cast(k as int) > 80 then 'invalid small: ' || k else '' end as warnings, k is null or cast(k as int) > 80 as needs_review from k",
-        "inverted_index_text": "select doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:50], ' ') as text from documents where len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 0",
+        "inverted_index_text": "select doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' ') as text from documents where len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 0",
         "request_batches": f"with {_P}, o as (select *, floor((row_number() over (order by pos) - 1) / 50)::bigint as batch_no from papers where pos % 4 = 0) select pos, batch_no, md5('Title: ' || coalesce(nullif(trim(title, {_WS}), ''), '(none)') || chr(10) || 'Text: ' || coalesce(left(abstract, 400), '(missing)')) as digest from o",
         "reading_list": f"with {_Q} select pos, 3 * contains(matched_ic, 'IC1')::int + 3 * contains(matched_ic, 'IC2')::int + 2 * contains(matched_ic, 'IC3')::int + contains(matched_ic, 'IC4')::int + 2 * (pdf_status = 'downloaded')::int + (year >= 2020)::int + (venue is not null)::int as score from queue order by score desc, pos limit 30",
         "stage_status": f"with {_D} select count(*) as n, 'raw' as stage from papers union all select count(*) filter (duplicate_of is null), 'unique' from flags union all select count(*) filter (pos % 3 <> 2), 'queued' from papers union all select count(*) filter (pos % 3 = 0), 'included' from papers",
         "manifest_status": "select case o_orderstatus when 'F' then 'downloaded' when 'O' then 'oa_found' else 'manual' end as status, count(*) as n, count(distinct o_custkey) as ids from orders group by 1",
         "control_hits": f"with c as (select item_id, left({_NT('text')}, 40) as key from benchmark), d as (select doc_id, source, left({_NT('line')}, 40) as key from (select doc_id, source, unnest(string_split(text, chr(10))) as line from documents)), h as (select item_id, string_agg(distinct source, '|' order by source) as sources, min(doc_id) as first_doc, count(distinct doc_id) as docs from d join c using (key) group by 1) select item_id, sources, first_doc, coalesce(docs, 0) as docs from c left join h using (item_id)",
         "usable_urls": "select page_id, url from pages where coalesce(url, '') <> '' and not contains(url, 'dx.doi.org/') and not contains(url, 'doi.org/10.') and not contains(url, 'example.org')",
+        "text_profile": f"with {_PROFILE} select pos, relevance, method, evidence, limitations, context, data_source, technique, decision, reason, questions, case when len(tags) = 0 then 'Requer decisão manual' else array_to_string(tags, ', ') end as criteria, phases, level, priority, assessment from judged",
+        "qa_inferred": _inferred(),
+        "cleaned_text": f"with c as (select doc_id, {_CLEAN} as c from documents) select doc_id, length(c) as n, md5(c) as digest from c",
+        "abstract_proxy": f"with c as (select doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), {_WS}) as c from documents), s as (select doc_id, c, trim(left(c, 500), {_WS}) as s from c) select doc_id, case when length(s) >= 80 and not regexp_matches(lower(c), '^({'|'.join(R.COVER_PAGES).replace('.', '[.]')})') then s else '' end as abstract from s",
+        "payload_entries": f"with {_P} select 'https://www.scopus.com/record/display.uri?eid=' || internal_id as url, trim(title, {_WS}) as title, doi, year, case doc_type when 'Conference Paper' then 'conference paper' else doc_type end as doc_type, pages, venue, case when has_keyword then coalesce(language, '') else '' end as keywords, md5(trim(abstract, {_WS})) as abstract from papers",
+        "citation_pages": "select l_orderkey as seed, case when l_linenumber % 2 = 0 then 'backward' else 'forward' end as direction, l_partkey::varchar as title, l_orderkey::varchar as doi from lineitem",
+        "result_routes": f"with {_RESP} select conv_id, turn, case when conv_id % 7 = 0 then 'error' when n % 4 = 3 then 'review' else 'good' end as route, case when conv_id % 7 <> 0 and n % 4 = 3 then 'IC4 needs review' end as review_reason from resp",
+        "review_artefacts": f"with {_Q}, a as (select *, 'pending' as artefact from scored where decision = 'maybe' union all select *, 'prioritised' from scored where decision = 'maybe' union all select *, 'doi_without_file' from scored where decision = 'maybe' and doi is not null and pdf_status = 'manual' union all select *, 'included' from scored where decision = 'include') select artefact, count(*) as n, min(internal_id) as first_id, max(score) as best from a group by artefact",
+        "manual_retrieval": f"with {_Q} select internal_id, year, title, doi, pdf_status from queue where pdf_status = 'manual'",
     }

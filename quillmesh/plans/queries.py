@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import agreement, enrich, exports, keys, linkage, screening
+from ..operators import agreement, enrich, exports, keys, linkage, profiles, screening
+from ..sources import payloads
 from . import bind
 
 RELEVANCE = (("tion", "ing ", "que "), ("the", "des", "der"))
@@ -296,7 +299,7 @@ def vocab_warnings(spark, sf):
 
 def inverted_index_text(spark, sf):
     d = bind.table(spark, sf, "documents")
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 50)
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     placed = d.select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     maps = placed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
     return maps.select("doc_id", T.from_inverted_index(F.col("index")).alias("text"))
@@ -344,6 +347,69 @@ def usable_urls(spark, sf):
     return bind.table(spark, sf, "pages").filter(F.coalesce(F.col("url"), F.lit("")) != "").filter(~T.contains_any(F.col("url"), bad)).select("page_id", "url")
 
 
+_PROFILE = ("relevance", "method", "evidence", "limitations", "context", "data_source", "technique", "decision", "reason", "questions", "criteria", "phases", "level", "priority", "assessment")
+
+
+def text_profile(spark, sf):
+    return profiles.profile(bind.papers(spark, sf), "title", "abstract").select("pos", *_PROFILE)
+
+
+def qa_inferred(spark, sf):
+    known = bind.quality(spark, sf).withColumnRenamed("doc_id", "pos").drop("source")
+    read = profiles.profile(bind.papers(spark, sf), "title", "abstract").select("pos", "title", "abstract", "evidence", "data_source", "technique", "limitations", "context")
+    empty = {"rationale": F.lit(None).cast("string"), "results": F.lit(None).cast("string"), "qa_notes": F.lit(None).cast("string"), "qa_status": F.when(F.col("qa1").isNull(), "pendente").otherwise("manual")}
+    filled = profiles.infer_quality(read.join(known.hint("merge"), "pos").withColumns(empty))
+    return filled.select("pos", *(f"qa{i}" for i in range(1, 9)), "qa_notes", "qa_status")
+
+
+def cleaned_text(spark, sf):
+    clean = T.clean_extracted(F.coalesce("text", F.lit("")))
+    return bind.table(spark, sf, "documents").select("doc_id", F.length(clean).alias("n"), F.md5(clean).alias("digest"))
+
+
+def abstract_proxy(spark, sf):
+    return bind.table(spark, sf, "documents").select("doc_id", profiles.abstract_proxy(F.coalesce("text", F.lit(""))).alias("abstract"))
+
+
+def extracted_sections(spark, sf):
+    return profiles.extracted(bind.table(spark, sf, "documents")).select("doc_id", "title_guess", "abstract_found", "results_found", "clean_length")
+
+
+def payload_entries(spark, sf):
+    p = bind.papers(spark, sf)
+    fields = {"dc:title": "title", "dc:description": "abstract", "prism:doi": "doi", "subtypeDescription": "doc_type", "prism:pageRange": "pages", "prism:publicationName": "venue", "eid": "internal_id"}
+    entry = F.struct(*(F.col(v).alias(k) for k, v in fields.items()), F.concat("year", F.lit("-01-01")).alias("prism:coverDate"), F.array_join("keywords", " | ").alias("authkeywords"))
+    read = payloads.payload_a(p.select(F.to_json(entry).alias("payload")))
+    return read.select("url", "title", "doi", "year", "doc_type", "pages", "venue", F.array_join("keywords", ";").alias("keywords"), F.md5("abstract").alias("abstract"))
+
+
+def citation_pages(spark, sf):
+    e = bind.edges(spark, sf)
+    paper = F.struct(F.col("cited").cast("string").alias("title"), F.struct(F.col("citing").cast("string").alias("DOI")).alias("externalIds"))
+    hit = F.when(F.col("direction") == "forward", F.struct(paper.alias("citingPaper"), F.lit(None).cast(_CITED).alias("citedPaper"))).otherwise(F.struct(F.lit(None).cast(_CITED).alias("citingPaper"), paper.alias("citedPaper")))
+    pages = e.groupBy(F.col("citing").alias("seed"), "direction").agg(F.to_json(F.struct(F.collect_list(hit).alias("data"))).alias("payload"))
+    return payloads.citation_rows(pages).select("seed", "direction", "title", "doi")
+
+
+_CITED = "struct<title:string,externalIds:struct<DOI:string>>"
+
+
+def result_routes(spark, sf):
+    r = screening.parse_decisions(bind.responses(spark, sf))
+    r = r.withColumn("warnings", F.when(F.col("matched_ic") == "IC4", F.array(F.lit("IC4 needs review"))))
+    return exports.routed(r).select("conv_id", "turn", "route", "review_reason")
+
+
+def review_artefacts(spark, sf):
+    found = exports.review_artefacts(_scored(spark, sf).withColumn("grp", screening.priority_group()))
+    counted = [f.agg(F.count("*").alias("n"), F.min("internal_id").alias("first_id"), F.max("score").alias("best")).withColumn("artefact", F.lit(name)) for name, f in found.items()]
+    return reduce(lambda a, b: a.unionByName(b), counted)
+
+
+def manual_retrieval(spark, sf):
+    return exports.manual_list(bind.queue(spark, sf))
+
+
 def queries():
     own = [v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"]
     return {f.__name__: f for f in own}
