@@ -98,3 +98,12 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as citations: orders cite parts, in two directions."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited"), F.when(F.col("l_linenumber") % 2 == 0, "backward").otherwise("forward").alias("direction"))
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as search queries in three providers' forms, of their first word and language."""
+    docs = table(spark, sf_dir, "documents")
+    word, lang, at = F.coalesce(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")), F.coalesce("lang", F.lit("en")), F.col("doc_id") % 4
+    limited = F.format_string('TITLE("%s")\n  AND (LIMIT-TO(DOCTYPE, "ar") OR LIMIT-TO ( DOCTYPE, "cp"))\n  AND (LIMIT-TO(LANGUAGE, "%s"))', word, F.upper(lang))
+    query = F.when(at == 0, limited).when(at == 1, F.format_string('"All Metadata":"%s" AND "All Metadata" : "%s"', word, lang)).when(at == 2, F.format_string('"%s" "%s"', word, lang)).otherwise(F.concat(word, F.lit(" limit-to(x) "), lang))
+    return docs.select(F.col("source").alias("database"), F.format_string("q%d", F.col("doc_id")).alias("id"), word.alias("label"), F.when(F.col("doc_id") % 5 == 0, lang).alias("notes"), query.alias("query"))

@@ -74,6 +74,24 @@ _FLAGS = "(select c_custkey, c_custkey % 2 = 0 as s2, c_custkey % 3 = 0 as s3, c
 _RESP = """
 resp as (select conv_id, turn, length(text) as n, case length(text) % 4 when 0 then 'include' when 1 then 'EXCLUDE' when 2 then 'maybe' else 'other' end as d from conversations where role = 'assistant')"""
 
+_CAT = r"""
+words as (select doc_id, source, coalesce(regexp_extract(text, '[A-Za-z]+'), '') as w, coalesce(lang, 'en') as l from documents),
+catalogue as (
+  select source as "database", 'q' || doc_id as id, w as label, case when doc_id % 5 = 0 then l end as notes,
+    case doc_id % 4
+      when 0 then 'TITLE("' || w || '")' || chr(10) || '  AND (LIMIT-TO(DOCTYPE, "ar") OR LIMIT-TO ( DOCTYPE, "cp"))' || chr(10) || '  AND (LIMIT-TO(LANGUAGE, "' || upper(l) || '"))'
+      when 1 then '"All Metadata":"' || w || '" AND "All Metadata" : "' || l || '"'
+      when 2 then '"' || w || '" "' || l || '"'
+      else w || ' limit-to(x) ' || l end as query
+  from words)"""
+# by the form that a query was written in; an "and" right before a limit goes with it, also at the end of a word
+_FORMS = r"""select 'q' || doc_id as id,
+  case doc_id % 4 when 0 then 'TITLE("' || w || '") AND (LANGUAGE(' || lower(l) || '))' when 3 then case when lower(w) like '%and' then left(w, length(w) - 3) || l else ltrim(w || ' ' || l) end else (select query from catalogue c where c.id = 'q' || doc_id) end as limits_out,
+  case when doc_id % 4 = 0 then 'ar,cp' end as kinds,
+  case when doc_id % 4 = 1 then '"' || w || '" AND "' || l || '"' else (select trim(query) from catalogue c where c.id = 'q' || doc_id) end as plain,
+  coalesce((select string_agg('keyword:"' || t || '"', ' AND ' order by i) from (select unnest(x) as t, generate_subscripts(x, 1) as i from (select regexp_extract_all((select query from catalogue c where c.id = 'q' || doc_id), '"([^"]+)"', 1) as x))), ltrim(w || ' limit-to(x) ' || l)) as keywords
+from words"""
+
 
 def _hit(terms):
     return f"regexp_matches(t, '{terms}')"
@@ -139,6 +157,21 @@ asks as (select pos, {_ND('doi')} as d, row_number() over (partition by {_ND('do
 offers as (select {_ND('doi')} as d, abstract, provider, row_number() over (partition by {_ND('doi')} order by case provider when 'beta' then 0 else 1 end, abstract) as rn from provider where doi is not null and trim(coalesce(abstract, ''), {_WS}) <> ''),
 got as (select a.pos, trim(o.abstract, {_WS}) as abstract, o.provider from asks a join offers o on a.d = o.d and a.rn = 1 and o.rn = 1)
 select p.pos, length(coalesce(nullif(trim(p.abstract, {_WS}), ''), g.abstract)) as n_chars, g.provider as abstract_source, case when g.provider is not null then 'doi' end as abstract_match_type from papers p left join got g using (pos)""",
+        "catalogue_listing": f"with {_CAT} select \"database\", count(*) over () as n_queries, id, label, notes, query from catalogue where \"database\" = 'src0'",
+        "request_forms": f"with {_CAT} {_FORMS}",
+        "escaped_dois": f"with {_P} select pos, replace(doi, '/', '\\/') as escaped from papers",
+        "enrich_working_set": f"""with {_P}, {_PROVIDER},
+mine as (select pos, doi, coalesce(nullif(trim(abstract, {_WS}), ''), case when pos % 9 = 0 then nullif(trim(title, {_WS}), '') end) as abstract from papers),
+asks as (select pos, {_ND('doi')} as d, row_number() over (partition by {_ND('doi')} order by pos desc) as rn from mine where doi is not null and abstract is null),
+offers as (select {_ND('doi')} as d, abstract, provider, row_number() over (partition by {_ND('doi')} order by provider, abstract) as rn from provider where doi is not null and trim(coalesce(abstract, ''), {_WS}) <> ''),
+got as (select a.pos, trim(o.abstract, {_WS}) as abstract, o.provider from asks a join offers o on a.d = o.d and a.rn = 1 and o.rn = 1)
+select m.pos, length(coalesce(m.abstract, g.abstract)) as n_chars, g.provider as abstract_source from mine m left join got g using (pos)""",
+        "enrich_first_source": f"""with {_P}, {_PROVIDER},
+mine as (select pos, doi, coalesce(nullif(trim(abstract, {_WS}), ''), case when pos % 9 = 0 then nullif(trim(title, {_WS}), '') end) as abstract from papers),
+asks as (select pos, {_ND('doi')} as d, row_number() over (partition by {_ND('doi')} order by pos desc) as rn from mine where doi is not null and abstract is null),
+offers as (select {_ND('doi')} as d, abstract, provider, row_number() over (partition by {_ND('doi')} order by provider, abstract) as rn from provider where doi is not null and trim(coalesce(abstract, ''), {_WS}) <> '' and provider = 'alpha'),
+got as (select a.pos, trim(o.abstract, {_WS}) as abstract, o.provider from asks a join offers o on a.d = o.d and a.rn = 1 and o.rn = 1)
+select m.pos, length(coalesce(m.abstract, g.abstract)) as n_chars, g.provider as abstract_source from mine m left join got g using (pos)""",
         "resume_pending": f"with {_DEC} select c_custkey as id from customer where c_custkey not in (select id from latest where decision <> 'ERROR')",
         "aux_corpus": f"with {_P} select pos, source_db from papers where pos not in (select doc_id from labels where quality = 1)",
         "working_set": f"with {_P} select source_db, language, count(*) as n from papers where source_db <> 'src0' and source_db in (select source_db from papers where language = 'en') group by all",

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import agreement, enrich, exports, keys, linkage, profiles, screening
+from ..operators import agreement, catalogue, enrich, exports, keys, linkage, profiles, screening
 from ..sources import payloads
 from . import bind
 
@@ -410,6 +410,33 @@ def manual_retrieval(spark, sf):
     return exports.manual_list(bind.queue(spark, sf))
 
 
+def catalogue_listing(spark, sf):
+    return catalogue.listing(bind.catalogue(spark, sf), "src0", show_query=True)
+
+
+def request_forms(spark, sf):
+    q = F.col("query")
+    return bind.catalogue(spark, sf).select("id", catalogue.without_limits(q).alias("limits_out"), catalogue.limited_kinds(q).alias("kinds"), catalogue.plain_boolean(q).alias("plain"), catalogue.keywords(q).alias("keywords"))
+
+
+def escaped_dois(spark, sf):
+    return bind.papers(spark, sf).select("pos", catalogue.escape_slashes(F.col("doi")).alias("escaped"))
+
+
+def _working_set(spark, sf, first_only):
+    saved = bind.papers(spark, sf).filter("pos % 9 = 0").select("internal_id", F.col("title").alias("abstract"))
+    out = enrich.enrich_working_set(bind.papers(spark, sf), bind.provider(spark, sf), "alpha", "beta", first_only, saved)
+    return out.select("pos", F.length("abstract").alias("n_chars"), "abstract_source")
+
+
+def enrich_working_set(spark, sf):
+    return _working_set(spark, sf, False)
+
+
+def enrich_first_source(spark, sf):
+    return _working_set(spark, sf, True)
+
+
 def queries():
     own = [v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"]
     return {f.__name__: f for f in own}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.functions import udfs
-from quillmesh.operators import agreement, exports, keys, linkage, screening
+from quillmesh.operators import agreement, catalogue, enrich, exports, keys, linkage, screening
 from quillmesh.sources import files
 from quillmesh.streaming import ledger
 
@@ -127,3 +127,23 @@ def test_ledger_stream_equals_batch(spark, tmp_path):
         ledger.follow_decisions(spark, f"{tmp_path}/in", schema, "id", ["at"], f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out/v2").collect()
     assert sorted((r.id, r.decision) for r in got) == [(1, "exclude"), (2, "include"), (3, "maybe")]
+
+
+def test_request_forms(spark):
+    q = 'TITLE("a b")\n AND (LIMIT-TO(DOCTYPE, "ar") OR LIMIT-TO(DOCTYPE, "cp"))\n AND (LIMIT-TO(LANGUAGE, "English"))'
+    rows = spark.createDataFrame([(q,), ('"All Metadata":"x" AND "All Metadata" : "y"',), (" plain ",), (None,)], "q string")
+    c = F.col("q")
+    got = rows.select(catalogue.without_limits(c), catalogue.limited_kinds(c), catalogue.plain_boolean(c), catalogue.keywords(c)).collect()
+    assert tuple(got[0])[:2] == ('TITLE("a b") AND (LANGUAGE(english))', "ar,cp")
+    assert got[1][2] == '"x" AND "y"' and got[2][3] == "plain" and got[3][1:3] == (None, None)
+    assert rows.limit(1).select(catalogue.escape_slashes(F.lit("10.1/a/b"))).collect()[0][0] == "10.1\\/a\\/b"
+
+
+def test_enrich_working_set(spark):
+    papers = spark.createDataFrame([(1, "a", "10.1/x", None), (2, "b", "10.1/X", " "), (3, "c", "10.1/y", None), (4, "d", "10.1/z", None)], "pos int, internal_id string, doi string, abstract string")
+    provider = spark.createDataFrame([("10.1/x", "s", "one"), ("10.1/y", "o", "two"), ("10.1/x", "o", "three"), ("10.1/z", "s", "four")], "doi string, provider string, abstract string")
+    saved = spark.createDataFrame([("d", "kept"), ("a", "")], "internal_id string, abstract string")
+    both = {r.pos: (r.abstract, r.abstract_source) for r in enrich.enrich_working_set(papers, provider, "s", "o", saved=saved).collect()}
+    assert both == {1: (None, None), 2: ("one", "s"), 3: ("two", "o"), 4: ("kept", None)}
+    first = {r.pos: r.abstract for r in enrich.enrich_working_set(papers, provider, "s", "o", True).collect()}
+    assert first == {1: None, 2: "one", 3: None, 4: "four"}
