@@ -34,7 +34,11 @@ def host_rule(host: str, path: str, verdict: str) -> dict:
 
 
 def pattern_rule(name: str, pattern: str, verdict: str, literal: str | None = None) -> dict:
-    """A rule by expression; ``literal`` is text that every match holds between separators."""
+    """A rule by expression; ``literal`` is text that every match holds as whole tokens.
+
+    A literal that may go on with more letters or digits (``casino`` in ``casino24``) must not be
+    given: the rule would not be fetched. Without a literal the rule is tried on every URL.
+    """
     return {"rule": name, "pattern": pattern, "verdict": verdict, "tokens": _TOKEN.findall(literal or ""), "rank": len(name)}
 
 

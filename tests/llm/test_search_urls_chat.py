@@ -70,6 +70,23 @@ def test_url_rules(spark):
     assert urlfilter.judge_urls(df.limit(0), queries.RULES).count() == 0
 
 
+def test_pattern_rules_equal_brute_force(spark):
+    import itertools
+    import re
+
+    words = ["casino", "casino24", "casino7", "casinos", "xcasino", "CASINO9", "cheap-pills", "cheap-pills2", "cheap", "login", "signin", "login2", "casino24-x"]
+    urls = [form.format(w) for w, form in itertools.product(words, ["http://{}.com/", "http://{}", "http://a.{}.org/x", "http://h.com/{}", "http://h.com/{}/", "http://h.com/a-{}.html", "http://h.com/{}?q=1", "http://h.com/?q={}"])]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.judge_urls(df, queries.PATTERN_RULES).collect()}
+    assert len(got) == len(urls)
+    for i, url in enumerate(urls):
+        r = got[i]
+        fits = [name for name, pattern, _ in urlfilter.PATTERNS if re.search(pattern, r.host + r.path)]
+        want = max(fits, key=lambda name: (len(name), name), default=None)
+        assert (r.fallback_rule, r.verdict) == (want, "block" if want else "allow"), url
+    assert {got[i].fallback_rule for i, url in enumerate(urls) if url in ("http://casino24.com/", "http://h.com/casino7/")} == {"casino"}
+
+
 def test_only_rules_of_held_tokens_run():
     rule = urlfilter.host_rule("example.net", "/en", "allow")
     assert rule["tokens"] == ["example", "net"]  # /en may go on as /english
