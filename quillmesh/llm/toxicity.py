@@ -1,9 +1,11 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences, and only its label is known. A sentence scores
-sigmoid(bias + the weights of the features in it); the document's score is the noisy-or of its
-sentences, 1 - product(1 - score). Weights are fitted by gradient steps on the likelihood of the
-documents' labels; the sentences that carry the score are then located.
+A document is a bag of sentences, and only its label is known. With z = bias + the weights of
+the features in it, a sentence is calm with (1 + e^bias) / (1 + e^z), 1 at most: what it adds over
+a sentence without features, which adds nothing however many there are. The document's score is
+the noisy-or of its sentences, 1 - product(calm). Weights are fitted by gradient steps on the
+likelihood of the documents' labels, with one chance for each document, not each sentence, that it
+is toxic for no feature's sake; the sentences that carry the score are then located.
 
 Features are words and word beginnings. Which of them count is decided on all labelled
 documents; the weights are fitted on a bounded sample of them.
@@ -66,71 +68,66 @@ class BagModel:
             out += found
         return out
 
-    def sentences(self, text: str) -> tuple[int, list[tuple[int, int, list[str]]]]:
-        """How many sentences have no weighted feature; (start, end, features) of the others."""
+    def sentences(self, text: str) -> list[tuple[int, int, list[str]]]:
+        """(start, end, features) of the sentences with a weighted feature."""
         if not self.hits(set(_WORD.findall(text.lower()))):
-            return len(_SENTENCE.findall(text)), []
-        plain, out = 0, []
-        for m in _SENTENCE.finditer(text):
-            if found := self.hits(set(_WORD.findall(m[0].lower()))):
-                out.append((m.start(), m.end(), found))
-            else:
-                plain += 1
-        return plain, out
+            return []
+        return [(m.start(), m.end(), found) for m in _SENTENCE.finditer(text) if (found := self.hits(set(_WORD.findall(m[0].lower()))))]
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
         """The document's score and its offending sentences, each with start, end and score."""
-        plain, others = self.sentences(text or "")
-        calm, found = -plain * np.logaddexp(0.0, self.bias), []
-        for start, end, hits in others:
+        calm, found, base = 0.0, [], np.logaddexp(0.0, self.bias)
+        for start, end, hits in self.sentences(text or ""):
             z = self.bias + sum(self.weights[f] for f in hits)
-            calm -= np.logaddexp(0.0, z)
-            if z >= 0:
-                found.append({"start": start, "end": end, "score": float(1 / (1 + np.exp(-z)))})
-        return float(-np.expm1(calm)), found
+            adds = max(0.0, np.logaddexp(0.0, z) - base)
+            calm -= adds
+            if (own := float(-np.expm1(-adds))) >= 0.5:
+                found.append({"start": start, "end": end, "score": own})
+        return max(0.0, float(-np.expm1(calm))), found
 
 
 def _bags(names: list[str]):
-    """(label, sentences without features, features of the other sentences) of each document."""
+    """(label, features of each sentence that has any) of each document."""
 
     def bags(batches):
         at = {f: i for i, f in enumerate(names)}
         model = BagModel(dict.fromkeys(names, 0.0), 0.0)
         for batch in batches:
-            plain, hits = [], []
-            for text in batch.column("text").to_pylist():
-                n, found = model.sentences(text or "")
-                hits.append([[at[f] for f in x] for _, _, x in found])
-                plain.append(n)
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "plain": pa.array(plain, pa.int64()), "hits": pa.array(hits, pa.list_(pa.list_(pa.int32())))})
+            hits = [[[at[f] for f in x] for _, _, x in model.sentences(text or "")] for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "hits": pa.array(hits, pa.list_(pa.list_(pa.int32())))})
 
     return bags
 
 
 def _fit(bags: list, start: np.ndarray, steps: int, rate: float = 0.2, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias that raise the likelihood of the bags' labels under noisy-or; Adam steps."""
+    """Weights and bias that raise the likelihood of the bags' labels under noisy-or; Adam steps.
+
+    A bag is calm with the product of its sentences' chances and of one leak, the same for every bag.
+    The leak takes labels that no feature explains; it is fitted here and left out of the scores.
+    """
     label = np.array([b.toxic for b in bags], float)
-    plain = np.array([b.plain for b in bags], float)
     bag = np.array([i for i, b in enumerate(bags) for _ in b.hits], np.int64)
     pairs = [(i, f) for i, x in enumerate(x for b in bags for x in b.hits) for f in x]
     row, col = np.array(pairs, np.int64).reshape(-1, 2).T
-    theta = np.concatenate([start, [-7.0]])
+    theta = np.concatenate([start, [-7.0, -3.0]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     share = np.where(label == 1, len(label) / max(1.0, 2 * label.sum()), len(label) / max(1.0, 2 * (1 - label).sum()))
     for step in range(1, steps + 1):
-        bias = theta[-1]
+        bias, leak = theta[-2:]
         z = bias + np.bincount(row, theta[col], len(bag))
-        calm = -np.bincount(bag, np.logaddexp(0, z), len(label)) - plain * np.logaddexp(0, bias)
+        adds = z > bias
+        calm = -np.bincount(bag, np.where(adds, np.logaddexp(0, z) - np.logaddexp(0, bias), 0.0), len(label)) - np.logaddexp(0, leak)
         calm = np.minimum(calm, -1e-12)
         # d(-log likelihood) / d(calm): 1 for toxic bags exp(calm) / (1 - exp(calm)), for clean ones -1
         slope = share * np.where(label == 1, np.exp(calm) / -np.expm1(calm), -1.0) / len(label)
         sig, base = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
-        per = -slope[bag] * sig
-        grad = np.concatenate([np.bincount(col, per[row], len(start)), [per.sum() - (slope * plain).sum() * base]])
-        grad[:-1] += decay * theta[:-1]
+        up = -slope[bag] * adds
+        per = up * sig
+        grad = np.concatenate([np.bincount(col, per[row], len(start)), [(per - up * base).sum(), -slope.sum() / (1 + np.exp(-leak))]])
+        grad[:-2] += decay * theta[:-2]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return theta[:-1], float(theta[-1])
+    return theta[:-2], float(theta[-2])
 
 
 def train(docs: DataFrame, labels: DataFrame, most_features: int = 3000, docs_per_label: int = 8000, steps: int = 400) -> BagModel:
@@ -165,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = 3000, docs_pe
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("doc_id", "toxic").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= docs_per_label).select("doc_id").distinct()
     sample = known.join(ids.hint("broadcast"), "doc_id", "left_semi").select("toxic", "text")  # at most 2 * docs_per_label ids
-    bags = sample.mapInArrow(_bags(names), "toxic int, plain long, hits array<array<int>>").collect()
+    bags = sample.mapInArrow(_bags(names), "toxic int, hits array<array<int>>").collect()
     weights, bias = _fit(bags, np.array([min(6.0, r.odds) for r in chosen]), steps)
     return BagModel({f: float(w) for f, w in zip(names, weights)}, bias)
 

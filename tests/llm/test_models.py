@@ -52,6 +52,22 @@ def test_toxic_sentences_are_located():
     assert model.score(None) == (0.0, []) and model.score("") == (0.0, [])
 
 
+def test_long_clean_text_is_not_toxic_by_length():
+    model = toxicity.BagModel({"idiot": 9.0}, -6.88)
+    assert model.score("A fine day. " * 25_000) == (0.0, [])
+    score, found = model.score("A fine day. " * 25_000 + "You idiot.")
+    assert score > 0.8 and len(found) == 1
+
+
+def test_long_clean_document_is_kept(spark):
+    rows = [(i, f"A fine day in town {i % 7}. We walk home.\nThe sea is calm." + (" You idiot!" if i % 6 == 0 else "")) for i in range(240)]
+    rows += [(1000, "The town is calm. We walk. " * 15_000), (1001, "The town is calm. We walk. " * 15_000 + "You idiot!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(240)], "doc_id long, toxic int")
+    kept = {r.doc_id for r in toxicity.keep_clean(docs, labels).select("doc_id").collect()}
+    assert kept == {i for i in range(240) if i % 6} | {1000}
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, empty_docs):
     labels = spark.createDataFrame([(i, i % 2, None if i == 4 else int(i in (1, 11))) for i in (1, 2, 3, 4, 5, 6, 11, 12, 12)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.score_toxicity(odd_docs, labels).collect()

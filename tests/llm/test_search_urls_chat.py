@@ -134,6 +134,48 @@ def test_pipeline_stages(spark, docs, sf_dir):
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in table.collect()}
 
 
+def brute_stages(spark, docs, labels):
+    """(doc_id, text) that each of the first four stages should keep; the models are fitted as the stages do."""
+    import re
+
+    from quillmesh.llm import langid, toxicity
+
+    from test_duplicates import brute_components
+
+    table, model = {r.doc_id: r.text for r in docs.collect()}, langid.Classifier(langid.learn(docs))
+    found = {i: model.predict((t or "").encode()) for i, t in table.items()}
+    table = {i: t for i, t in table.items() if found[i][0] != langid.UNKNOWN and found[i][1] >= 0.002}
+    yield table
+    bags, left = toxicity.train(docs.filter(docs.doc_id.isin(list(table))), labels), {}
+    for i, text in table.items():
+        calm = 1.0
+        for sentence in re.split(r"[.!?\n]+", text):
+            hits = [f for w in set(re.findall(r"[^\W\d_]+", sentence.lower())) for f in [w, *(w[:n] + "*" for n in (4, 5, 6, 7) if len(w) > n)] if f in bags.weights]
+            calm *= min(1.0, (1 + math.exp(bags.bias)) / (1 + math.exp(bags.bias + sum(bags.weights[f] for f in hits))))
+        if calm > 0.5:
+            left[i] = text
+    yield left
+    table = {max(j for j in left if left[j] == t): t for t in set(left.values())}
+    yield table
+    names = {i: name for i, _, name in brute_components(list(table.items()), 5, 80, 100)}
+    yield {i: t for i, t in table.items() if names[i] == i}
+
+
+def test_pipeline_equals_brute_force(spark, docs, sf_dir):
+    import corpus_pipeline
+
+    table = docs
+    for (name, stage), want in zip(corpus_pipeline.STAGES, brute_stages(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))):
+        table = Scratch(spark, "test").cut(stage(spark, table, sf_dir), name)
+        assert sorted((r.doc_id, r.text) for r in table.collect()) == sorted(want.items()), name
+    assert 0 < table.count() < docs.count()
+    # every token of every kept document is in one piece, in order
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    for i in {r.doc_id for r in table.collect()} | {p.doc_id for p in pieces}:
+        mine = sorted((p.start, p.length, p.doc_tokens) for p in pieces if p.doc_id == i)
+        assert [s for s, _, _ in mine] == [sum(n for _, n, _ in mine[:k]) for k in range(len(mine))] and sum(n for _, n, _ in mine) == mine[0][2]
+
+
 def test_pipeline_of_odd_rows(spark, odd_docs, empty_docs, sf_dir):
     import corpus_pipeline
 
