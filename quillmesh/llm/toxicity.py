@@ -8,7 +8,8 @@ likelihood of the documents' labels, with one chance for each document, not each
 is toxic for no feature's sake; the sentences that carry the score are then located.
 
 Features are words and word beginnings. Which of them count is decided on all labelled
-documents; the weights are fitted on a bounded sample of them.
+documents, by odds and significance whatever the table's size; the weights are fitted on a bounded
+sample of them.
 """
 
 from __future__ import annotations
@@ -130,12 +131,27 @@ def _fit(bags: list, start: np.ndarray, steps: int, rate: float = 0.2, decay: fl
     return theta[:-2], float(theta[-2])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_features: int = 3000, docs_per_label: int = 8000, steps: int = 400) -> BagModel:
+def _tests(held_by: dict[int, int], share: float) -> int:
+    """How many features are tested: those in so many documents that they could pass (Tarone).
+
+    ``held_by``: features by the number of documents that hold them. A feature of n documents, all
+    toxic, has that by chance with share^n; it is no test if even this would not pass.
+    """
+    left = sum(held_by.values())
+    for n in sorted(held_by):
+        if left * share**n <= 1:
+            break
+        left -= held_by[n]
+    return max(1, left)
+
+
+def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = 8000, steps: int = 400) -> BagModel:
     """Fit on labelled rows that crc32 mod 5 does not hold out.
 
-    Features: at most ``most_features`` whose documents are far more often toxic than clean,
-    counted over all labelled rows. Weights: from at most ``docs_per_label`` documents of each
-    label, by hashed doc_id. Repeated labels of a doc_id: the highest counts. Without toxic or
+    Features: all that are far more often in toxic than in clean documents (odds of e^2.5), and so
+    significantly that not one is expected to be chosen by chance; counted over all labelled rows.
+    Weights: from at most ``docs_per_label`` documents of each label, by hashed doc_id; a feature
+    outside of that sample keeps its odds. Repeated labels of a doc_id: the highest counts. Without toxic or
     without clean examples every score is 0.
     """
     spark = docs.sparkSession
@@ -154,8 +170,13 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = 3000, docs_pe
         return BagModel({}, -40.0)
     counts = known.select("text", "toxic").mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (total[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (total[0] + 1.0))
-    least = max(2, total[1] // 100)
-    chosen = counts.filter(F.col("toxic") >= least).withColumn("odds", odds).filter("odds >= 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "feature").limit(most_features).collect()
+    counts = scratch.cut(counts.withColumn("held", F.col("toxic") + F.col("clean")).filter("held >= 2"), "counts")
+    share = total[1] / (total[0] + total[1])
+    held_by = {r.held: r.n for r in counts.groupBy(F.least("held", F.lit(1000)).alias("held")).agg(F.count("*").alias("n")).collect()}
+    # exp(-evidence) bounds the chance of so many toxic documents among those that hold the feature
+    part = lambda n, p: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (F.col("held") * p))).otherwise(0.0)
+    evidence = part("toxic", share) + part("clean", 1 - share)
+    chosen = counts.withColumn("odds", odds).filter("odds >= 2.5").filter(evidence >= float(np.log(_tests(held_by, share)))).select("feature", "odds").orderBy("feature").collect()
     names = [r.feature for r in chosen]
     if not names:
         return BagModel({}, -40.0)

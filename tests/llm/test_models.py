@@ -68,6 +68,15 @@ def test_long_clean_document_is_kept(spark):
     assert kept == {i for i in range(240) if i % 6} | {1000}
 
 
+def test_rare_offence_counts_at_every_size(spark):
+    """A word in 0.7% of the toxic documents, and in no clean one, is learned."""
+    rows = [(i, "A fine day in town. " + ("" if i % 2 else "You wretch! " if i % 300 == 0 else "You idiot! ") + f"The sea is calm {'abcdefghij'[i % 10] * 6}.") for i in range(6000)]
+    docs = spark.createDataFrame([*rows, (9001, "Go home, wretch."), (9002, "Go home, friend.")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(6000)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, labels).filter("doc_id > 9000").collect()}
+    assert got == {9001: 1, 9002: 0}
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, empty_docs):
     labels = spark.createDataFrame([(i, i % 2, None if i == 4 else int(i in (1, 11))) for i in (1, 2, 3, 4, 5, 6, 11, 12, 12)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.score_toxicity(odd_docs, labels).collect()
