@@ -70,6 +70,17 @@ def test_exact_pass_is_the_sequential_rule(spark):
     assert all(r.canonical_id == str(best.get(r.norm_doi, i)) for i, r in got.items())
 
 
+def test_a_hot_doi_is_dealt_to_many_tasks(spark):
+    """20,000 records of one DOI, richness rising at 0, 7,000 and 15,000: no window over the DOI."""
+    hot = spark.range(20_000).selectExpr("id as pos", "cast(id as string) as internal_id", "'10.1/a' as doi", "'t' as title", "if(id >= 15000, repeat('x', 60), null) as abstract", "if(id >= 7000, array('a'), array()) as authors", "array() as keywords", "cast(null as string) as venue", "2000 as year", "cast(null as string) as pages")
+    out = linkage.exact_duplicates(hot)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.pos: (r.duplicate_of, r.canonical_id) for r in out.collect()}
+    best = lambda i: 15_000 if i > 15_000 else 7_000 if i > 7_000 else 0
+    want = {i: (str(best(i)), "15000") for i in range(20_000)} | {0: ("7000", "15000"), 7_000: ("15000", "15000"), 15_000: (None, "15000")}
+    assert got == want
+
+
 def test_text_rules(spark):
     row = spark.range(1).select(
         T.norm_doi(F.lit(" HTTPS://doi.org/10.1/X \t")).alias("a"), T.norm_title(F.lit("A—b: Cé d\n2")).alias("b"), T.clean_markup(F.lit("<p>x &amp;lt; y</p>\n z")).alias("c"),
