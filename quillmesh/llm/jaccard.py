@@ -7,9 +7,18 @@ of groups that share a prefix shingle pass a size, a position and a bitmap filte
 are their members' whole texts compared.
 
 Only components are asked for, so members already known to hang together need no further
-comparison: a first round verifies neighbours in each shingle's list (linear in its length),
-a second round verifies every remaining pair whose members are in different components. No
-list, group or class is capped, and a large group of near copies does not become all its pairs.
+comparison. The join runs in rounds:
+
+* Linking rounds: in each shingle's list a group sees two entries beside it and the weightiest, and
+  takes those it sees most often. These few pairs are verified, and what links is contracted.
+  A round costs as much as the lists are long, however alike their entries are.
+* Remaining pairs of short lists, in different components: filtered, expanded, verified.
+* Remaining long lists: their documents are few after contraction. All their shingles are counted
+  exactly, and only those that stand in more than one component count as shared; prefixes are
+  taken anew in order of these counts. A document of which too little stands elsewhere drops out
+  here without being compared with anything. Linking rounds again, then all remaining pairs.
+
+No list, group or class is capped: every pair that may link ends up verified or inside one component.
 """
 
 from __future__ import annotations
@@ -21,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, column_bytes, mix, text_batches, word_hashes
 
-_SLOTS = 1 << 18
+_SLOTS = 1 << 20
+_CHUNK = 1 << 14
 _CHAIN = 4096
+_SHORT = 64  # entries of a list whose pairs are written out; longer lists are ordered anew
 _FEW = 200_000  # document ids that may be broadcast: 1.6 MB
 
 
@@ -57,24 +68,44 @@ def _slot_counts(sets: list[np.ndarray]) -> np.ndarray:
     return np.bincount((every & np.uint64(_SLOTS - 1)).astype(np.int64), minlength=_SLOTS)
 
 
-def _common_slots(words: int):
+def _slots(words: int):
     def count(batches):
-        """Slots of the fixed-size count table that stand out in this part of the documents."""
+        """The count table of this part of the documents, of fixed size, in chunks."""
         shingler, counts = Shingler(words), np.zeros(_SLOTS, np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
-            held: list[np.ndarray] = []
             for s in shingler.sets(column_bytes(batch.column("text"))):
                 held.append(s)
-                if len(held) >= 512 or len(s) > _SLOTS:
+                if len(held) >= 2048 or len(s) > _SLOTS:
                     counts, held = counts + _slot_counts(held), []
-            counts = counts + _slot_counts(held)
-        mean = counts.mean()
-        slots = np.flatnonzero(counts > mean + 6 * np.sqrt(mean) + 8)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(slots, pa.int64()), "n": pa.array(counts[slots], pa.int64())})
+        counts = counts + _slot_counts(held)
+        for chunk in range(_SLOTS // _CHUNK):
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": [counts[chunk * _CHUNK : (chunk + 1) * _CHUNK].tobytes()]})
 
     return count
 
 
+def _summed(batches):
+    """The same chunks of all parts added up."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.int64)
+    yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+
+def common_slots(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, counts) of the slots that stand out in the whole table: at most _SLOTS of them."""
+    kinds = "chunk int, counts binary"
+    chunks = texts.mapInArrow(_slots(words), kinds).repartition(_SLOTS // _CHUNK, "chunk").mapInArrow(_summed, kinds).collect()
+    counts = np.zeros(_SLOTS, np.int64)
+    for row in chunks:
+        counts[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(row.counts, np.int64)
+    mean = counts.mean()
+    slots = np.flatnonzero(counts > mean + 6 * np.sqrt(mean) + 8)
+    return slots, counts[slots]
+
+
 def _prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
@@ -150,16 +181,37 @@ def _verifying(words: int, num: int, den: int):
     return verify
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _stars(batches):
+    """The edges of this part as stars: each node with the smallest node it reaches here."""
+    parts = [np.stack([b.column(i).to_numpy() for i in (0, 1)]) for b in batches]
+    nodes, ends = np.unique(np.concatenate([*parts, np.zeros((2, 0), np.int64)], axis=1), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_pydict({"a": pa.array(nodes[moved], pa.int64()), "b": pa.array(nodes[label[moved]], pa.int64())})
+
+
+def components(edges: DataFrame, scratch: Scratch, part: int = 500_000) -> DataFrame:
     """node, component (the smallest node reachable) of every node with an edge a - b.
 
-    Each round takes the smallest label among neighbours, then the label of that label, so long
-    chains shorten at twice the pace; labels stay in tables, only the count of changes is seen.
+    Runs of about ``part`` edges become stars first, each in its own task. Then each round takes the
+    smallest label among neighbours, then the label of that label, so chains from star to star
+    shorten at twice the pace; labels stay in tables, only the count of changes is seen.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = scratch.cut(both, "edges")
+    given = scratch.cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    n = given.count()
+    stars = given.coalesce(max(1, -(-n // part))).mapInArrow(_stars, "a long, b long")
+    both = scratch.cut(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "stars")
     labels = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
-    while True:
+    scratch.drop(given)
+    while n > part:  # otherwise each star is a whole component
         near = both.join(labels.hint("merge"), both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         moved = labels.join(near.hint("merge"), labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         top = labels.select(F.col("node").alias("mid"), F.col("component").alias("top"))
@@ -169,8 +221,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         labels = new.drop("old")
         labels._scratch_path = new._scratch_path
         if ended:
-            scratch.drop(both)
-            return labels
+            break
+    scratch.drop(both)
+    return labels
 
 
 def _similar_sizes(num: int, den: int, a: str, b: str):
@@ -182,7 +235,168 @@ def least_overlap(num: int, den: int):
     return F.expr(f"((x_n + y_n) * {num} + {num + den - 1}) div {num + den}")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def _all_shingles(words: int):
+    def listed(batches):
+        shingler = Shingler(words)
+        for batch in batches:
+            sets = [x.astype(np.int64) for x in shingler.sets(column_bytes(batch.column("text")))]
+            yield pa.RecordBatch.from_pydict({"rep": batch.column("doc_id"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+
+    return listed
+
+
+def _runs(node: str, size: str):
+    """Deals the entries of a list over runs of about _CHAIN."""
+    return F.pmod(F.xxhash64(node), F.ceil(F.col(size) / _CHAIN).cast("long"))
+
+
+class _Join:
+    """The tables of one join: rows (doc_id, text), members (gid, rep, n, bitmap, folded), lists (shingle, gid, n, at, size), weights (gid, weight)."""
+
+    def __init__(self, rows: DataFrame, scratch: Scratch, words: int, num: int, den: int):
+        self.rows, self.scratch, self.words, self.num, self.den = rows, scratch, words, num, den
+
+    def texts_of(self, ids: DataFrame) -> DataFrame:
+        """doc_id, text of the documents in ``ids`` (doc_id), a written table."""
+        return self.scratch.cut(self.rows.join(ids.hint("broadcast" if ids.count() <= _FEW else "merge"), "doc_id", "left_semi"), "texts")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs of members (a < b), those that link."""
+        scratch = self.scratch
+        sides = [self.members.select(F.col("rep").alias(x), F.col("n").alias(f"{x}_n"), F.col("bitmap").alias(f"{x}_bitmap")) for x in "ab"]
+        near = pairs.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b").mapInArrow(_close(self.num, self.den), "a long, b long")
+        near = scratch.cut(near.distinct(), "near")
+        ids = scratch.cut(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+        texts = self.texts_of(ids)
+        sides = [texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab"]
+        met = near.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b").select("a", "b", "a_text", "b_text")
+        found = scratch.cut(met.mapInArrow(_verifying(self.words, self.num, self.den), "a long, b long"), "links")
+        scratch.drop(near, ids, texts)
+        return found
+
+    def contracted(self, placed: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+        """``placed`` (gid, rep, n, component) after these links have joined components, and whether there are any."""
+        if links.isEmpty():
+            return placed, False
+        ends = [placed.select(F.col("rep").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"]
+        edges = links.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        tops = components(edges, self.scratch).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        new = placed.join(tops.hint("merge"), "component", "left").select("gid", "rep", "n", F.coalesce("top", "component").alias("component"))
+        return self.scratch.cut(new, "placed"), True
+
+    def inside(self, placed: DataFrame) -> DataFrame:
+        """gid, the lowest and highest component of its members, and their number."""
+        return self.scratch.cut(placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")), "inside")
+
+    def likely(self, entries: DataFrame, key: str, turn: int) -> DataFrame:
+        """For each node of ``entries`` (key, run, node, n, component, weight) at most three partners worth verifying.
+
+        In each list a node sees the two entries that stand before it by size, and the weightiest one
+        of about its size: in a crowd of near copies most link to the one with the most common text.
+        Of each of the three kinds, the partner it sees most often is taken.
+        """
+        step = float(np.log(self.den / self.num)) or 1.0
+        entries = entries.withColumn("bucket", F.floor(F.log("n") / step))
+        order = Window.partitionBy(key, "run").orderBy("n", F.xxhash64("node", F.lit(turn)), "node")
+        first = Window.partitionBy(key, "run", "bucket").orderBy(F.desc("weight"), "node")
+        names = ("node", "n", "component")
+        met = entries.select(key, *names, F.array(*(F.struct(*(F.lag(c, i).over(order).alias(f"y_{c}") for c in names), F.lit(i).alias("kind")) for i in (1, 2)), F.struct(*(F.first(c).over(first).alias(f"y_{c}") for c in names), F.lit(3).alias("kind"))).alias("y"))
+        met = met.select(*names, F.explode("y").alias("y")).select(*names, "y.*")
+        may = (F.col("node") != F.col("y_node")) & (F.col("component") != F.col("y_component")) & _similar_sizes(self.num, self.den, "n", "y_n")
+        met = met.filter(may).groupBy("node", "y_node", "kind").agg(F.count("*").alias("times"))
+        best = [F.expr(f"max_by(y_node, struct(times, -y_node)) filter (where kind = {i})") for i in (1, 2, 3)]
+        chosen = met.groupBy(F.col("node").alias("x")).agg(F.array(*best).alias("y")).select("x", F.explode("y").alias("y")).filter("y is not null")
+        return chosen.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def linking_round(self, placed: DataFrame, turn: int) -> DataFrame:
+        """Pairs of members worth verifying, by the lists of groups and within groups."""
+        inside = self.inside(placed)
+        listed = self.lists.join(inside.select("gid", F.col("low").alias("component")).join(self.weights.hint("merge"), "gid").hint("merge"), "gid")
+        listed = listed.select("shingle", F.col("gid").alias("node"), "n", "component", "weight", _runs("gid", "size").alias("run"))
+        crowded = placed.join(inside.filter("low <> high").select("gid", "members").hint("merge"), "gid")
+        crowded = crowded.select("gid", F.col("rep").alias("node"), "n", "component", F.lit(0.0).alias("weight"), _runs("rep", "members").alias("run"))
+        return self.likely(listed, "shingle", turn).union(self.likely(crowded, "gid", turn)).distinct()
+
+    def open_lists(self, placed: DataFrame, inside: DataFrame) -> DataFrame:
+        """The lists that hold more than one component, with what the filters need."""
+        # bits: the folded bitmap of a group with a single member
+        bits = [F.when(F.col("members") == 1, F.get("folded", F.lit(i))).alias(f"bits{i}") for i in range(4)]
+        known = inside.join(self.members.filter("gid = rep").select("gid", "folded").hint("merge"), "gid").select("gid", "low", "high", *bits)
+        listed = self.lists.drop("size").join(known.hint("merge"), "gid")
+        mixed = listed.groupBy("shingle").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("size")).filter("least <> most").select("shingle", "size")
+        return self.scratch.cut(listed.join(mixed.hint("merge"), "shingle"), "open-lists")
+
+    def in_short_lists(self, placed: DataFrame, inside: DataFrame, listed: DataFrame) -> DataFrame:
+        """Every pair of members in different components whose groups share a short list, or a group, and that may link."""
+        num, den = self.num, self.den
+        x, y = (listed.filter(F.col("size") <= _SHORT).select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("gid", "n", "at", "low", "high", "bits0", "bits1", "bits2", "bits3"))) for s in "xy")
+        distance = sum(F.bit_count(F.col(f"x_bits{i}").bitwiseXOR(F.col(f"y_bits{i}"))) for i in range(4))
+        near = F.coalesce(F.col("x_n") + F.col("y_n") - 2 * least_overlap(num, den) >= distance, F.lit(True))
+        room = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+        apart = F.least("x_low", "y_low") != F.greatest("x_high", "y_high")
+        met = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & (F.col("x_gid") < F.col("y_gid")) & apart & _similar_sizes(num, den, "x_n", "y_n") & (room >= least_overlap(num, den)) & near)
+        several = inside.filter("low <> high").select(F.col("gid").alias("x_gid"), F.col("gid").alias("y_gid"))
+        group_pairs = self.scratch.cut(met.select("x_gid", "y_gid").distinct().union(several), "group-pairs")
+        ends = [placed.select(F.col("gid").alias(f"{s}_gid"), F.col("rep").alias(f"{s}_rep"), F.col("component").alias(f"{s}_component"), F.col("n").alias(f"{s}_n")) for s in "xy"]
+        opened = group_pairs.join(ends[0].hint("merge"), "x_gid").join(ends[1].hint("merge"), "y_gid")
+        opened = opened.filter((F.col("x_component") != F.col("y_component")) & ((F.col("x_gid") != F.col("y_gid")) | (F.col("x_rep") < F.col("y_rep"))))
+        return opened.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+
+    def reordered(self, some: DataFrame) -> DataFrame:
+        """Prefixes of ``some`` members by exact counts: shingle, node, n, at, weight, size.
+
+        Of their shingles only those count that stand in more than one component; all others come
+        before them in the order, so they push them out of the prefixes.
+        """
+        scratch = self.scratch
+        some = scratch.cut(some.select("rep", "n", "component").distinct(), "some")
+        texts = self.texts_of(some.select(F.col("rep").alias("doc_id")).distinct())
+        # a doc_id that is repeated with other texts is one node with several sets
+        sets = texts.mapInArrow(_all_shingles(self.words), "rep long, shingles array<long>").withColumn("set", F.xxhash64("shingles"))
+        sets = scratch.cut(sets.dropDuplicates(["rep", "set"]).withColumn("n", F.size("shingles").cast("long")), "sets")
+        sets = sets.join(some.hint("merge"), ["rep", "n"])
+        every = scratch.cut(sets.select("rep", "set", "n", "component", F.explode("shingles").alias("shingle")), "shingles")
+        shared = every.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high").select("shingle", "size")
+        own = Window.partitionBy("rep", "set")
+        at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("size", "shingle")) - 1
+        crossing = every.join(shared.hint("merge"), "shingle").withColumn("at", at).withColumn("weight", F.sum("size").over(own) / F.col("n"))
+        prefixes = crossing.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * self.num / self.den))
+        return scratch.cut(prefixes.select("shingle", F.col("rep").alias("node"), "n", "at", "weight", "size"), "prefixes")
+
+    def placed_prefixes(self, prefixes: DataFrame, placed: DataFrame) -> DataFrame:
+        return prefixes.join(placed.select(F.col("rep").alias("node"), "component").distinct().hint("merge"), "node")
+
+    def in_prefixes(self, entries: DataFrame) -> DataFrame:
+        """Every pair in different components that shares a shingle of its prefixes and may link."""
+        num, den = self.num, self.den
+        x, y = (entries.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "at", "component"))) for s in "xy")
+        room = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+        met = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")) & _similar_sizes(num, den, "x_n", "y_n") & (room >= least_overlap(num, den)))
+        return met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+
+    def components(self, rounds: int) -> DataFrame:
+        """``members`` with their component, after all that may link is linked."""
+        placed = self.members.select("gid", "rep", "n", F.col("rep").alias("component"))
+        for turn in range(rounds):
+            placed, found = self.contracted(placed, self.verified(self.linking_round(placed, turn)))
+            if not found:
+                break
+        inside = self.inside(placed)
+        listed = self.open_lists(placed, inside)
+        wide = self.scratch.cut(listed.filter(F.col("size") > _SHORT).select("gid").distinct(), "wide")
+        placed, _ = self.contracted(placed, self.verified(self.in_short_lists(placed, inside, listed)))
+        if wide.isEmpty():
+            return placed
+        prefixes = self.reordered(placed.join(wide.hint("merge"), "gid", "left_semi"))
+        for turn in range(rounds):
+            entries = self.placed_prefixes(prefixes, placed).withColumn("run", _runs("node", "size"))
+            placed, found = self.contracted(placed, self.verified(self.likely(entries, "shingle", turn).distinct()))
+            if not found:
+                break
+        return self.contracted(placed, self.verified(self.in_prefixes(self.placed_prefixes(prefixes, placed))))[0]
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
     A-Z count as a-z; a word is a run without ASCII white space. A set is the distinct shingles of
@@ -191,13 +405,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     doc_id reachable by links, the document's own included. Shingles are told apart by 64-bit
     hashes. Rows that repeat a doc_id are one node: their links are pooled. Rows without doc_id
     link with nothing (component_id null). An empty table gives no rows. Other columns are ignored.
+    ``rounds``: linking rounds before all remaining pairs are verified; it changes the work, not
+    the result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    common = rows.select("text").mapInArrow(_common_slots(words), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most _SLOTS rows
-    common = spark.sparkContext.broadcast((common["slot"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
+    common = spark.sparkContext.broadcast(common_slots(rows.select("text"), words))
     signed = scratch.cut(rows.mapInArrow(_signing(words, num, den, common), "doc_id long, n long, set_a long, set_b long, prefix_a long, prefix_b long, bitmap binary, folded array<long>, prefix array<long>"), "signed")
 
     known = signed.filter("n > 0 and doc_id is not null")
@@ -206,70 +421,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     reps = known.drop("prefix").join(classes.select(*key, F.col("rep").alias("doc_id")).hint("merge"), [*key, "doc_id"], "left_semi")
     reps = reps.dropDuplicates(["doc_id", "set_a", "set_b"])
     groups = reps.groupBy("n", "prefix_a", "prefix_b").agg(F.min("doc_id").alias("gid"))
-    members = scratch.cut(reps.join(groups.hint("merge"), ["n", "prefix_a", "prefix_b"]).select("gid", F.col("doc_id").alias("rep"), "n", "bitmap", "folded"), "members")
+    join = _Join(rows, scratch, words, num, den)
+    join.members = scratch.cut(reps.join(groups.hint("merge"), ["n", "prefix_a", "prefix_b"]).select("gid", F.col("doc_id").alias("rep"), "n", "bitmap", "folded"), "members")
 
     # of each group, the prefix of its first member; shingles that stand in one group's prefix only link nothing
-    first = signed.select("doc_id", "n", "prefix").join(members.filter("gid = rep").select(F.col("gid").alias("doc_id"), "n").hint("merge"), ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n"])
+    first = signed.select("doc_id", "n", "prefix").join(join.members.filter("gid = rep").select(F.col("gid").alias("doc_id"), "n").hint("merge"), ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n"])
     listed = first.select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("at", "shingle"))
     shared = listed.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1")
-    lists = scratch.cut(listed.join(shared.hint("merge"), "shingle"), "lists")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs of members (a < b), those that link."""
-        sides = [members.select(F.col("rep").alias(x), F.col("n").alias(f"{x}_n"), F.col("bitmap").alias(f"{x}_bitmap")) for x in "ab"]
-        near = pairs.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b").mapInArrow(_close(num, den), "a long, b long")
-        near = scratch.cut(near.distinct(), "near")
-        ids = scratch.cut(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-        wanted = rows.join(ids.hint("broadcast" if ids.count() <= _FEW else "merge"), "doc_id", "left_semi")
-        texts = scratch.cut(wanted, "texts")
-        sides = [texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab"]
-        met = near.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b").select("a", "b", "a_text", "b_text")
-        found = scratch.cut(met.mapInArrow(_verifying(words, num, den), "a long, b long"), "links")
-        scratch.drop(near, ids, texts)
-        return found
+    join.lists = scratch.cut(listed.join(shared.hint("merge"), "shingle"), "lists")
 
-    # Round 1: neighbours in each list and in each group, in runs of bounded length
-    def chained(df: DataFrame, key: str, node: str, runs) -> DataFrame:
-        order = Window.partitionBy(key, "run").orderBy("n", node)
-        nexts = [df.withColumn("run", runs).select(F.col(node).alias("x"), "n", F.lead(node, i).over(order).alias("y"), F.lead("n", i).over(order).alias("y_n")) for i in (1, 2)]
-        out = nexts[0].union(nexts[1]).filter(F.col("y").isNotNull() & (F.col("x") != F.col("y")) & _similar_sizes(num, den, "n", "y_n"))
-        return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-    runs = F.pmod(F.xxhash64("gid"), F.ceil(F.col("size") / _CHAIN).cast("long"))
-    in_lists = chained(lists.filter("size > 2"), "shingle", "gid", runs)
-    crowd = scratch.cut(members.groupBy("gid").agg(F.count("*").alias("size")).filter("size > 1"), "crowds")
-    crowded = members.select("gid", "rep", "n").join(crowd.hint("merge"), "gid")
-    in_groups = chained(crowded, "gid", "rep", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / _CHAIN).cast("long")))
-    links = verified(in_lists.union(in_groups).distinct())
-    labels = components(links, scratch)
-
-    # Round 2: every pair that is not yet in one component
-    placed = members.select("gid", "rep", "n").join(labels.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
-    placed = scratch.cut(placed.withColumn("component", F.coalesce("component", "rep")), "placed")
-    # whole: the one component of a group; bits: the folded bitmap of a group with a single member
-    inside = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-    bits = [F.when(F.col("members") == 1, F.get("folded", F.lit(i))).alias(f"bits{i}") for i in range(4)]
-    inside = inside.join(members.filter("gid = rep").select("gid", "folded").hint("merge"), "gid")
-    inside = scratch.cut(inside.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("whole"), *bits), "groups")
-    lists2 = lists.drop("size").join(inside.hint("merge"), "gid")
-    x, y = (lists2.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("gid", "n", "at", "whole", "bits0", "bits1", "bits2", "bits3"))) for side in "xy")
-    distance = sum(F.bit_count(F.col(f"x_bits{i}").bitwiseXOR(F.col(f"y_bits{i}"))) for i in range(4))
-    near = F.coalesce(F.col("x_n") + F.col("y_n") - 2 * least_overlap(num, den) >= distance, F.lit(True))
-    least = least_overlap(num, den)
-    room = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1
-    apart = F.col("x_whole").isNull() | F.col("y_whole").isNull() | (F.col("x_whole") != F.col("y_whole"))
-    met = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & (F.col("x_gid") < F.col("y_gid")) & apart & _similar_sizes(num, den, "x_n", "y_n") & (room >= least) & near)
-    group_pairs = met.select("x_gid", "y_gid").distinct()
-    mixed = inside.filter("whole is null").select("gid")
-    group_pairs = scratch.cut(group_pairs.union(mixed.select(F.col("gid"), F.col("gid"))), "group-pairs")
-    ends = [placed.select(F.col("gid").alias(f"{s}_gid"), F.col("rep").alias(f"{s}_rep"), F.col("component").alias(f"{s}_component"), F.col("n").alias(f"{s}_n")) for s in "xy"]
-    opened = group_pairs.join(ends[0].hint("merge"), "x_gid").join(ends[1].hint("merge"), "y_gid")
-    opened = opened.filter((F.col("x_component") != F.col("y_component")) & ((F.col("x_gid") != F.col("y_gid")) | (F.col("x_rep") < F.col("y_rep"))) & _similar_sizes(num, den, "x_n", "y_n"))
-    more = verified(opened.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct())
-    labels = components(links.union(more), scratch)
+    join.weights = scratch.cut(join.lists.groupBy("gid").agg((F.sum("size") / F.max("n")).alias("weight")), "weights")
+    placed = join.components(rounds)
 
     ids = signed.select("doc_id", "n", "set_a", "set_b").join(classes.hint("merge"), key, "left")
-    out = ids.join(labels.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
+    out = ids.join(placed.select("rep", "component").distinct().hint("merge"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 

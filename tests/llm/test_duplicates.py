@@ -50,6 +50,19 @@ def near_copies(n):
     return out + [(3000 + k, f"{passage} " + " ".join(f"q{k}_{i}" for i in range(k))) for k in range(15)]
 
 
+def crowd_of_outliers(n):
+    """A crowd whose members link only through others, and outliers that share much with all and link with none."""
+    base = [f"k{i}" for i in range(150)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        for j in range(4):  # a window of edits that moves on: only close numbers link
+            words[(6 * k + 7 * j) % 150] = f"e{(6 * k + 7 * j) % 150}"
+        out.append((5000 + k, " ".join(words)))
+        out.append((6000 + k, " ".join(w if i % 9 else f"o{k}_{i}" for i, w in enumerate(base))))
+    return out
+
+
 @pytest.mark.parametrize("words,num,den", [(4, 85, 100), (5, 80, 100)])
 def test_components_equal_brute_force(spark, docs, odd_docs, words, num, den):
     made = spark.createDataFrame(near_copies(60), "doc_id long, text string")
@@ -60,6 +73,16 @@ def test_components_equal_brute_force(spark, docs, odd_docs, words, num, den):
     assert len({c for i, _, c in got if 1000 <= i < 2000}) < 60
 
 
+@pytest.mark.parametrize("rounds,short", [(0, 2), (1, 1)])
+def test_work_is_split_without_losing_links(spark, monkeypatch, rounds, short):
+    """Few linking rounds and short lists leave more to the pairs at the end; the result is the same."""
+    monkeypatch.setattr(jaccard, "_SHORT", short)
+    rows = near_copies(40) + crowd_of_outliers(30)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(table, 5, 80, 100, rounds=rounds).collect())
+    assert got == brute_components(rows, 5, 80, 100)
+
+
 def test_components_of_odd_rows(odd_docs, empty_docs):
     got = jaccard.near_duplicates(odd_docs).collect()
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
@@ -70,7 +93,9 @@ def test_components_of_odd_rows(odd_docs, empty_docs):
 
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
-    assert {r.component for r in jaccard.components(edges, Scratch(spark, "test")).collect()} == {0}
+    for part in (500_000, 40):  # one task, and stars of several tasks put together
+        found = jaccard.components(edges.repartition(9), Scratch(spark, "test"), part).collect()
+        assert len(found) == 301 and {r.component for r in found} == {0}
 
 
 def test_bitmap_filter_never_drops_a_link():
