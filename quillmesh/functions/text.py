@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
+DOI_IN_TEXT = r"(?i)\b10\.\d{4,9}/[-._;()/:a-z0-9]+\b"
 DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "https://dx.doi.org/", "http://dx.doi.org/", "doi:")
 SPACE = " \t\n\r\f\x0b"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -89,11 +90,14 @@ def sentences(c: Column, more_than: int = 20) -> Column:
 
 
 def find_doi(c: Column) -> Column:
-    return blank_to_null(F.rtrim(F.regexp_extract(c, r"(10\.\d{4,9}/[^\s\"<>]+)", 1), F.lit(".,;")))
+    """The first DOI in a text: a registrant of 4 to 9 digits and a suffix of letters, digits and ``-._;()/:``."""
+    return blank_to_null(F.rtrim(F.regexp_extract(c, DOI_IN_TEXT, 0), F.lit(".,;")))
 
 
 def year_of(c: Column) -> Column:
-    return F.expr(f"try_cast(substring(btrim({c._jc.toString()}), 1, 4) as int)")
+    """Of a year or a date as text, or of nested date-parts as JSON ([[2019, 3]]): the first four digits' number."""
+    plain = F.ltrim(strip(c.cast("string")), F.lit("[ "))
+    return F.left(plain, F.lit(4)).try_cast("int")
 
 
 def pages(first: Column, last: Column) -> Column:
@@ -110,9 +114,9 @@ def doc_type(c: Column) -> Column:
 def from_inverted_index(c: Column) -> Column:
     """Text of a map from word to positions: in order of position, the later word wins a slot, gaps dropped."""
     pairs = F.flatten(F.transform(F.map_entries(c), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    by_place = F.array_sort(pairs)
-    last = F.filter(by_place, lambda x, i: F.coalesce(F.get(by_place, i + 1)["p"] != x["p"], F.lit(True)))
-    return F.array_join(F.transform(last, lambda x: x["w"]), " ")
+    # bound once as the only element of an array: a lambda's outer expressions are computed for each element
+    beside = lambda s: F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.when(y["p"].isNull() | (y["p"] != x["p"]), x["w"]))
+    return F.array_join(F.get(F.transform(F.array(F.array_sort(pairs)), beside), F.lit(0)), " ")
 
 
 def strip_fences(c: Column) -> Column:
@@ -126,3 +130,54 @@ def count_criteria(c: Column, prefix: str = "IC") -> Column:
 
 def contains_any(c: Column, terms) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for t in terms])
+
+
+def quality_items(response: Column, items: list[str]) -> list[Column]:
+    """1, 0 or null for each item of a quality response: whole numbers from 1 on (or true) count as 1, the rest as 0.
+
+    A number with a fraction is cut to a whole one; other values, missing ones and broken JSON are null.
+    """
+    data = F.from_json(F.coalesce(F.nullif(strip_fences(response), F.lit("")), response), "map<string,string>")
+
+    def item(name):
+        v = strip(data[name])
+        n = F.when(v.rlike(r"^[+-]?\d+(\.\d+)?$"), v.try_cast("double")).when(v == "true", 1.0).when(v == "false", 0.0)
+        return F.when(n >= 1, 1).when(n.isNotNull(), 0).alias(name)
+
+    return [item(i) for i in items]
+
+
+def tag_list(values: Column, allowed) -> Column:
+    """Slugs of an array's values that a vocabulary allows, each once, in order, with bars between them."""
+    slugs = F.transform(F.coalesce(values, F.array().cast("array<string>")), slugify)
+    return F.array_join(F.array_distinct(F.filter(slugs, lambda x: x.isin(*allowed))), "|")
+
+
+def enum_value(value: Column, allowed, default: str) -> Column:
+    """A value's slug where a vocabulary allows it, else ``default``."""
+    return F.when(slugify(value).isin(*allowed), slugify(value)).otherwise(default)
+
+
+def search_link(title: Column, base: str = "https://scholar.google.com/scholar?q=") -> Column:
+    """A search for a title in quotes, percent-encoded."""
+    encoded = F.url_encode(F.concat(F.lit('"'), title, F.lit('"')))
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        encoded = F.replace(encoded, F.lit(a), F.lit(b))
+    return F.concat(F.lit(base), encoded)
+
+
+def clean_cell(c: Column) -> Column:
+    """A cell of a sheet: control characters and runs of white space as one space; null as empty."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
+    return F.btrim(F.regexp_replace(plain, r"(?U)\s+", " "))
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    """A share as text, rounded half to even, for renderers only."""
+    return F.concat(F.replace(F.format_number(100 * share, digits), F.lit(","), F.lit("")), F.lit("%"))
+
+
+def blank_if_missing(c: Column) -> Column:
+    """Text of a value; null, NaN and the words nan and none as empty."""
+    text = strip(c.cast("string"))
+    return F.when(c.isNull() | F.lower(text).isin("nan", "none"), "").otherwise(text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def first_wins(df: DataFrame, keys: list[str], *order, blank_exempt: bool = True) -> DataFrame:
     """One row of each key, the first in order; rows with a null key are all kept unless told otherwise."""
@@ -21,10 +23,12 @@ def latest(df: DataFrame, key: str, *order) -> DataFrame:
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, rate: float, seed: str) -> DataFrame:
     """Of each stratum max(1, half-even round(size * rate)) rows, by hash order: the same rows on any engine."""
-    by = Window.partitionBy(stratum)
-    order = by.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + seed))), key)
-    sized = df.withColumn("_n", F.count("*").over(by)).withColumn("_at", F.row_number().over(order))
-    return sized.filter(F.col("_at") <= F.greatest(F.lit(1), F.bround(F.col("_n") * rate))).drop("_n", "_at")
+    draw = F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + seed)))
+    # a stratum may be a third of the table: ranks come from one sort of all rows, not from a window by stratum
+    ranked = written(global_rank(df.withColumn("_draw", draw), "_at", F.asc(stratum), F.asc("_draw"), F.asc(key)), "ranked")
+    sizes = ranked.groupBy(F.col(stratum).alias("_stratum")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    chosen = ranked.join(sizes.hint("merge"), F.col(stratum).eqNullSafe(F.col("_stratum")))
+    return chosen.filter(F.col("_at") - F.col("_first") < F.greatest(F.lit(1), F.bround(F.col("_n") * rate))).select(*df.columns)
 
 
 def simple_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
@@ -39,7 +43,7 @@ def global_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
+    ranged = written(ranged, "ranged")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = ranged.join(F.broadcast(before.drop("_n")), "_part")  # a row for each partition
@@ -47,7 +51,9 @@ def global_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
 
 
 def batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    return df.withColumn("batch_no", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    """Adds batch_no: rows in order of a column, ``size`` to a batch. Ranks go with the key alone, the rest is joined on."""
+    ranked = global_rank(df.select(order), "_rank", F.asc(order))
+    return df.join(ranked.hint("merge"), order).withColumn("batch_no", F.floor((F.col("_rank") - 1) / size)).drop("_rank")
 
 
 def pending(todo: DataFrame, done: DataFrame, key: str, decision: str) -> DataFrame:

@@ -33,6 +33,14 @@ def parse_decisions(responses: DataFrame, on_error: str = "maybe") -> DataFrame:
     ).drop("_data")
 
 
+def parse_pages(responses: DataFrame, ok: str = "succeeded", on_error: str = "maybe") -> DataFrame:
+    """Responses with a status: those that failed have no decision; adds state (failed, unparsed or parsed)."""
+    out = parse_decisions(responses, on_error)
+    failed = F.coalesce(F.col("status"), F.lit("")) != ok
+    state = F.when(failed, "failed").when(F.col("parsed"), "parsed").otherwise("unparsed")
+    return out.withColumns({"state": state, "decision": F.when(~failed, F.col("decision"))})
+
+
 def evidence_policy(df: DataFrame, lowered: str = "maybe", note: str = "Abstract missing: include lowered, needs review.") -> DataFrame:
     """Without an abstract: two tags more, low confidence, manual review, and no include."""
     missing = blank_to_null(F.col("abstract")).isNull()
@@ -90,9 +98,12 @@ def all_matches(text: Column, rules: list[tuple[str, str]]) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(label)) for label, p in rules)))
 
 
-def clusters(df: DataFrame, rules: dict[str, tuple[list[str], list[str]]], column: str = "matched_ic") -> DataFrame:
-    """A row for each cluster whose wanted criteria are all matched and unwanted ones are not."""
-    labels = []
+def clusters(df: DataFrame, rules: dict[str, tuple[list[str], list[str]]], column: str = "matched_ic", members: dict[str, list] | None = None, key: str = "id") -> DataFrame:
+    """A row for each cluster whose wanted criteria are all matched and unwanted ones are not.
+
+    ``members``: clusters given by the ids of their rows instead, lists made by hand.
+    """
+    labels = [F.when(F.col(key).isin(ids), F.lit(label)) for label, ids in (members or {}).items()]
     for label, (wanted, unwanted) in rules.items():
         test = reduce(lambda a, b: a & b, [F.contains(column, F.lit(w)) for w in wanted] + [~F.contains(column, F.lit(u)) for u in unwanted], F.lit(True))
         labels.append(F.when(test, F.lit(label)))

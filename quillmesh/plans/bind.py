@@ -11,9 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as papers: the first line is the title, the rest the abstract."""
+    """documents as papers: the title is the first line up to 200 characters, the abstract all that follows it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(200)).alias("title"))
-    line = F.instr("text", "\n")
+    after = F.substring("text", F.length("title") + 1, F.length("text"))
+    rest = F.when(F.startswith(after, F.lit("\n")), F.substring(after, F.lit(2), F.length("text"))).otherwise(after)
     k, n = F.col("doc_id"), F.length("title")
     prefix = F.when(k % 3 == 0, "").when(k % 3 == 1, "https://doi.org/").otherwise("doi:")
     doi = F.concat(prefix, F.lit("10."), (1000 + n % 97).cast("string"), F.lit("/"), F.left(F.md5(F.lower("title")), F.lit(12)))
@@ -23,7 +24,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(k.cast("string"), 8, "0").alias("internal_id"),
         F.col("source").alias("source_db"),
         "title",
-        F.when(~((k % 4 == 0) | (line == 0)), F.expr("substring(text, instr(text, '\n') + 1)")).alias("abstract"),
+        F.when(~((k % 4 == 0) | (after == "")), rest).alias("abstract"),
         (1994 + n % 33).cast("int").alias("year"),
         F.when(k % 5 != 0, doi).alias("doi"),
         F.col("lang").alias("language"),
@@ -36,9 +37,31 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provider(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers of abstracts for every fourth paper, from two sources by turns."""
+    """Offers of abstracts for all papers, from two sources by turns."""
     full = papers(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text"), "pos")
-    return full.filter("pos % 4 = 0").select("pos", F.when(F.col("pos") % 8 == 0, "alpha").otherwise("beta").alias("provider"), "doi", "title", "year", F.left("text", F.lit(300)).alias("abstract"))
+    return full.select("pos", F.when(F.col("pos") % 8 == 0, "alpha").otherwise("beta").alias("provider"), "doi", "title", "year", F.col("text").alias("abstract"))
+
+
+def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """benchmark items as known items: the title is the first line up to 200 characters, the DOI made as for papers."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(200)).alias("title"))
+    doi = F.concat(F.lit("10."), (1000 + F.length("title") % 97).cast("string"), F.lit("/"), F.left(F.md5(F.lower("title")), F.lit(12)))
+    return items.select("item_id", "title", doi.alias("doi"), F.lit(None).cast("int").alias("year"))
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels as what an earlier queue said of its records."""
+    good = F.col("quality") == 1
+    said = F.when(F.col("toxic") == 1, "exclude").when(good, "include").otherwise("pending")
+    named = lambda word: F.concat(F.lit(word), F.col("doc_id"))
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("pos"), said.alias("ft_decision"), F.when(good, named("https://old.org/")).alias("ft_oa_url"), named("seen ").alias("ft_rationale"), F.when(good, "high").otherwise("low").alias("ft_confidence"), named("kept ").alias("abstract")
+    )
+
+
+def pdf_file():
+    """The file of a queued record that has been downloaded."""
+    return F.when(F.col("pdf_status") == "downloaded", F.concat(F.lit("f"), F.col("pos"), F.lit(".pdf")))
 
 
 def rater_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from ..operators import profiles as R
 _P = r"""
 papers as (
   select doc_id as pos, lpad(cast(doc_id as varchar), 8, '0') as internal_id, source as source_db, title,
-    case when doc_id % 4 = 0 or strpos(text, chr(10)) = 0 then null else substr(text, strpos(text, chr(10)) + 1) end as abstract,
+    case when doc_id % 4 = 0 or text = title then null when text[length(title) + 1] = chr(10) then substr(text, length(title) + 2) else substr(text, length(title) + 1) end as abstract,
     cast(1994 + length(title) % 33 as int) as year,
     case when doc_id % 5 = 0 then null else (case doc_id % 3 when 0 then '' when 1 then 'https://doi.org/' else 'doi:' end)
       || '10.' || cast(1000 + length(title) % 97 as varchar) || '/' || left(md5(lower(title)), 12) end as doi,
@@ -31,7 +31,8 @@ flags as (select pos, internal_id, source_db, norm_doi, richness,
   case when norm_doi is null then null when leads then first_value(case when leads then internal_id end ignore nulls) over (partition by norm_doi order by pos rows between 1 following and unbounded following) else holder end as duplicate_of,
   case when norm_doi is null then internal_id else arg_max(internal_id, richness * 10000000000 - pos) over (partition by norm_doi) end as canonical_id from lead)"""
 )
-_PROVIDER = "provider as (select pos, case when pos % 8 = 0 then 'alpha' else 'beta' end as provider, doi, title, year, left(text, 300) as abstract from papers where pos % 4 = 0)"
+_PROVIDER = "provider as (select pos, case when pos % 8 = 0 then 'alpha' else 'beta' end as provider, doi, title, year, text as abstract from papers)"
+_CONTROLS = "(select item_id, title, '10.' || cast(1000 + length(title) % 97 as varchar) || '/' || left(md5(lower(title)), 12) as d from (select item_id, left(split_part(text, chr(10), 1), 200) as title from benchmark))"
 _R = """
 raters as (select doc_id, source, case when doc_id % 2 = 0 then 'TA' else 'FT' end as stage,
   case when toxic = 1 then 'exclude' when quality = 1 then 'include' else 'maybe' end as "primary",
@@ -175,8 +176,8 @@ select m.pos, length(coalesce(m.abstract, g.abstract)) as n_chars, g.provider as
         "resume_pending": f"with {_DEC} select c_custkey as id from customer where c_custkey not in (select id from latest where decision <> 'ERROR')",
         "aux_corpus": f"with {_P} select pos, source_db from papers where pos not in (select doc_id from labels where quality = 1)",
         "working_set": f"with {_P} select source_db, language, count(*) as n from papers where source_db <> 'src0' and source_db in (select source_db from papers where language = 'en') group by all",
-        "two_key_lookup": f"with {_P}, t as (select nullif({_ND('doi')}, '') as d, nullif({_NT('title')}, '') as t, 'v' || pos as label, pos from papers where pos % 3 = 1), bd as (select d, arg_min(label, pos) as label from t where d is not null group by 1), bt as (select t, arg_min(label, pos) as label from t where t is not null group by 1) select p.pos, coalesce(bd.label, bt.label) as label from papers p left join bd on nullif({_ND('p.doi')}, '') = bd.d left join bt on nullif({_NT('p.title')}, '') = bt.t",
-        "new_candidates": f"with {_P}, f as (select pos, year, {_ND('doi')} as d, {_NT('title')} as t from papers), known as (select * from f where pos % 10 = 0), fresh as (select * from f where pos % 2 = 1 and length(t) > 5 and (d is null or d not in (select d from known where d is not null)) and t not in (select t from known)), one as (select * from (select *, row_number() over (partition by d order by pos) as rn from fresh) where rn = 1 or d is null), two as (select * from (select *, row_number() over (partition by t order by pos) as rt from one) where rt = 1) select pos, year from two",
+        "two_key_lookup": f"with {_P}, t as (select nullif({_ND('doi')}, '') as d, nullif({_NT('title')}, '') as t, 'v' || pos as label, pos from papers), bd as (select d, arg_min(label, pos) as label from t where d is not null group by 1), bt as (select t, arg_min(label, pos) as label from t where t is not null group by 1) select p.pos, coalesce(bd.label, bt.label) as label from papers p left join bd on nullif({_ND('p.doi')}, '') = bd.d left join bt on nullif({_NT('p.title')}, '') = bt.t",
+        "new_candidates": f"with {_P}, f as (select pos, year, {_ND('doi')} as d, {_NT('title')} as t from papers), known as (select d, {_NT('title')} as t from {_CONTROLS}), fresh as (select * from f where length(t) > 5 and (d is null or d not in (select d from known where d is not null)) and t not in (select t from known)), one as (select * from (select *, row_number() over (partition by d order by pos) as rn from fresh) where rn = 1 or d is null), two as (select * from (select *, row_number() over (partition by t order by pos) as rt from one) where rt = 1) select pos, year from two",
         "title_blocks": f"with {_P}, t as (select pos, year, split_part({_NT('title')}, ' ', 1) as word, array_to_string(list_sort(string_split({_NT('title')}, ' ')), ' ') as s from papers where {_NT('title')} <> ''), j as (select a.year, a.word, levenshtein(a.s, b.s) as lev, 8 * (length(a.s) + length(b.s)) as budget, abs(length(a.s) - length(b.s)) as gap from t a join t b on a.year = b.year and a.word = b.word and a.pos < b.pos), v as (select year, word, 100 * gap > budget or 100 * lev > budget as far, 200 * lev <= budget as near from j) select year, word, count(*) as pairs, count(*) filter (not far and near) as accepted, count(*) filter (far) as rejected from v group by all",
         "ft_queue": f"with {_Q} select pos, score, band, row_number() over (order by score desc, title, pos) as rank from scored",
         "priority_groups": f"with {_Q} select grp, band, count(*) as n, min(score) as low, max(score) as high from scored group by all",
@@ -214,11 +215,11 @@ select m.pos, length(coalesce(m.abstract, g.abstract)) as n_chars, g.provider as
         "first_source": f"select c_custkey, case when s7 then 's7' when s5 then 's5' when s3 then 's3' when s2 then 's2' end as source, s7 or s5 or s3 or s2 as recovered from {_FLAGS}",
         "vocab_warnings": "with k as (select event_id, props->>'$.k' as k from events) select event_id, case when k is null then 'missing small' when cast(k as int) > 80 then 'invalid small: ' || k else '' end as warnings, k is null or cast(k as int) > 80 as needs_review from k",
         "inverted_index_text": "select doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' ') as text from documents where len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 0",
-        "request_batches": f"with {_P}, o as (select *, floor((row_number() over (order by pos) - 1) / 50)::bigint as batch_no from papers where pos % 4 = 0) select pos, batch_no, md5('Title: ' || coalesce(nullif(trim(title, {_WS}), ''), '(none)') || chr(10) || 'Text: ' || coalesce(left(abstract, 400), '(missing)')) as digest from o",
+        "request_batches": f"with {_P}, o as (select *, floor((row_number() over (order by pos) - 1) / 50)::bigint as batch_no from papers) select pos, batch_no, md5('Title: ' || coalesce(nullif(trim(title, {_WS}), ''), '(none)') || chr(10) || 'Text: ' || coalesce(left(abstract, 400), '(missing)')) as digest from o",
         "reading_list": f"with {_Q} select pos, 3 * contains(matched_ic, 'IC1')::int + 3 * contains(matched_ic, 'IC2')::int + 2 * contains(matched_ic, 'IC3')::int + contains(matched_ic, 'IC4')::int + 2 * (pdf_status = 'downloaded')::int + (year >= 2020)::int + (venue is not null)::int as score from queue order by score desc, pos limit 30",
         "stage_status": f"with {_D} select count(*) as n, 'raw' as stage from papers union all select count(*) filter (duplicate_of is null), 'unique' from flags union all select count(*) filter (pos % 3 <> 2), 'queued' from papers union all select count(*) filter (pos % 3 = 0), 'included' from papers",
         "manifest_status": "select case o_orderstatus when 'F' then 'downloaded' when 'O' then 'oa_found' else 'manual' end as status, count(*) as n, count(distinct o_custkey) as ids from orders group by 1",
-        "control_hits": f"with c as (select item_id, left({_NT('text')}, 40) as key from benchmark), d as (select doc_id, source, left({_NT('line')}, 40) as key from (select doc_id, source, unnest(string_split(text, chr(10))) as line from documents)), h as (select item_id, string_agg(distinct source, '|' order by source) as sources, min(doc_id) as first_doc, count(distinct doc_id) as docs from d join c using (key) group by 1) select item_id, sources, first_doc, coalesce(docs, 0) as docs from c left join h using (item_id)",
+        "control_hits": f"with c as (select item_id, {_NT('text')} as key from benchmark), d as (select doc_id, source, {_NT('line')} as key from (select doc_id, source, unnest(string_split(text, chr(10))) as line from documents)), h as (select item_id, string_agg(distinct source, '|' order by source) as sources, min(doc_id) as first_doc, count(distinct doc_id) as docs from d join c using (key) group by 1) select item_id, sources, first_doc, coalesce(docs, 0) as docs from c left join h using (item_id)",
         "usable_urls": "select page_id, url from pages where coalesce(url, '') <> '' and not contains(url, 'dx.doi.org/') and not contains(url, 'doi.org/10.') and not contains(url, 'example.org')",
         "text_profile": f"with {_PROFILE} select pos, relevance, method, evidence, limitations, context, data_source, technique, decision, reason, questions, case when len(tags) = 0 then 'Requer decisão manual' else array_to_string(tags, ', ') end as criteria, phases, level, priority, assessment from judged",
         "qa_inferred": _inferred(),

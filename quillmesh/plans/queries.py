@@ -79,12 +79,13 @@ def working_set(spark, sf):
 
 def two_key_lookup(spark, sf):
     p = bind.papers(spark, sf)
-    return enrich.two_key_lookup(p.select("pos", "doi", "title"), p.filter("pos % 3 = 1").withColumn("label", F.concat(F.lit("v"), F.col("pos"))), "label").select("pos", "label")
+    return enrich.two_key_lookup(p.select("pos", "doi", "title"), p.withColumn("label", F.concat(F.lit("v"), F.col("pos"))), "label").select("pos", "label")
 
 
 def new_candidates(spark, sf):
-    p = bind.papers(spark, sf)
-    return enrich.new_candidates(p.filter("pos % 2 = 1"), p.filter("pos % 10 = 0")).select("pos", "year")
+    """Papers that are new against the benchmark's items seen as a corpus."""
+    known = bind.controls(spark, sf)
+    return enrich.new_candidates(bind.papers(spark, sf), known).select("pos", "year")
 
 
 def title_blocks(spark, sf):
@@ -300,13 +301,14 @@ def vocab_warnings(spark, sf):
 def inverted_index_text(spark, sf):
     d = bind.table(spark, sf, "documents")
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    placed = d.select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    # dealt by document first, so that both aggregations follow without another shuffle
+    placed = d.select("doc_id", words.alias("words")).repartition("doc_id").select("doc_id", F.posexplode("words").alias("p", "w")).groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     maps = placed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
     return maps.select("doc_id", T.from_inverted_index(F.col("index")).alias("text"))
 
 
 def request_batches(spark, sf):
-    p = keys.batches(bind.papers(spark, sf).filter("pos % 4 = 0"), "pos", 50)
+    p = keys.batches(bind.papers(spark, sf), "pos", 50)
     prompt = F.concat(F.lit("Title: "), F.coalesce(T.blank_to_null(F.col("title")), F.lit("(none)")), F.lit("\nText: "), F.coalesce(F.left("abstract", F.lit(400)), F.lit("(missing)")))
     return p.select("pos", "batch_no", F.md5(prompt).alias("digest"))
 
@@ -335,10 +337,10 @@ def manifest_status(spark, sf):
 
 
 def control_hits(spark, sf):
-    """Known items by document: a control counts as found where a document starts a line with its first words."""
-    controls = bind.table(spark, sf, "benchmark").select("item_id", F.left(T.norm_title(F.col("text")), F.lit(40)).alias("key"))
-    docs = bind.table(spark, sf, "documents").select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", "source", F.left(T.norm_title(F.col("line")), F.lit(40)).alias("key"))
-    hits = docs.join(controls, "key").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"), F.min("doc_id").alias("first_doc"), F.countDistinct("doc_id").alias("docs"))
+    """Known items by document: a control counts as found where a whole line of a document has its words."""
+    controls = bind.table(spark, sf, "benchmark").select("item_id", T.norm_title(F.col("text")).alias("key"))
+    docs = bind.table(spark, sf, "documents").select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", "source", T.norm_title(F.col("line")).alias("key"))
+    hits = docs.join(controls.hint("shuffle_hash"), "key").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"), F.min("doc_id").alias("first_doc"), F.countDistinct("doc_id").alias("docs"))
     return controls.select("item_id").join(hits, "item_id", "left").select("item_id", "sources", "first_doc", F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
