@@ -3,40 +3,30 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is unset.
-
-    Unset on a local master: a fresh temporary folder. Unset on a cluster: a folder under the
-    warehouse, which every executor reaches.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if context.master.startswith("local["):
-        own = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    else:
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    spark.conf.set("spark.checkpoint.dir", own)
-    context.setCheckpointDir(own)
-    return own
+from ..storage import shared_folder
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; readable after any executor is lost."""
+    """Tables written to the shared folder to cut lineage; readable after any executor is lost.
+
+    What an operator returns reads them, so they go when the application ends, unless dropped before.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._made = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        # with its scheme, so that a path without one means the same store to Spark and to a worker's own reader
+        self.root = files.makeQualified(path).toString()
 
     def folder(self, name: str) -> str:
         self._made += 1
@@ -57,11 +47,12 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Rows of whole texts are wide: no more than ``rows`` of them go to Python at a time from now on."""
+def text_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
+    """Rows of whole texts are wide: no more than ``rows`` of them, or ``size`` bytes and one row, go to Python at a time from now on."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def column_bytes(column: pa.Array) -> list[bytes]:

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: grouped prefix join and connected components.
 
 A document is the set of its distinct word shingles. All sets are put in one global order, common
-shingles last; two sets that are similar enough share a shingle in their prefixes. Documents
+shingles last as a count table of fixed size tells them; two sets that are similar enough share a shingle in their prefixes. Documents
 with equal sets are one class; classes with identical prefixes and size are one group. Pairs
 of groups that share a prefix shingle pass a size, a position and a bitmap filter, and only then
 are their members' whole texts compared.
@@ -73,12 +73,15 @@ def _slots(words: int):
         """The count table of this part of the documents, of fixed size, in chunks."""
         shingler, counts = Shingler(words), np.zeros(_SLOTS, np.int64)
         held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for s in shingler.sets(column_bytes(batch.column("text"))):
                 held.append(s)
-                if len(held) >= 2048 or len(s) > _SLOTS:
-                    counts, held = counts + _slot_counts(held), []
-        counts = counts + _slot_counts(held)
+                size += len(s)
+                if size >= _SLOTS // 2:
+                    counts += _slot_counts(held)
+                    held, size = [], 0
+        counts += _slot_counts(held)
         for chunk in range(_SLOTS // _CHUNK):
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": [counts[chunk * _CHUNK : (chunk + 1) * _CHUNK].tobytes()]})
 
@@ -94,16 +97,14 @@ def _summed(batches):
     yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
 
-def common_slots(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, counts) of the slots that stand out in the whole table: at most _SLOTS of them."""
+def slot_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """Shingles of the whole table by slot of their hash: a table of fixed size, by which shingles are ordered."""
     kinds = "chunk int, counts binary"
     chunks = texts.mapInArrow(_slots(words), kinds).repartition(_SLOTS // _CHUNK, "chunk").mapInArrow(_summed, kinds).collect()
     counts = np.zeros(_SLOTS, np.int64)
     for row in chunks:
         counts[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(row.counts, np.int64)
-    mean = counts.mean()
-    slots = np.flatnonzero(counts > mean + 6 * np.sqrt(mean) + 8)
-    return slots, counts[slots]
+    return np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
 def _prefix_length(n: int, num: int, den: int) -> int:
@@ -125,9 +126,7 @@ def _folded(s: np.ndarray) -> list[int]:
 
 def _signing(words: int, num: int, den: int, common):
     def sign(batches):
-        shingler, weight = Shingler(words), np.zeros(_SLOTS, np.int64)
-        slots, counts = common.value
-        weight[slots] = counts
+        shingler, weight = Shingler(words), common.value
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("n", "set_a", "set_b", "prefix_a", "prefix_b", "bitmap", "folded", "prefix")}
             for s in shingler.sets(column_bytes(batch.column("text"))):
@@ -300,10 +299,11 @@ class _Join:
         order = Window.partitionBy(key, "run").orderBy("n", F.xxhash64("node", F.lit(turn)), "node")
         first = Window.partitionBy(key, "run", "bucket").orderBy(F.desc("weight"), "node")
         names = ("node", "n", "component")
-        met = entries.select(key, *names, F.array(*(F.struct(*(F.lag(c, i).over(order).alias(f"y_{c}") for c in names), F.lit(i).alias("kind")) for i in (1, 2)), F.struct(*(F.first(c).over(first).alias(f"y_{c}") for c in names), F.lit(3).alias("kind"))).alias("y"))
-        met = met.select(*names, F.explode("y").alias("y")).select(*names, "y.*")
-        may = (F.col("node") != F.col("y_node")) & (F.col("component") != F.col("y_component")) & _similar_sizes(self.num, self.den, "n", "y_n")
-        met = met.filter(may).groupBy("node", "y_node", "kind").agg(F.count("*").alias("times"))
+        beside = [F.struct(*(F.lag(c, i).over(order).alias(c) for c in names), F.lit(i).alias("kind")) for i in (1, 2)]
+        weightiest = F.struct(*(F.first(c).over(first).alias(c) for c in names), F.lit(3).alias("kind"))
+        may = lambda y: (F.col("node") != y["node"]) & (F.col("component") != y["component"]) & (F.col("n") * self.num <= y["n"] * self.den) & (y["n"] * self.num <= F.col("n") * self.den)
+        seen = entries.select(*names, F.array(*beside, weightiest).alias("y")).select("node", F.explode(F.filter("y", may)).alias("y"))
+        met = seen.groupBy("node", F.col("y.node").alias("y_node"), F.col("y.kind").alias("kind")).agg(F.count("*").alias("times"))
         best = [F.expr(f"max_by(y_node, struct(times, -y_node)) filter (where kind = {i})") for i in (1, 2, 3)]
         chosen = met.groupBy(F.col("node").alias("x")).agg(F.array(*best).alias("y")).select("x", F.explode("y").alias("y")).filter("y is not null")
         return chosen.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -412,7 +412,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     scratch = Scratch(spark, "jaccard")
     text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    common = spark.sparkContext.broadcast(common_slots(rows.select("text"), words))
+    common = spark.sparkContext.broadcast(slot_counts(rows.select("text"), words))  # 4 MB, whatever the table
     signed = scratch.cut(rows.mapInArrow(_signing(words, num, den, common), "doc_id long, n long, set_a long, set_b long, prefix_a long, prefix_b long, bitmap binary, folded array<long>, prefix array<long>"), "signed")
 
     known = signed.filter("n > 0 and doc_id is not null")
@@ -439,7 +439,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents without near duplicates: of each component, the one that gives it its name."""
+    """The documents without near duplicates: of each component, the one that gives it its name.
+
+    Texts without words and rows without doc_id all stay, as do rows that repeat the doc_id that stays.
+    An empty table gives no rows.
+    """
     found = near_duplicates(docs.select("doc_id", "text"), words, num, den)
     gone = Scratch(docs.sparkSession, "near").cut(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")), "gone")
     few = gone.count() <= _FEW
