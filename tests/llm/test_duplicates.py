@@ -128,6 +128,17 @@ def test_exact_duplicates_equal_brute_force(odd_docs, docs, block, bits):
     assert sum(r.kept for r in got) == len(groups)
 
 
+def test_names_do_not_depend_on_the_layout(odd_docs, docs):
+    """A name is a rank among sorted contents: the same whatever the files and their order."""
+    table, names = odd_docs.filter("doc_id is not null").select("doc_id", "text").union(docs.select("doc_id", "text")), []
+    for parts in (1, 7):
+        found, _ = exactdedup.identities(table.repartition(parts, "text"), 512)
+        names.append(sorted(tuple(r) for r in found.select("doc_id", "n_blocks", "name").collect()))
+    assert names[0] == names[1]
+    blocks = {n for _, k, n in names[0] if k == 1}
+    assert min(blocks) == 1 or len(blocks) > 1
+
+
 def test_names_have_no_python_in_their_plan(docs):
     plan = exactdedup.exact_duplicates(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
