@@ -16,8 +16,7 @@ TOOLS = {
     "translate": {"properties": {"text": {"type": "string"}, "to": {"type": "string"}}, "required": ["text", "to"]},
 }
 RULES = [urlfilter.host_rule("net", "/", "block"), urlfilter.host_rule("example.net", "/en/", "allow"), urlfilter.host_rule("example.com", "/de/", "block"), urlfilter.host_rule("org", "/fr/", "allow")]
-#: Only cheap-pills stands as whole tokens in each of its matches: casino may be casino24, login may be signin.
-PATTERN_RULES = [urlfilter.pattern_rule(*urlfilter.PATTERNS[0], "cheap-pills")] + [urlfilter.pattern_rule(*p) for p in urlfilter.PATTERNS[1:]]
+PATTERN_RULES = [urlfilter.pattern_rule(*p) for p in urlfilter.PATTERNS]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

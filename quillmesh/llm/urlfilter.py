@@ -1,8 +1,9 @@
 """URL rules found through their rarest literal token.
 
 A rule has literal parts and a regular expression. Each rule is indexed by the one of its
-literal tokens that the fewest URLs hold; a URL's tokens fetch the rules indexed by them, and
-only those run their expression. The longest rule that fits gives the verdict.
+literal tokens that the fewest URLs hold, once for each of its alternatives; a URL's tokens fetch the
+rules indexed by them, and only those run their expression. The longest rule that fits gives the
+verdict. Tokens are runs of letters and runs of digits, so casino is a token of casino24.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-_TOKEN = re.compile(r"[a-z0-9]+")
+_TOKENS = "[a-z]+|[0-9]+"
+_TOKEN = re.compile(_TOKENS)
 #: Rule tables up to this many rows are broadcast; larger ones are joined by shuffle.
 _FEW_RULES = 10_000
 
-#: Example patterns for URLs that no host rule covers: (name, expression over host and path, verdict).
+#: Example patterns for URLs that no host rule covers: (name, expression over host and path, verdict, literals).
 PATTERNS = (
-    ("cheap-pills", r"(^|[./-])cheap-pills([./-]|$)", "block"),
-    ("casino", r"(^|[./-])casino[0-9]*([./-]|$)", "block"),
-    ("login", r"/(login|signin)([./?-]|$)", "block"),
+    ("cheap-pills", r"(^|[./-])cheap-pills([./-]|$)", "block", "cheap-pills"),
+    ("casino", r"(^|[./-])casino[0-9]*([./-]|$)", "block", "casino"),
+    ("login", r"/(login|signin)([./?-]|$)", "block", "login", "signin"),
 )
 
 
@@ -30,22 +32,22 @@ def host_rule(host: str, path: str, verdict: str) -> dict:
     """A rule for a host and all its subdomains, and for paths that start with ``path``."""
     # a token at either end of the path may go on in the URL, so only closed ones are literal tokens
     tokens = _TOKEN.findall(host) + [m[0] for m in _TOKEN.finditer(path) if 0 < m.start() and m.end() < len(path)]
-    return {"rule": host + path, "pattern": rf"^([^/]*\.)?{re.escape(host)}{re.escape(path)}", "verdict": verdict, "tokens": tokens, "rank": 1_000_000 + len(host + path)}
+    return {"rule": host + path, "pattern": rf"^([^/]*\.)?{re.escape(host)}{re.escape(path)}", "verdict": verdict, "tokens": [tokens], "rank": 1_000_000 + len(host + path)}
 
 
-def pattern_rule(name: str, pattern: str, verdict: str, literal: str | None = None) -> dict:
-    """A rule by expression; ``literal`` is text that every match holds as whole tokens.
+def pattern_rule(name: str, pattern: str, verdict: str, *literals: str) -> dict:
+    """A rule by expression; every match holds at least one of ``literals`` as whole tokens.
 
-    A literal that may go on with more letters or digits (``casino`` in ``casino24``) must not be
-    given: the rule would not be fetched. Without a literal the rule is tried on every URL.
+    A literal that may go on with letters of its own kind (``pill`` in ``pills``) must not be given: the
+    rule would not be fetched. Without literals the rule is tried on every URL.
     """
-    return {"rule": name, "pattern": pattern, "verdict": verdict, "tokens": _TOKEN.findall(literal or ""), "rank": len(name)}
+    return {"rule": name, "pattern": pattern, "verdict": verdict, "tokens": [_TOKEN.findall(x) for x in literals], "rank": len(name)}
 
 
 def url_parts(url):
     """Columns (host, path) of a URL column; both empty for null or a URL without ``://``."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr(f"substring({url._jc.toString()}, instr({url._jc.toString()}, '://') + 3)")).otherwise("")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), upper, lower)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
@@ -67,23 +69,25 @@ def judge_urls(pages: DataFrame, rules: list[dict], default: str = "allow") -> D
     scratch = Scratch(spark, "urls")
     rows = scratch.cut(rows, "parts")
     target = F.concat("host", "path")
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(target), F.lit("[a-z0-9]+"), F.lit(0)))
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(target), F.lit(_TOKENS), F.lit(0)))
 
-    schema = "rule string, pattern string, verdict string, tokens array<string>, rank int"
+    schema = "rule string, pattern string, verdict string, tokens array<array<string>>, rank int"
     table = spark.createDataFrame([tuple(r[k] for k in ("rule", "pattern", "verdict", "tokens", "rank")) for r in rules], schema)
     few = len(rules) <= _FEW_RULES
     how = "broadcast" if few else "merge"
-    # the rarest token of each rule, by the number of URLs that hold it
-    wanted = table.select(F.explode("tokens").alias("token")).distinct()
+    # the rarest token of each alternative of a rule, by the number of URLs that hold it
+    each = table.select("rule", F.posexplode("tokens").alias("alternative", "tokens")).select("rule", "alternative", F.explode("tokens").alias("token"))
+    wanted = each.select("token").distinct()
     held = rows.select(F.explode(tokens).alias("token")).join(wanted.hint(how), "token").groupBy("token").agg(F.count("*").alias("urls"))
-    ranked = table.select("rule", F.explode("tokens").alias("token")).join(held.hint(how), "token", "left")
-    rarest = ranked.groupBy("rule").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("x")).select("rule", F.col("x.token").alias("token"))
+    ranked = each.join(held.hint(how), "token", "left")
+    rarest = ranked.groupBy("rule", "alternative").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("x")).select("rule", F.col("x.token").alias("token")).distinct()
     index = scratch.cut(table.drop("tokens").join(rarest.hint(how), "rule", "left").withColumn("token", F.coalesce("token", F.lit(""))), "index")
 
-    asked = rows.select("row_id", target.alias("target"), F.explode(F.concat(F.array(F.lit("")), tokens)).alias("token"))
+    # rules without a literal stand under the empty token, which every URL then asks for
+    for_all = [""] if any(not x for r in rules for x in r["tokens"] or [[]]) else []
+    asked = rows.select("row_id", target.alias("target"), F.explode(F.concat(F.array(*map(F.lit, for_all)).cast("array<string>"), tokens)).alias("token"))
     fits = asked.join(index.hint(how), "token").filter(F.expr("target rlike pattern"))
-    order = F.struct("rank", F.expr("translate(rule, 'x', 'x')").alias("rule"), "verdict")
-    best = fits.groupBy("row_id").agg(F.max_by(F.struct("rule", "verdict", "rank"), order).alias("best"))
+    best = fits.groupBy("row_id").agg(F.min_by(F.struct("rule", "verdict", "rank"), F.struct(-F.col("rank"), "rule", "verdict")).alias("best"))
     out = rows.join(best.hint("merge"), "row_id", "left")
     by_host = F.col("best.rank") >= 1_000_000
     return out.select("page_id", "host", "path", F.when(by_host, F.col("best.rule")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.when(~by_host, F.col("best.rule")).alias("fallback_rule"))

@@ -10,17 +10,13 @@ from quillmesh.llm.common import Scratch
 
 
 def brute_topk(rows, k, every):
-    best = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            w = [math.floor(64 * x) for x in v]
-            best[i] = min(best.get(i, w), w)
-    out = []
-    for i in best:
+    known = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    most, found = (1 << 63) - 1, {}
+    for i, v in known:
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(best[i], w)), j) for j, w in best.items() if j != i and len(w) == len(best[i]))
-            out += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(scores[:k])]
-    return sorted(out)
+            scores = [(sum(a * b for a, b in zip(v, w)), j) for j, w in known if j != i and len(w) == len(v)]
+            found.setdefault(i, []).extend((max(-most, min(most, s)), j) for s, j in scores)
+    return sorted((i, rank + 1, j, s) for i, scores in found.items() for rank, (s, j) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:k]))
 
 
 @pytest.mark.parametrize("slices,block", [(2, 64), (4, 7), (1, 4096)])
@@ -30,13 +26,27 @@ def test_topk_equals_brute_force(spark, slices, block):
     random.seed(5)
     rows = [(i, [random.gauss(0, 0.2) for _ in range(16)]) for i in range(300)]
     rows += [(1000 + i, [0.25] * 16) for i in range(80)]  # one very common vector: ties
-    rows += [(2000, None), (2001, [None] * 16), (2020, [float("nan")] * 16), (2040, [float("inf")] * 16), (None, [0.1] * 16), (0, [9.0] * 16), (2060, [0.5, 0.5]), (2061, [0.5, -3.0]), (2080, []), (2100, [1e6] * 16)]
+    rows += [(2000, None), (2001, [None] * 16), (2020, [float("nan")] * 16), (2040, [float("inf")] * 16), (None, [0.1] * 16), (0, [9.0] * 16), (2060, [0.5, 0.5]), (2061, [0.5, -3.0]), (2080, []), (2100, [1e6] * 16), (2120, [1e16] * 16), (2121, [-1e16] * 16), (20, [0.5] * 16), (20, [0.5] * 16), (40, [float(2**60)] + [3.0] * 15)]
     df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], "vec_id long, embedding array<float>, label int, score double").repartition(4)
     seen = [(r.vec_id, r.embedding) for r in df.collect()]
     got = sorted(tuple(r) for r in topk.top_k(df, k=5, slices=slices, query_rows=9, block_rows=block).collect())
     assert got == brute_topk(seen, 5, 20)
 
 
+def test_topk_of_repeated_ids_equals_its_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    random.seed(9)
+    rows = [(i % 90, [random.gauss(0, 1) for _ in range(8)]) for i in range(150)] + [(1, [0.5] * 8)] * 30 + [(None, [1.0] * 8), (2, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    path = str(tmp_path / "e.parquet")
+    df.write.parquet(path)
+    want = duckdb.sql(f"create temp view embeddings as select * from '{path}/*.parquet'; " + queries.oracle_sql()["op1_topk"].strip()).fetchall()
+    assert sorted(map(tuple, topk.top_k(df, query_rows=3, block_rows=17).collect())) == sorted(want)
+
+
 def test_topk_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(empty).count() == 0
@@ -81,16 +91,36 @@ def test_pattern_rules_equal_brute_force(spark):
     assert len(got) == len(urls)
     for i, url in enumerate(urls):
         r = got[i]
-        fits = [name for name, pattern, _ in urlfilter.PATTERNS if re.search(pattern, r.host + r.path)]
-        want = max(fits, key=lambda name: (len(name), name), default=None)
+        fits = [name for name, pattern, *_ in urlfilter.PATTERNS if re.search(pattern, r.host + r.path)]
+        want = min(fits, key=lambda name: (-len(name), name), default=None)
         assert (r.fallback_rule, r.verdict) == (want, "block" if want else "allow"), url
     assert {got[i].fallback_rule for i, url in enumerate(urls) if url in ("http://casino24.com/", "http://h.com/casino7/")} == {"casino"}
 
 
 def test_only_rules_of_held_tokens_run():
     rule = urlfilter.host_rule("example.net", "/en", "allow")
-    assert rule["tokens"] == ["example", "net"]  # /en may go on as /english
-    assert urlfilter.host_rule("org", "/fr/", "allow")["tokens"] == ["org", "fr"]
+    assert rule["tokens"] == [["example", "net"]]  # /en may go on as /english
+    assert urlfilter.host_rule("org", "/fr/", "allow")["tokens"] == [["org", "fr"]]
+    assert all(r["tokens"] and all(r["tokens"]) for r in queries.RULES + queries.PATTERN_RULES)  # none is tried on every URL
+
+
+def test_hundreds_of_rules_and_ties_equal_brute_force(spark):
+    import random
+    import re
+
+    random.seed(4)
+    names = [f"{a}{b}" for a in ("shop", "news", "casino", "blog", "cdn", "ad") for b in ("", "7", "x", "24", "hub")]
+    tlds, dirs = ("com", "net", "org", "co.uk"), ("en", "de", "fr", "ads", "login")
+    rules = [urlfilter.host_rule(f"{random.choice(names)}.{t}", f"/{d}/" if d else "/", random.choice(["allow", "block"])) for t in tlds for d in ("", *dirs) for _ in range(10)]
+    rules = list({r["rule"]: r for r in rules}.values())
+    rules += [urlfilter.pattern_rule(f"{v}-{n}", rf"(^|[./-]){n}[0-9]*([./-]|$)", v, n) for n in ("ads", "shop", "news", "cdn", "blog") for v in ("allow", "block")]  # pairs of equal length: ties
+    rules += [urlfilter.pattern_rule("either", r"/(en|de)/x", "block", "en", "de"), urlfilter.pattern_rule("all", r"zz", "block")]
+    urls = [f"http://{random.choice(['', 'www.', 'a.b.'])}{random.choice(names)}.{random.choice(tlds)}/{random.choice(dirs)}/{random.choice(['', 'x', 'x-ads9.html', 'bzz'])}" for _ in range(600)]
+    got = {r.page_id: r for r in urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    for i, url in enumerate(urls):
+        r = got[i]
+        best = min((x for x in rules if re.search(x["pattern"], r.host + r.path)), key=lambda x: (-x["rank"], x["rule"]), default=None)
+        assert (r.rule or r.fallback_rule, r.verdict) == ((best["rule"], best["verdict"]) if best else (None, "allow")), url
 
 
 def test_tool_calls(spark):
@@ -115,7 +145,47 @@ def test_tool_calls(spark):
 def test_levels_of_a_chain(spark):
     rows = [(1, str(i), [str(i - 1)] if i else []) for i in range(6)]
     calls = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")
-    assert {r.call_id: r.level for r in chat.levels(calls, Scratch(spark, "test")).collect()} == {str(i): i for i in range(6)}
+    for few in (50_000, 3):  # at once, and round by round
+        assert {r.call_id: r.level for r in chat.levels(calls, Scratch(spark, "test"), few).collect()} == {str(i): i for i in range(6)}
+
+
+def test_levels_of_many_shapes(spark):
+    """A chain of 10,000 calls in one conversation; cycles, forks and repeated names in others."""
+    rows = [(1, str(i), [str(i - 1)] if i else []) for i in range(10_000)]
+    rows += [(2, "a", ["b"]), (2, "b", ["a"]), (2, "c", ["b"]), (2, "d", ["d"]), (2, "e", []), (2, "f", ["e", "e", "zz"]), (3, "a", []), (3, "b", ["a"]), (3, "c", ["a", "b"])]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>").repartition(4)
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(calls, Scratch(spark, "test")).collect()}
+    want = {(1, str(i)): i for i in range(10_000)} | {(2, "e"): 0, (2, "f"): 1, (3, "a"): 0, (3, "b"): 1, (3, "c"): 2}
+    assert got == want
+
+
+@pytest.mark.parametrize(
+    "text,errors,arguments",
+    [
+        ('{"x":"\\ud800"}', [], '{"x":"\\ud800"}'), ("[" * 100_000, ["arguments are nested too deeply"], "null"), ('{"x":NaN}', ["arguments are not JSON"], "null"), ('{"x":1e999}', ["arguments are not JSON"], "null"),
+        ('{"x":null}', [], '{"x":null}'), ('{"x":[1,2.0,"a"]}', ["type of x[2]"], '{"x":[1,2.0,"a"]}'), ('{"x":{"y":true}}', ["missing x.z", "type of x.y"], '{"x":{"y":true}}'), ('{"x":{"z":2,"q":1}}', ["unexpected x.q"], '{"x":{"q":1,"z":2}}'), ('{"x":true,"y":1}', ["type of x", "unexpected y"], '{"x":true,"y":1}'),
+    ],
+)
+def test_odd_arguments(text, errors, arguments):
+    rule = {"type": ["null", "string", "array", "object"], "items": {"type": "integer"}, "properties": {"y": {"type": "number"}, "z": {"type": "integer", "enum": [2]}}, "required": ["z"]}
+    value, found = chat.read_arguments(text)
+    assert chat.canonical(value) == arguments
+    assert (found or chat.problems(value, {"properties": {"x": rule}})) == errors
+    chat.canonical(value).encode()
+
+
+def test_schemas_of_any_form():
+    for schema in ({}, {"properties": None}, {"type": "object"}, {"required": None}, {"properties": {"x": None}}, {"properties": {"x": {}}}, {"properties": {"x": {"enum": [1]}}}):
+        assert chat.problems({"x": 1}, schema) == [], schema
+    assert chat.problems({"x": 1}, {"properties": {"x": {"type": "odd"}}}) == ["type of x"]
+    assert chat.problems({"x": True}, {"properties": {"x": {"enum": [1]}}}) == ["value of x"]
+
+
+def test_tool_calls_with_clashing_columns(spark):
+    calls = spark.createDataFrame([(1, 0, "a", "search", '{"query":"\\udfff","limit":3}', None, "r", 7, True)], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>, result string, level int, valid boolean")
+    results = spark.createDataFrame([(1, "a", "ok", 0, "x", "y")], "conv_id long, call_id string, content string, turn long, name string, status string")
+    got = chat.link_tool_calls(calls, results, queries.TOOLS).collect()
+    assert len(got) == 1 and got[0].valid and got[0].level == 0 and json.loads(got[0].canonical)["result"] == "ok"
 
 
 def test_pipeline_stages(spark, docs, sf_dir):
