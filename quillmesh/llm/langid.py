@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes
+from .common import Scratch, column_bytes
 
 _LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -25,26 +25,29 @@ def held_out(every: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % every == remainder, F.lit(False))
 
 
-def learn(docs: DataFrame, texts_per_lang: int = 64, text_chars: int = 2048, max_langs: int = 512) -> dict[str, bytes]:
-    """A dictionary for each language: at most ``texts_per_lang`` texts of ``text_chars`` characters.
+def learn(docs: DataFrame, texts_per_lang: int = 64, lang_chars: int = 131_072, short: int = 4096, max_langs: int = 512) -> dict[str, bytes]:
+    """A dictionary for each language, of at most ``texts_per_lang`` whole texts and about ``lang_chars`` characters.
 
-    A bounded, documented sample: the texts whose hashed doc_id comes first. Rows that crc32 mod 3
-    holds out, or whose lang or text is null, are not used. More than ``max_langs`` languages
-    are an error. No usable row: no dictionaries.
+    A bounded, documented sample: of the texts of up to ``short`` characters those whose hashed doc_id comes
+    first, then longer ones by length, until the next would not fit; the first is always taken, so
+    that each language has a dictionary. Rows that crc32 mod 3 holds out, or whose lang or text is null,
+    are not used. More than ``max_langs`` languages are an error. No usable row: no dictionaries.
     """
     usable = docs.filter(~held_out(3, 1) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("lang", "doc_id").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= texts_per_lang)
-    if len(ids := [r.doc_id for r in chosen.limit(max_langs * texts_per_lang + 1).collect()]) > max_langs * texts_per_lang:
-        raise ValueError(f"more than {max_langs} languages")
-    if not ids:
-        return {}
-    rows = usable.filter(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.left("text", F.lit(text_chars)).alias("text"))
-    rows = rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
+    size = F.length("text")
+    order = Window.partitionBy("lang").orderBy("size", F.xxhash64("doc_id"), "doc_id")
+    ranked = usable.select("lang", "doc_id", F.greatest(size, F.lit(short)).alias("size"), size.alias("chars"))
+    first = ranked.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= texts_per_lang)
+    fits = first.withColumn("sum", F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("sum") <= lang_chars) | (F.col("at") == 1))
+    chosen = Scratch(docs.sparkSession, "language").cut(fits.select("lang", "doc_id").distinct(), "chosen")
+    if (n := chosen.select("lang").distinct().count()) > max_langs:
+        raise ValueError(f"{n} languages, more than {max_langs}")
+    # at most max_langs * texts_per_lang ids
+    rows = usable.join(chosen.hint("broadcast"), ["lang", "doc_id"], "left_semi").select("lang", "doc_id", "text")
     found: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
+    for row in sorted(rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.lang, r.doc_id)):
         found.setdefault(row.lang, []).append(row.text)
-    return {lang: "\n".join(texts[:texts_per_lang]).encode() for lang, texts in found.items()}
+    return {lang: "\n".join(texts).encode() for lang, texts in found.items()}
 
 
 class Classifier:
@@ -97,5 +100,8 @@ def predict_language(docs: DataFrame, margin: float = 0.002) -> DataFrame:
 
 
 def keep_known_languages(docs: DataFrame, margin: float = 0.002) -> DataFrame:
-    """The documents whose language is not rejected, with all their columns."""
+    """The documents whose language is not rejected, with all their columns, repeated rows included.
+
+    Null texts and texts without a letter go. An empty table gives no rows.
+    """
     return docs.mapInArrow(_predicting(learn(docs), margin, True), docs.schema)
