@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_batches
@@ -150,8 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = 8000, steps:
 
     Features: all that are far more often in toxic than in clean documents (odds of e^2.5), and so
     significantly that not one is expected to be chosen by chance; counted over all labelled rows.
-    Weights: from at most ``docs_per_label`` documents of each label, by hashed doc_id; a feature
-    outside of that sample keeps its odds. Repeated labels of a doc_id: the highest counts. Without toxic or
+    Weights: from about ``docs_per_label`` documents of each label, by hashed doc_id, all if there are
+    fewer; a feature outside of that sample keeps its odds. Repeated labels of a doc_id: the highest counts. Without toxic or
     without clean examples every score is 0.
     """
     spark = docs.sparkSession
@@ -180,9 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = 8000, steps:
     names = [r.feature for r in chosen]
     if not names:
         return BagModel({}, -40.0)
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "toxic").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= docs_per_label).select("doc_id").distinct()
-    sample = known.join(ids.hint("broadcast"), "doc_id", "left_semi").select("toxic", "text")  # at most 2 * docs_per_label ids
+    # a share of each label by hashed doc_id, so that no task has to see all documents of a label
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    sample = known.filter(draw < F.when(F.col("toxic") == 1, docs_per_label / total[1]).otherwise(docs_per_label / total[0])).select("toxic", "text")
     bags = sample.mapInArrow(_bags(names), "toxic int, hits array<array<int>>").collect()
     weights, bias = _fit(bags, np.array([min(6.0, r.odds) for r in chosen]), steps)
     return BagModel({f: float(w) for f, w in zip(names, weights)}, bias)
@@ -216,5 +216,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
+    """The documents that are not predicted toxic, with all their columns, repeated rows included.
+
+    Null and empty texts stay. An empty table gives no rows.
+    """
     return docs.mapInArrow(_scoring(train(docs, labels), True), docs.schema)

@@ -41,7 +41,7 @@ def test_toxicity_held_out(spark):
     found = sum(p for p, y in mine if y) / max(1, sum(y for _, y in mine))
     wrong = sum(p for p, y in mine if not y) / max(1, sum(1 - y for _, y in mine))
     # some toxic marks of this table are on documents without an offending word
-    assert found >= 0.8 and wrong <= 0.02, (found, wrong)
+    assert found >= 0.9 and wrong <= 0.02, (found, wrong)
 
 
 def test_toxic_sentences_are_located():
@@ -85,3 +85,75 @@ def test_toxicity_of_odd_rows(spark, odd_docs, empty_docs):
     none = toxicity.score_toxicity(odd_docs, labels.filter("toxic = 0")).collect()
     assert all(r.predicted == 0 and 0 <= r.score < 0.01 for r in none)
     assert toxicity.keep_clean(odd_docs, labels).columns == odd_docs.columns
+
+
+def test_language_equals_brute_force(spark, docs):
+    """Dictionaries put together row by row, and every text packed piece by piece with each of them."""
+    import zstandard
+
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()] + [(10**6 + i, f"{'lorem ipsum ' * 2000}{i}", "la") for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    order = {r.doc_id: r.h for r in table.selectExpr("doc_id", "xxhash64(doc_id) as h").collect()}
+    texts = {}
+    for i, text, lang in sorted((r for r in rows if r[1] and r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1), key=lambda r: (max(4096, len(r[1])), order[r[0]])):
+        mine = texts.setdefault(lang, [])
+        if len(mine) < 64 and (not mine or sum(len(t) for _, t in mine) + len(text) <= 131_072):
+            mine.append((i, text))
+    packers = {}
+    for lang, mine in texts.items():
+        raw = zstandard.ZstdCompressionDict("\n".join(t for _, t in sorted(mine)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packers[lang] = zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
+    assert set(packers) >= {"la"}
+    for r in langid.predict_language(table).collect():
+        text = (dict((i, t) for i, t, _ in rows)[r.doc_id] or "").encode()
+        if not any(c.isalpha() for c in text.decode()):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        sizes = sorted((sum(len(p.compress(text[at : at + 8192])) for at in range(0, len(text), 8192)), lang) for lang, p in packers.items())
+        assert r.lang_pred == sizes[0][1] and abs(r.score - (1 - sizes[0][0] / sizes[1][0])) < 1e-12
+
+
+def test_fit_follows_the_likelihood():
+    """Noisy-or by hand: its value at the fitted weights is below that at the start, and flat around them."""
+    import math
+    import random
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    random.seed(8)
+    bags = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        hits = [[0] for _ in range(toxic and random.random() < 0.9)] + [[1, 2] for _ in range(random.random() < (0.5 if toxic else 0.05))] + [[2] for _ in range(random.randint(0, 2))]
+        bags.append(SimpleNamespace(toxic=int(toxic), hits=hits))
+    share = {1: 400 / (2 * 100), 0: 400 / (2 * 300)}
+
+    def loss(theta):
+        *w, bias, leak = theta
+        total = 0.0
+        for b in bags:
+            calm = 1 / (1 + math.exp(leak))
+            for hits in b.hits:
+                calm *= min(1.0, (1 + math.exp(bias)) / (1 + math.exp(bias + sum(w[f] for f in hits))))
+            total -= share[b.toxic] * math.log(max(1e-12, 1 - calm if b.toxic else calm)) / len(bags)
+        return total + 1e-5 / 2 * sum(x * x for x in w)
+
+    start = np.array([2.0, 2.0, 2.0])
+    weights, bias = toxicity._fit(bags, start, 1500)
+    best = min(np.linspace(-8, 0, 81), key=lambda leak: loss([*weights, bias, leak]))
+    at = [*weights, bias, best]
+    assert loss(at) < loss([*start, -7.0, -3.0]) - 0.05
+    for i in range(3):
+        for step in (-0.3, 0.3):
+            moved = list(at)
+            moved[i] += step
+            assert loss(moved) > loss(at) - 2e-3, (i, step)
+    assert weights[0] + bias > 0 > weights[2] + bias
+
+
+def test_sample_of_labels_is_bounded_and_spread(spark):
+    rows = [(i, "You idiot! Bad day." if i % 2 else f"A fine day {i % 9}.") for i in range(4000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, docs_per_label=300)
+    assert model.score("You idiot!")[0] > 0.5 > model.score("A fine day.")[0]
