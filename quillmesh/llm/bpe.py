@@ -9,6 +9,7 @@ table of the fragments and words it has met.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -20,6 +21,26 @@ from .chunks import WordSplitter, byte_letters, load
 from .common import column_bytes, sliced
 
 
+def merge_long(ids: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """The same merges for a long fragment: a heap of (rank, place) over a linked list."""
+    after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
+    heap = [rank << 32 | i for i in range(len(ids) - 1) if (rank := ranks.get(ids[i] << 32 | ids[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = divmod(heapq.heappop(heap), 1 << 32)
+        j = after[i]
+        if ids[i] < 0 or j < 0 or ranks.get(ids[i] << 32 | ids[j]) != rank:
+            continue  # merged away since
+        ids[i], ids[j] = made[rank], -1
+        after[i] = after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b >= 0 and (rank := ranks.get(ids[a] << 32 | ids[b])) is not None:
+                heapq.heappush(heap, rank << 32 | a)
+    return [x for x in ids if x >= 0]
+
+
 class ForcedBoundaryBpe:
     """Encodes as the tokenizer file says: its normaliser and word splitter, then own fragments and merges."""
 
@@ -50,6 +71,8 @@ class ForcedBoundaryBpe:
         if ends_word:
             letters[-1] += self.suffix
         ids, rank_of, none = [self.ids[x] for x in letters if x in self.ids], self.ranks.get, 1 << 60
+        if len(ids) > 200:
+            return merge_long(ids, self.ranks, self.made)
         ranks = [rank_of(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
         while ranks and (rank := min(ranks)) != none:
             at = ranks.index(rank)

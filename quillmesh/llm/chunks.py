@@ -6,6 +6,7 @@ are the ids of the whole text. Workers keep a bounded table of words they have m
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 
@@ -19,6 +20,9 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
 #: The word splitter of the byte-level vocabularies.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of the splitter's white space (the 25 characters of the Unicode property) that are cut out of a text.
+_LONG = 20_000
+_LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % _LONG)
 _TO_BYTES = ByteLevel(add_prefix_space=False, use_regex=False)
 
 
@@ -41,6 +45,7 @@ class WordSplitter:
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
         self.specials = sorted((str(x.content) for x in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
 
     def is_plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.specials)
@@ -51,12 +56,14 @@ class WordSplitter:
 
     def other(self, text: str) -> list[tuple[str, bool]]:
         """(byte letters of a word or a special token, whether special) of any text, by the library."""
-        for special in self.specials:
-            if special in text:
-                left, _, right = text.partition(special)
-                return [*self.other(left), (special, True), *self.other(right)]
-        normal = self.tokenizer.normalizer.normalize_str(text)
-        return [(word, False) for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+        out, at = [], 0
+        for match in [*self.special.finditer(text), None]:
+            normal = self.tokenizer.normalizer.normalize_str(text[at : match.start() if match else len(text)])
+            out += [(word, False) for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+            if match:
+                out.append((match[0], True))
+                at = match.end()
+        return out
 
 
 class WordEncoder:
@@ -100,6 +107,7 @@ class RankEncoder:
             vocabulary = json.load(f)["model"]["vocab"]
         letters = {c: b for b in range(256) for c in [byte_letters_of(b)]}
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token.encode() not in self.specials}
+        self.known = ranks
         self.ranks = tiktoken.Encoding("ranks", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
@@ -107,7 +115,39 @@ class RankEncoder:
         string = text.decode()
         if any(s in text for s in self.specials):
             return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, self.type)
-        return np.array(self.ranks.encode_ordinary(string), self.type)
+        if len(text) < _LONG or not _LONG_RUN.search(string):
+            return np.array(self.ranks.encode_ordinary(string), self.type)
+        return np.array(self._with_long_runs(string), self.type)
+
+    def _with_long_runs(self, string: str) -> list[int]:
+        """A word always ends before white space, and a run of it but for its last character is one word:
+        so runs that are too long for the splitter are merged by themselves."""
+        out, at = [], 0
+        for run in _LONG_RUN.finditer(string):
+            end = run.end() if run.end() == len(string) else run.end() - 1
+            out += self.ranks.encode_ordinary(string[at : run.start()]) + self._merged(string[run.start() : end].encode())
+            at = end
+        return out + self.ranks.encode_ordinary(string[at:])
+
+    def _merged(self, word: bytes) -> list[int]:
+        """The ids of one long word: the lowest rank first, leftmost first, by a heap over a linked list."""
+        known, parts = self.known, [word[i : i + 1] for i in range(len(word))]
+        after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
+        heap = [known[p] << 32 | i for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in known]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = divmod(heapq.heappop(heap), 1 << 32)
+            j = after[i]
+            if not parts[i] or j < 0 or known.get(parts[i] + parts[j]) != rank:
+                continue  # merged away since
+            parts[i], parts[j] = parts[i] + parts[j], b""
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b >= 0 and (rank := known.get(parts[a] + parts[b])) is not None:
+                    heapq.heappush(heap, rank << 32 | a)
+        return [known[p] for p in parts if p]
 
 
 def byte_letters_of(byte: int) -> str:

@@ -144,18 +144,25 @@ class Packer:
 
 
 def _fill(packer: Packer, ids: list[tuple], words: list[np.ndarray], statistics) -> None:
-    """Pack the documents of one shard."""
+    """Pack the documents of one shard: a window's seed is the document that starts it, cut or whole."""
     index, used = Shard(words, statistics), np.zeros(len(ids), bool)
-    for seed in range(len(ids)):
-        if used[seed]:
-            continue
-        used[seed] = True
-        if packer.add(*ids[seed]):
+    for first in range(len(ids)):
+        seed = None if used[first] else first
+        if seed is not None:
+            used[seed] = True
+            if not packer.add(*ids[seed]):
+                continue
+        while seed is not None:
+            next_seed = None
             for near in index.neighbours(seed):
                 if not used[near]:
                     used[near] = True
-                    if not packer.add(*ids[near]) or near_full(packer):
+                    if not packer.add(*ids[near]):
+                        break
+                    if near_full(packer):
+                        next_seed = near
                         break
+            seed = next_seed
 
 
 def near_full(packer: Packer) -> bool:

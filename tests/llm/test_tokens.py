@@ -147,3 +147,34 @@ def test_shard_returns_lexical_neighbours():
     words = [np.array(x) for x in ([1, 2, 3, 4], [1, 2, 3, 9], [50, 51], [1, 60, 61])]
     shard = packing.Shard(words, (counts, 1000, 4000))
     assert shard.neighbours(0) == [1, 3] and shard.neighbours(2) == []
+
+
+def test_long_words_and_many_specials_equal_the_library():
+    library, model = load(WORD), bpe.ForcedBoundaryBpe(WORD)
+    special = next(iter(library.get_added_tokens_decoder().values())).content
+    for text in ["a" * 20_000, "abcabd" * 3_000, "é" * 2_000 + "x" * 5_000, special * 3_000, f"one{special}two {special}{special} <|start {special[:-1]}", "hello" * 2_000 + " end"]:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert model.encode(text.encode())[0] == u32(want), text[:40]
+
+
+def test_long_merges_equal_short_ones():
+    import random
+
+    random.seed(2)
+    model = bpe.ForcedBoundaryBpe(WORD)
+    for _ in range(40):
+        word = "".join(random.choice("etaoinshr") for _ in range(random.randint(2, 200)))
+        assert bpe.merge_long([model.ids[x] for x in word], model.ranks, model.made) == model.merge(word, False), word
+
+
+def test_long_white_space_equals_the_library(spark):
+    encoder, library = RankEncoder(BYTE), load(BYTE)
+    for run in (" " * 25_000, "\n" * 21_000, " \t\u2003" * 9_000, "\xa0" * 20_000):
+        for text in (run, f"a{run}", f"{run}b", f"a b {run}c  d{run}{run}!", f"{run}\x1c{run}\n"):
+            assert encoder.encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids, text[:3]
+    # beyond what the splitters take at once: whole, in order, and the same as its parts
+    text = "one " + " " * 1_000_000 + "two"
+    ids = encoder.encode(text.encode()).tolist()
+    assert library.decode(ids) == text
+    pieces = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), BYTE).collect()
+    assert sum(p.length for p in pieces) == len(ids) + 1
