@@ -35,7 +35,11 @@ MANIFEST = "part int, seq int, path string, width int, n_docs long, n_tokens lon
 
 
 def _place(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path)
+    """The store and the place in it of a qualified path as Hadoop writes it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return pa.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pa.fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
 
 
 class TokenFileWriter:
@@ -65,6 +69,8 @@ class TokenFileWriter:
         for magic, body in ((_SKIPPABLE_INDEX, index), (_SKIPPABLE_SEEK, table)):
             self.out.write(struct.pack("<II", magic, len(body)) + body)
         self.out.close()
+        if self.fs.get_file_info(self.path).type != pa.fs.FileType.NotFound:
+            self.fs.delete_file(self.path)  # of an attempt that was lost after it had finished; the bytes are the same
         self.fs.move(self.draft, self.path)
 
 
