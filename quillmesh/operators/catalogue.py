@@ -23,7 +23,11 @@ def listing(queries: DataFrame, database: str | None = None, show_query: bool =
 
 def without_limits(query: Column) -> Column:
     """The query on one line, without limit clauses; limits of language become a clause of their own."""
-    bare = F.regexp_replace(query, rf"(?i)AND\s+\(?\s*{LIMIT}(\s*(OR\s*)?{LIMIT})*\s*(OR\s*)?\)?", "")
+    # clauses that open with a limit: what is left of each after its list of limits
+    clauses = F.split(query, rf"(?i)AND\s+(?=\(?\s*{LIMIT})")
+    first, others = F.get(clauses, F.lit(0)), F.slice(clauses, F.lit(2), F.greatest(F.size(clauses) - 1, F.lit(0)))
+    after = F.transform(others, lambda clause: F.regexp_replace(clause, rf"(?i)^\(?(?:\s*(?:OR\s*)?{LIMIT})+\s*(?:OR\s*)?\)?", ""))
+    bare = F.array_join(F.concat(F.array(first), after), "")
     bare = strip(F.regexp_replace(F.regexp_replace(bare, rf"(?i){LIMIT}", ""), r"\s+", " "))
     languages = F.regexp_extract_all(query, F.lit(LIMIT_LANGUAGE), F.lit(1))
     clause = F.array_join(F.transform(languages, lambda x: F.concat(F.lit("LANGUAGE("), F.lower(x), F.lit(")"))), " OR ")

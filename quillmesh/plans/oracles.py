@@ -220,6 +220,7 @@ select m.pos, length(coalesce(m.abstract, g.abstract)) as n_chars, g.provider as
         "stage_status": f"with {_D} select count(*) as n, 'raw' as stage from papers union all select count(*) filter (duplicate_of is null), 'unique' from flags union all select count(*) filter (pos % 3 <> 2), 'queued' from papers union all select count(*) filter (pos % 3 = 0), 'included' from papers",
         "manifest_status": "select case o_orderstatus when 'F' then 'downloaded' when 'O' then 'oa_found' else 'manual' end as status, count(*) as n, count(distinct o_custkey) as ids from orders group by 1",
         "control_hits": f"with c as (select item_id, {_NT('text')} as key from benchmark), d as (select doc_id, source, {_NT('line')} as key from (select doc_id, source, unnest(string_split(text, chr(10))) as line from documents)), h as (select item_id, string_agg(distinct source, '|' order by source) as sources, min(doc_id) as first_doc, count(distinct doc_id) as docs from d join c using (key) group by 1) select item_id, sources, first_doc, coalesce(docs, 0) as docs from c left join h using (item_id)",
+        "sentence_profile": rf"with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {_WS})), lambda x: length(x) > 20) as s from documents) select doc_id, len(s) as n, coalesce(s[1], '') as first from s",
         "usable_urls": "select page_id, url from pages where coalesce(url, '') <> '' and not contains(url, 'dx.doi.org/') and not contains(url, 'doi.org/10.') and not contains(url, 'example.org')",
         "text_profile": f"with {_PROFILE} select pos, relevance, method, evidence, limitations, context, data_source, technique, decision, reason, questions, case when len(tags) = 0 then 'Requer decisão manual' else array_to_string(tags, ', ') end as criteria, phases, level, priority, assessment from judged",
         "qa_inferred": _inferred(),

@@ -122,10 +122,64 @@ def read_records(spark: SparkSession, path: str, fmt: str, source_db: str = "",
     return {"bibtex": read_bibtex, "ris": read_ris, "csv": read_csv}[kind](spark, path, source_db, query_id, label)
 
 
-def write_csv(papers: DataFrame, path: str, columns: list[str]) -> None:
-    """A flat CSV, arrays joined by "; "."""
+def write_csv(papers: DataFrame, path: str, columns: list[str], bom: bool = False) -> None:
+    """A flat CSV, arrays joined by "; ". ``bom``: each file starts with a byte-order mark, for spreadsheets."""
     flat = [F.array_join(c, "; ").alias(c) if papers.schema[c].dataType.typeName() == "array" else F.col(c) for c in columns]
-    papers.select(*flat).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
+    out = papers.select(*flat)
+    if bom:  # the mark goes before the first name, which must stand without quotes then
+        out = out.withColumnRenamed(columns[0], "\ufeff" + columns[0])
+    out.write.mode("overwrite").csv(path, header=True, quoteAll=not bom, escape='"')
+
+
+def write_json(papers: DataFrame, path: str) -> None:
+    """A corpus as JSON lines, one object for each paper, nulls included; ``read_json_lines`` takes it back."""
+    papers.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PAPER).json(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads it from."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_sheet(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A sheet of decisions by column names, all as text: with or without a byte-order mark; a missing file is empty.
+
+    Columns that the file lacks are null, others are dropped. The delimiter is what the first line holds more of.
+    """
+    empty = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+    if not exists(spark, path):
+        return empty
+    first = spark.read.text(path).limit(1).collect()
+    if not first:
+        return empty
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', sep=sniffed(first[0].value))
+    held = {c.strip().lstrip("\ufeff"): c for c in raw.columns}
+    return raw.select(*((F.col(f"`{held[c]}`") if c in held else F.lit(None).cast("string")).alias(c) for c in columns))
+
+
+def sniffed(line: str) -> str:
+    """The delimiter of a line: a semicolon where there are more of them than commas."""
+    return ";" if line.count(";") > line.count(",") else ","
+
+
+def write_raw(rows: DataFrame, path: str, query: str = "source_query_id", force: bool = False) -> None:
+    """The raw zone: a folder for each query. Queries that are there already are kept unless forced, then replaced."""
+    spark = rows.sparkSession
+    if not force and exists(spark, path):
+        held = spark.read.parquet(path).select(query).distinct()
+        rows = rows.join(held, query, "left_anti")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(query).parquet(path)
+
+
+def raw_counts(spark: SparkSession, path: str, query: str = "source_query_id") -> DataFrame:
+    """query, files, n of the raw zone."""
+    rows = spark.read.parquet(path).select(query, F.col("_metadata.file_path").alias("_file"))
+    return rows.groupBy(query).agg(F.countDistinct("_file").alias("files"), F.count("*").alias("n"))
 
 
 def append_absent(new: DataFrame, path: str, key: str) -> None:
