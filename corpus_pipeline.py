@@ -10,22 +10,27 @@ from quillmesh.llm.common import Scratch
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told apart clearly. Null texts and texts without a letter go; repeated rows stay. An empty table gives no rows."""
     return langid.keep_known_languages(docs)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic. Null and empty texts and repeated rows stay. An empty table gives no rows."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (null as empty) the row with the largest doc_id, once. An empty table gives no rows."""
     return exactdedup.keep_one_of_each(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the smallest doc_id. Texts without words and rows without doc_id stay. An empty table gives no rows."""
     return jaccard.keep_one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows; a null text has its end id only, each repeated row its own pieces. An empty table gives no rows."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
