@@ -162,8 +162,9 @@ def _resolve(k: int):
     def resolve(key, table, wanted):
         """Exact totals of the entries wanted; of each query the k best in this cell."""
         found, asked = _sides(table), defaultdict(list)
-        for x in wanted.to_pylist():
-            asked[x["q_block"], x["block"]].append((np.array(x["q_ats"], np.int64), np.array(x["ats"], np.int64)))
+        lists = [wanted.column(n).combine_chunks() for n in ("q_ats", "ats")]
+        for i, pair in enumerate(zip(wanted.column("q_block").to_pylist(), wanted.column("block").to_pylist())):
+            asked[pair].append(tuple(x[i].values.to_numpy().astype(np.int64) for x in lists))
         out = defaultdict(list)
         for (q_block, block), parts in asked.items():
             _, q_ids, q = found[True, q_block]
