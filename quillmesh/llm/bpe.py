@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import WordSplitter, byte_letters, load
-from .common import column_bytes, sliced
+from .common import column_bytes, sliced, text_batches
 
 
 def merge_long(ids: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
@@ -142,6 +142,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     own, decoding puts one space between tokens. Each row gets a result, repeated or not; no
     row needs another, so nothing is shuffled. Other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_encoding(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

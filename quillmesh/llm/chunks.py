@@ -101,19 +101,21 @@ class RankEncoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = load(path)
-        self.specials = [str(x.content).encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.tokenizer = path, None  # the file's own tokenizer is loaded where a text needs it
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary, added = file["model"]["vocab"], {x["content"]: x["id"] for x in file["added_tokens"]}
+        self.specials = [x.encode() for x in added]
         letters = {c: b for b in range(256) for c in [byte_letters_of(b)]}
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token.encode() not in self.specials}
         self.known = ranks
         self.ranks = tiktoken.Encoding("ranks", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.type = np.dtype("<u2" if max([*vocabulary.values(), *added.values()]) < 1 << 16 else "<u4")
 
     def encode(self, text: bytes) -> np.ndarray:
         string = text.decode()
         if any(s in text for s in self.specials):
+            self.tokenizer = self.tokenizer or load(self.path)
             return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, self.type)
         if len(text) < _LONG or not _LONG_RUN.search(string):
             return np.array(self.ranks.encode_ordinary(string), self.type)

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_bytes
+from .common import Scratch, column_bytes, text_batches
 
 _LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -33,6 +33,7 @@ def learn(docs: DataFrame, texts_per_lang: int = 64, lang_chars: int = 131_072,
     that each language has a dictionary. Rows that crc32 mod 3 holds out, or whose lang or text is null,
     are not used. More than ``max_langs`` languages are an error. No usable row: no dictionaries.
     """
+    text_batches(docs.sparkSession)
     usable = docs.filter(~held_out(3, 1) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     size = F.length("text")
     order = Window.partitionBy("lang").orderBy("size", F.xxhash64("doc_id"), "doc_id")

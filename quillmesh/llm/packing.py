@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import RankEncoder
-from .common import Scratch, column_bytes, sliced, word_hashes
+from .common import Scratch, column_bytes, sliced, text_batches, word_hashes
 
 _SLOTS = 1 << 18
 _K1, _B = 1.2, 0.75
@@ -212,6 +212,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = Scratch(spark, "packing").cut(rows.mapInArrow(_dealing, "kind int, deal long, doc_id long, text string"), "dealt")
     counted = dealt.filter("kind = 1").select(F.col("deal").alias("slot"), F.col("doc_id").alias("n"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import WordEncoder
-from .common import Scratch, column_bytes, sliced
+from .common import Scratch, column_bytes, sliced, text_batches
 
 # Fixed values of the seekable format.
 _SKIPPABLE_INDEX = 0x184D2A50
@@ -152,6 +152,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
     A retried task writes the same bytes under the same name, so a lost executor does no harm.
     An empty table gives an empty manifest. Other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(_writing(folder, tokenizer, end_id, file_tokens), MANIFEST)
