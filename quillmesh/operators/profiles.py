@@ -222,6 +222,16 @@ def _first_where(lines: Column, test, start: int = 0) -> Column:
     return F.array_position(F.transform(lines, lambda x, i: (i >= start) & test(x)), True)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda's outer expressions are computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _upto(lines: Column, stop: Column) -> Column:
+    """The lines before a place (from 1); all of them for 0."""
+    return F.when(stop > 0, F.slice(lines, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(lines)
+
+
 def title_guess(text: Column) -> Column:
     """Of the first 20 lines, those before one that ends a title, as long as 180 characters are not passed, to 300.
 
@@ -230,13 +240,10 @@ def title_guess(text: Column) -> Column:
     """
     lines = F.filter(F.transform(F.slice(F.split(text, r"\r\n|\n|\r"), 1, 20), strip), lambda x: x != "")
     ends = lambda x: F.contains(x, F.lit("@")) | _any([F.startswith(F.lower(x), F.lit(t)) for t in TITLE_ENDS])
-    stop = _first_where(lines, ends)
-    head = F.when(stop > 0, F.slice(lines, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(lines)
+    head = _let(lines, lambda x: _upto(x, _first_where(x, ends)))
     # from the first line that is long enough on, a single word ends it
-    begun = F.greatest(_first_where(head, lambda x: F.length(x) >= 5), F.lit(1)).cast("int")
-    body = F.slice(head, begun, F.greatest(F.size(head), F.lit(0)))
-    alone = F.array_position(F.transform(body, lambda x, i: (i > 0) & ~x.rlike(r"\s")), True)
-    body = F.when(alone > 0, F.slice(body, F.lit(1), F.greatest(alone - 1, F.lit(0)).cast("int"))).otherwise(body)
+    body = _let(head, lambda x: F.slice(x, F.greatest(_first_where(x, lambda y: F.length(y) >= 5), F.lit(1)).cast("int"), F.greatest(F.size(x), F.lit(0))))
+    body = _let(body, lambda x: _upto(x, _first_where(x, lambda y: ~y.rlike(r"\s"), 1)))
     joined = F.aggregate(F.filter(body, lambda x: F.length(x) >= 5), F.lit(""), lambda title, x: F.when(F.length(title) > 180, title).when(title == "", x).otherwise(F.concat(title, F.lit(" "), x)))
     return F.coalesce(F.left(F.btrim(F.regexp_replace(joined, r"\s+", " "), F.lit(" ,-")), F.lit(300)), F.lit(""))
 
@@ -256,15 +263,13 @@ def abstract_section(text: Column) -> Column:
         numbered = _any([F.startswith(low, F.lit(n)) for n in FIRST_NUMBERS]) & low.rlike(r"^\S+\s+[a-z]\b")
         return _any([_opens(low, t) for t in ABSTRACT_ENDS]) | numbered
 
-    filled = F.filter(lines, lambda x: strip(x) != "")
-    last = F.try_element_at(filled, F.lit(-1))
-    at = _first_where(lines, opens, 1)
+    heading = lambda x: strip(F.try_element_at(x, F.lit(-1))).rlike("^[A-Za-z][A-Za-z -]{3,}$")
     found = [
-        F.when(at > 0, F.array_join(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")), "\n")),
-        F.when((F.size(filled) > 1) & strip(last).rlike("^[A-Za-z][A-Za-z -]{3,}$"), F.array_join(F.slice(filled, F.lit(1), F.greatest(F.size(filled) - 1, F.lit(0))), "\n")),
+        _let(lines, lambda x: _let(_first_where(x, opens, 1), lambda at: F.when(at > 0, F.array_join(_upto(x, at), "\n")))),
+        _let(F.filter(lines, lambda x: strip(x) != ""), lambda x: F.when((F.size(x) > 1) & heading(x), F.array_join(F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), "\n"))),
     ]
-    short = [summarized(_split(x), 5, 1800) for x in found]
-    return F.coalesce(*(F.when(F.length(x) > 80, x) for x in short), F.lit(""))
+    short = [_let(summarized(_split(x), 5, 1800), lambda y: F.when(F.length(y) > 80, y)) for x in found]
+    return F.coalesce(*short, F.lit(""))
 
 
 def named_section(text: Column, heading: str) -> Column:
@@ -274,14 +279,13 @@ def named_section(text: Column, heading: str) -> Column:
     not the last one; the line under the heading asked for is never one.
     """
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
-    bare = F.transform(lines, lambda x: strip(F.regexp_replace(x, SECTION_NUMBER, "")))
-    last = F.size(lines) - 1
-    at = F.array_position(F.transform(bare, lambda x, i: (i < last) & (F.lower(x) == heading)), True).cast("int")
-    under = F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0)))
-    names = F.slice(bare, at + 1, F.greatest(F.size(lines) - at, F.lit(0)))
-    end = F.array_position(F.transform(names, lambda x, i: (i > 0) & (i < F.size(lines) - at - 1) & x.rlike("^[A-Za-z][A-Za-z -]{2,}$")), True).cast("int")
-    body = F.when(end > 0, F.slice(under, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(under)
-    return F.when(at > 0, summarized(_split(F.array_join(body, "\n")), 4, 1400)).otherwise("")
+    bare = lambda x: strip(F.regexp_replace(x, SECTION_NUMBER, ""))
+    asked = lambda x: _let(F.size(x) - 1, lambda last: F.array_position(F.transform(x, lambda y, i: (i < last) & (F.lower(bare(y)) == heading)), True))
+    # what follows the heading; empty without it
+    under = _let(lines, lambda x: _let(asked(x).cast("int"), lambda at: F.when(at > 0, F.slice(x, at + 1, F.size(x))).otherwise(F.slice(x, F.lit(1), F.lit(0)))))
+    ends = lambda x: _let(F.size(x) - 1, lambda last: F.array_position(F.transform(x, lambda y, i: (i > 0) & (i < last) & bare(y).rlike("^[A-Za-z][A-Za-z -]{2,}$")), True))
+    body = _let(under, lambda x: _upto(x, ends(x)))
+    return F.coalesce(summarized(_split(F.array_join(body, "\n")), 4, 1400), F.lit(""))
 
 
 def result_sentences(text: Column) -> Column:
