@@ -191,6 +191,11 @@ def infer_quality(df: DataFrame) -> DataFrame:
     return df.withColumns({**{k: F.coalesce(k, t.cast("int")) for k, t in tests.items()}, "qa_notes": F.when(notes == "", QA_NOTE).otherwise(notes), "qa_status": status})
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda's outer expressions are computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def summarized(found: Column, most: int, chars: int) -> Column:
     """The first sentences, at most ``most``, that fit in ``chars`` characters; the first one always counts."""
 
@@ -200,8 +205,8 @@ def summarized(found: Column, most: int, chars: int) -> Column:
         return F.struct(F.when(stop, acc["n"]).otherwise(acc["n"] + 1).alias("n"), F.when(stop, acc["size"]).otherwise(acc["size"] + F.length(s) + 1).alias("size"), stop.alias("stop"))
 
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(False).alias("stop"))
-    n = F.aggregate(found, start, add)["n"]
-    return F.coalesce(strip(F.left(F.array_join(F.slice(found, F.lit(1), n), " "), F.lit(chars))), F.lit(""))
+    text = _let(found, lambda f: strip(F.left(F.array_join(F.slice(f, F.lit(1), F.aggregate(f, start, add)["n"]), " "), F.lit(chars))))
+    return F.coalesce(text, F.lit(""))
 
 
 def _split(text: Column) -> Column:
@@ -222,11 +227,6 @@ def _first_where(lines: Column, test, start: int = 0) -> Column:
     return F.array_position(F.transform(lines, lambda x, i: (i >= start) & test(x)), True)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: a lambda's outer expressions are computed for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _upto(lines: Column, stop: Column) -> Column:
     """The lines before a place (from 1); all of them for 0."""
     return F.when(stop > 0, F.slice(lines, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(lines)
@@ -294,9 +294,9 @@ def result_sentences(text: Column) -> Column:
 
 def results_of(text: Column, abstract: Column) -> Column:
     """Result sentences of the abstract given, else of the one in the text, else a results section, else of the text."""
-    hits = lambda x, most, chars: F.nullif(summarized(result_sentences(x), most, chars), F.lit(""))
-    sections = [F.when(F.contains(F.lower(text), F.lit(h)), named_section(text, h)) for h in RESULT_HEADINGS]
-    return F.coalesce(hits(abstract, 3, 900), hits(abstract_section(text), 3, 900), *(F.when(F.length(s) > 80, s) for s in sections), hits(text, 4, 1000), F.lit(""))
+    hits = lambda x, most, chars: _let(summarized(result_sentences(x), most, chars), lambda y: F.nullif(y, F.lit("")))
+    long = lambda h: F.when(F.contains(F.lower(text), F.lit(h)), _let(named_section(text, h), lambda y: F.when(F.length(y) > 80, y)))
+    return F.coalesce(hits(abstract, 3, 900), hits(abstract_section(text), 3, 900), *map(long, RESULT_HEADINGS), hits(text, 4, 1000), F.lit(""))
 
 
 def abstract_proxy(text: Column) -> Column:
