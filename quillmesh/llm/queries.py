@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exactdedup, jaccard, langid, packing, tokenfile, topk, toxicity, urlfilter
+from . import bpe, chat, divergence, exactdedup, jaccard, langid, packing, tokencount, tokenfile, topk, toxicity, urlfilter, vectorcode
 
 TOOLS = {
     "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"]},
@@ -88,6 +88,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcode.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,7 +107,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_chat, op3_token_files, op4_ngram_jaccard, op5_language, op6_bpe, op7_toxicity, op8_exact_dedup, op9_url_rules, op10_packing)
+    own = (op1_topk, op2_chat, op3_token_files, op4_ngram_jaccard, op5_language, op6_bpe, op7_toxicity, op8_exact_dedup, op9_url_rules, op10_packing, op11_token_counts, op12_vector_codes, op13_divergence)
     return {f.__name__: f for f in own} | {"pipeline": _pipeline}
 
 
@@ -155,6 +167,56 @@ from r
 """
 
 
+
+
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written out one after another."""
+    sql = f"""
+with kept as (
+  select row_number() over (order by vec_id) - 1 as r, vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+cells as (
+  select r, cast((i - 1) // (n // {parts}) as int) as part, cast((i - 1) % (n // {parts}) as int) as pos, e[i] as x
+  from (select r, e, len(e) as n, unnest(range(1, len(e) + 1)) as i from kept)),
+book0 as (select part, cast(r as int) as entry, pos, x as c from cells where r < {entries})"""
+    for i in range(rounds + 1):
+        sql += f""",
+apart{i} as (select r, part, entry, cast(sum((x - c) * (x - c)) as bigint) as d from cells join book{i} using (part, pos) group by all),
+near{i} as (select r, part, min(d) as d, arg_min(entry, (d, entry)) as entry from apart{i} group by all)"""
+        if i < rounds:
+            sql += f""",
+mean{i} as (select part, entry, pos, cast(sum(x) as bigint) as s, count(*) as n from cells join near{i} using (r, part) group by all),
+book{i + 1} as (select part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, c) as c from book{i} left join mean{i} using (part, entry, pos))"""
+    return sql + f""",
+codes as (select r, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error from near{rounds} group by r)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(cast(c as varchar), ',' order by part, entry, pos)) from book{rounds}) as codebooks_sha256
+from kept join codes using (r)
+"""
+
+
+_OP13 = r"""
+with d as (select row_number() over () as r, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+w as (select r, lang, source, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+  from (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as t from d)),
+k as (select lang, term from w group by all having count(distinct r) >= 10),
+g as (select distinct lang, source from d),
+v as (select lang, count(*) as v from k group by lang),
+c as (select lang, source, term, count(*) as n from w join k using (lang, term) group by all),
+full_n as (select lang, source, term, coalesce(n, 0) as n from g join k using (lang) left join c using (lang, source, term)),
+p as (select lang, source, term, n, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang, source) + 2 * v) as p from full_n join v using (lang)),
+ql as (select lang, term, sum(n) as n from full_n group by all),
+q as (select lang, term, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang) + 2 * v) as q from ql join v using (lang)),
+f as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, cast(((p - q) * (p - q)) // (p + q) as bigint) as value from p join q using (lang, term) where n > 0 and p > q),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from (select * from pairs union all select * from terms))
+select * from ranked where part = 'pair' or rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For queries that SQL can express; tests hold the others against brute force."""
-    return {"op1_topk": _OP1, "op2_chat": _OP2, "op8_exact_dedup": _OP8, "op9_url_rules": _OP9}
+    return {"op1_topk": _OP1, "op2_chat": _OP2, "op8_exact_dedup": _OP8, "op9_url_rules": _OP9, "op12_vector_codes": _op12_sql(), "op13_divergence": _OP13}
