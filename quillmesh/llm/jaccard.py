@@ -250,7 +250,10 @@ def _runs(node: str, size: str):
 
 
 class _Join:
-    """The tables of one join: rows (doc_id, text), members (gid, rep, n, bitmap, folded), lists (shingle, gid, n, at, size), weights (gid, weight)."""
+    """The tables of one join: rows (doc_id, text), members (gid, first, rep, n, bitmap, folded), lists (shingle, gid, first, n, at, size), weights (gid, weight).
+
+    ``first``: the smallest doc_id of a group, which stands for it where texts are compared.
+    """
 
     def __init__(self, rows: DataFrame, scratch: Scratch, words: int, num: int, den: int):
         self.rows, self.scratch, self.words, self.num, self.den = rows, scratch, words, num, den
@@ -312,7 +315,7 @@ class _Join:
         """Pairs of members worth verifying, by the lists of groups and within groups."""
         inside = self.inside(placed)
         listed = self.lists.join(inside.select("gid", F.col("low").alias("component")).join(self.weights.hint("merge"), "gid").hint("merge"), "gid")
-        listed = listed.select("shingle", F.col("gid").alias("node"), "n", "component", "weight", _runs("gid", "size").alias("run"))
+        listed = listed.select("shingle", F.col("first").alias("node"), "n", "component", "weight", _runs("gid", "size").alias("run"))
         crowded = placed.join(inside.filter("low <> high").select("gid", "members").hint("merge"), "gid")
         crowded = crowded.select("gid", F.col("rep").alias("node"), "n", "component", F.lit(0.0).alias("weight"), _runs("rep", "members").alias("run"))
         return self.likely(listed, "shingle", turn).union(self.likely(crowded, "gid", turn)).distinct()
@@ -321,8 +324,8 @@ class _Join:
         """The lists that hold more than one component, with what the filters need."""
         # bits: the folded bitmap of a group with a single member
         bits = [F.when(F.col("members") == 1, F.get("folded", F.lit(i))).alias(f"bits{i}") for i in range(4)]
-        known = inside.join(self.members.filter("gid = rep").select("gid", "folded").hint("merge"), "gid").select("gid", "low", "high", *bits)
-        listed = self.lists.drop("size").join(known.hint("merge"), "gid")
+        known = inside.join(self.members.filter("first = rep").dropDuplicates(["gid"]).select("gid", "folded").hint("merge"), "gid").select("gid", "low", "high", *bits)
+        listed = self.lists.drop("size", "first").join(known.hint("merge"), "gid")
         mixed = listed.groupBy("shingle").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("size")).filter("least <> most").select("shingle", "size")
         return self.scratch.cut(listed.join(mixed.hint("merge"), "shingle"), "open-lists")
 
@@ -374,9 +377,9 @@ class _Join:
         met = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")) & _similar_sizes(num, den, "x_n", "y_n") & (room >= least_overlap(num, den)))
         return met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
-    def components(self, rounds: int) -> DataFrame:
-        """``members`` with their component, after all that may link is linked."""
-        placed = self.members.select("gid", "rep", "n", F.col("rep").alias("component"))
+    def components(self, rounds: int, linked: DataFrame) -> DataFrame:
+        """``members`` with their component, after all that may link is linked; ``linked``: links known before (a, b)."""
+        placed, _ = self.contracted(self.members.select("gid", "rep", "n", F.col("rep").alias("component")), linked)
         for turn in range(rounds):
             placed, found = self.contracted(placed, self.verified(self.linking_round(placed, turn)))
             if not found:
@@ -418,22 +421,26 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     known = signed.filter("n > 0 and doc_id is not null")
     key = ["n", "set_a", "set_b"]
     classes = scratch.cut(known.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
+    ids = scratch.cut(signed.select("doc_id", *key).join(classes.hint("merge"), key, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "ids")
     reps = known.drop("prefix").join(classes.select(*key, F.col("rep").alias("doc_id")).hint("merge"), [*key, "doc_id"], "left_semi")
     reps = reps.dropDuplicates(["doc_id", "set_a", "set_b"])
-    groups = reps.groupBy("n", "prefix_a", "prefix_b").agg(F.min("doc_id").alias("gid"))
+    # a group has a name of its own: a doc_id that is repeated with other texts may come first in several groups
+    begun = ["n", "prefix_a", "prefix_b"]
+    groups = scratch.cut(reps.groupBy(*begun).agg(F.min("doc_id").alias("first")).withColumn("gid", F.monotonically_increasing_id()), "groups")
     join = _Join(rows, scratch, words, num, den)
-    join.members = scratch.cut(reps.join(groups.hint("merge"), ["n", "prefix_a", "prefix_b"]).select("gid", F.col("doc_id").alias("rep"), "n", "bitmap", "folded"), "members")
+    join.members = scratch.cut(reps.join(groups.hint("merge"), begun).select("gid", "first", F.col("doc_id").alias("rep"), "n", "bitmap", "folded"), "members")
 
     # of each group, the prefix of its first member; shingles that stand in one group's prefix only link nothing
-    first = signed.select("doc_id", "n", "prefix").join(join.members.filter("gid = rep").select(F.col("gid").alias("doc_id"), "n").hint("merge"), ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n"])
-    listed = first.select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("at", "shingle"))
+    first = signed.select(F.col("doc_id").alias("first"), *begun, "prefix").join(groups.hint("merge"), [*begun, "first"]).dropDuplicates([*begun, "first"])
+    listed = first.select("gid", "first", "n", F.posexplode("prefix").alias("at", "shingle"))
     shared = listed.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1")
     join.lists = scratch.cut(listed.join(shared.hint("merge"), "shingle"), "lists")
 
     join.weights = scratch.cut(join.lists.groupBy("gid").agg((F.sum("size") / F.max("n")).alias("weight")), "weights")
-    placed = join.components(rounds)
+    # rows that repeat a doc_id with other texts hang together
+    pooled = ids.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).filter(F.size("reps") > 1)
+    placed = join.components(rounds, scratch.cut(pooled.select("a", F.explode("reps").alias("b")).filter("a <> b"), "pooled"))
 
-    ids = signed.select("doc_id", "n", "set_a", "set_b").join(classes.hint("merge"), key, "left")
     out = ids.join(placed.select("rep", "component").distinct().hint("merge"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 

@@ -16,7 +16,7 @@ def brute_components(rows, words, num, den):
         return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
 
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
-    parent = {i: i for i, _ in sets}
+    parent = {i: i for i, _ in sets}  # rows that repeat an id are one node
 
     def find(x):
         while parent[x] != x:
@@ -83,6 +83,20 @@ def test_work_is_split_without_losing_links(spark, monkeypatch, rounds, short):
     assert got == brute_components(rows, 5, 80, 100)
 
 
+def test_repeated_ids_with_other_texts_lose_no_link(spark):
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    a, b = words("a", 63), words("b", 63)
+    near_b = [*b[:-1], "z"]
+    rows = [(5, a), (5, b), (6, near_b), (3, words("c", 63)), (3, b), (8, words("d", 40)), (9, words("c", 63)), (9, words("e", 50)), (11, [*words("e", 49), "y"])]
+    rows = [(i, " ".join(t)) for i, t in rows] + [(None, " ".join(b))]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(tuple(r) for r in got if r.doc_id is not None) == brute_components(rows, 4, 85, 100)
+    assert [tuple(r) for r in got if r.doc_id is None] == [(None, 60, None)]
+    only = [r for r in rows if r[0] in (5, 6)]
+    got = jaccard.near_duplicates(spark.createDataFrame(only, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (6, 5)}
+
+
 def test_components_of_odd_rows(odd_docs, empty_docs):
     got = jaccard.near_duplicates(odd_docs).collect()
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
