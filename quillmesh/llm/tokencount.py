@@ -3,7 +3,7 @@
 A text is cut into pre-tokens, and its count is the sum of their pieces. A pre-token of the vocabulary is looked
 up there. All others are counted once for each distinct one in the whole table: documents are
 gathered in chunks of bounded size, a chunk lists its distinct pre-tokens and, for each document, how often
-each occurs. The lists of all chunks meet by pre-token, the pieces go back to the chunks, and
+each occurs. The lists of all chunks are dealt and sorted by pre-token, the pieces go back to the chunks, and
 there they are joined to the documents' frequencies and added up. A pre-token stands in a chunk's list
 once, however many documents have it, so no pre-token is hot.
 """
@@ -16,7 +16,6 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -157,20 +156,43 @@ def _chunks(path: str, most_words: int, most_bytes: int, most_docs: int):
     return gather
 
 
-def _counting(path: str):
-    @F.pandas_udf("int")
-    def pieces(words: pd.Series) -> pd.Series:
-        counter = piece_counter(path)
-        return words.map(counter.pieces).astype("int32")
-
-    return pieces
+def _counting(path: str, most: int):
+    def count(batches):
+        """Of sorted pre-tokens the pieces, counted where a new one begins; packed for each chunk that lists them."""
+        counter, last, pieces, held, size = piece_counter(path), None, 0, [], 0
+
+        def packed():
+            of, at, n = map(np.concatenate, zip(*held))
+            order = np.lexsort((at, of))
+            of, at, n = of[order], at[order], n[order]
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            rows = [_pack(np.concatenate([np.diff(at[a:b], prepend=0), n[a:b]])) for a, b in zip(starts, [*starts[1:], len(of)])]
+            return pa.RecordBatch.from_arrays([pa.array(of[starts]), pa.array(rows, pa.binary())], names=["of", "pieces"])
+
+        for batch in batches:
+            found = np.empty(batch.num_rows, np.int64)
+            for i, word in enumerate(batch.column("word").to_pylist()):
+                if word != last:
+                    last, pieces = word, counter.pieces(word)
+                found[i] = pieces
+            held.append((batch.column("of").to_numpy(), batch.column("at").to_numpy().astype(np.int64), found))
+            size += len(found)
+            if size >= most:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    return count
 
 
 def _adding(limit: int):
     def add(key, chunks: pa.Table, found: pa.Table) -> pa.Table:
         """The counts of a chunk's documents from the pieces of its pre-tokens."""
-        pieces = np.zeros(found.num_rows, np.int64)
-        pieces[found.column("at").to_numpy()] = found.column("pieces").to_numpy()
+        parts = [np.split(_unpack(x), 2) for x in found.column("pieces").to_pylist()]
+        pieces = np.zeros(sum(len(n) for _, n in parts), np.int64)
+        for steps, n in parts:
+            pieces[np.cumsum(steps)] = n
         out = []
         for i in range(chunks.num_rows):
             flat = lambda name: chunks.column(name)[i].values
@@ -187,14 +209,15 @@ def _adding(limit: int):
     return add
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk_words: int = 1 << 18, chunk_bytes: int = 16 << 20, chunk_docs: int = 8192) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk_words: int = 1 << 18, chunk_bytes: int = 16 << 20, chunk_docs: int = 8192, held_rows: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text, as the vocabulary's library counts.
 
     ``path``: a byte-level vocabulary without a normaliser; its special tokens count one each where
     their strings stand in a text. A null text counts as empty: no bytes, no tokens. Each row gets a
     result, repeated or without doc_id or not. An empty table gives no rows. Other columns are ignored.
     A chunk is closed after the document with which it reaches ``chunk_words`` distinct
-    pre-tokens, ``chunk_bytes`` of text or ``chunk_docs`` documents; that changes the work, not the result.
+    pre-tokens, ``chunk_bytes`` of text or ``chunk_docs`` documents, and ``held_rows`` counted entries go back at a
+    time; that changes the work, not the result.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -202,8 +225,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk_words: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # written once: chunks must be the same ones for their lists and for their documents
     chunks = scratch.cut(rows.mapInArrow(_chunks(path, chunk_words, chunk_bytes, chunk_docs), _CHUNK), "chunks")
-    # dealt by pre-token once, for the distinct ones and for the lists alike
-    listed = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("at", "word")).repartition("word")
-    counted = listed.select("word").distinct().withColumn("pieces", _counting(path)("word"))
-    found = listed.join(counted.hint("merge"), "word").select("of", "at", "pieces")
+    listed = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("at", "word"))
+    found = listed.repartition("word").sortWithinPartitions("word").mapInArrow(_counting(path, held_rows), "of long, pieces binary")
     return chunks.drop("words").groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(_adding(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

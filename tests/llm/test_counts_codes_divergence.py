@@ -38,8 +38,8 @@ def test_counts_equal_the_library(docs, odd_docs, empty_docs):
 
 def test_chunks_of_any_size_count_alike(docs, odd_docs):
     want = by_library(odd_docs)
-    for words, size, rows in ((1, 1, 1), (50, 1 << 20, 3), (1 << 18, 4000, 8192)):
-        assert counted(tokencount.token_counts(odd_docs, BYTE, chunk_words=words, chunk_bytes=size, chunk_docs=rows)) == want
+    for words, size, rows, held in ((1, 1, 1, 1), (50, 1 << 20, 3, 7), (1 << 18, 4000, 8192, 1 << 20)):
+        assert counted(tokencount.token_counts(odd_docs, BYTE, chunk_words=words, chunk_bytes=size, chunk_docs=rows, held_rows=held)) == want
 
 
 def test_odd_texts_are_cut_as_the_library_cuts_them():
