@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import WordSplitter, byte_letters, load
+from .chunks import _KEPT_WORD, WordSplitter, byte_letters, load
 from .common import column_bytes, sliced, text_batches
 
 
@@ -89,9 +89,11 @@ class ForcedBoundaryBpe:
         for i, fragment in enumerate(cuts):
             key = (fragment, i == len(cuts) - 1)
             if (ids := self.fragments.get(key)) is None:
-                if len(self.fragments) >= self.most:
-                    self.fragments.clear()
-                ids = self.fragments[key] = self.merge(*key)
+                ids = self.merge(*key)
+                if len(fragment) <= _KEPT_WORD:
+                    if len(self.fragments) >= self.most:
+                        self.fragments.clear()
+                    self.fragments[key] = ids
             out += ids
         return out
 
@@ -140,7 +142,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
     The vocabulary must drop white space and end words with a suffix; without a decoder of its
     own, decoding puts one space between tokens. Each row gets a result, repeated or not; no
-    row needs another, so nothing is shuffled. Other columns are ignored.
+    row needs another, so nothing is shuffled. An empty table gives no rows. Other columns are ignored.
     """
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -148,7 +150,12 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode_column(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int), decoded: the general form of ``encode_digests``."""
+    """doc_id, ids (array of int), decoded: the general form of ``encode_digests``.
+
+    A null text counts as empty and has no ids. Each row gets a result, repeated or not. An empty
+    table gives no rows. Other columns are ignored.
+    """
+    text_batches(docs.sparkSession)
 
     def encode(batches):
         model = ForcedBoundaryBpe(path)

@@ -22,7 +22,10 @@ _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Runs of the splitter's white space (the 25 characters of the Unicode property) that are cut out of a text.
 _LONG = 20_000
-_LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % _LONG)
+# runs of some length; each is walked once, whether it is long enough or not
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{64,}")
+#: Longer words are not kept, so that a table of words has a bound in bytes too.
+_KEPT_WORD = 48
 _TO_BYTES = ByteLevel(add_prefix_space=False, use_regex=False)
 
 
@@ -77,9 +80,11 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        if len(self.known) >= self.most:
-            self.known.clear()
-        ids = self.known[word] = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(byte_letters(word))])
+        ids = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(byte_letters(word))])
+        if len(word) <= _KEPT_WORD:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[word] = ids
         return ids
 
     def encode(self, text: bytes) -> bytes:
@@ -117,15 +122,18 @@ class RankEncoder:
         if any(s in text for s in self.specials):
             self.tokenizer = self.tokenizer or load(self.path)
             return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, self.type)
-        if len(text) < _LONG or not _LONG_RUN.search(string):
+        if len(text) < _LONG or not self._long_runs(string):
             return np.array(self.ranks.encode_ordinary(string), self.type)
         return np.array(self._with_long_runs(string), self.type)
 
+    def _long_runs(self, string: str) -> list[re.Match]:
+        return [run for run in _RUN.finditer(string) if run.end() - run.start() >= _LONG]
+
     def _with_long_runs(self, string: str) -> list[int]:
         """A word always ends before white space, and a run of it but for its last character is one word:
         so runs that are too long for the splitter are merged by themselves."""
         out, at = [], 0
-        for run in _LONG_RUN.finditer(string):
+        for run in self._long_runs(string):
             end = run.end() if run.end() == len(string) else run.end() - 1
             out += self.ranks.encode_ordinary(string[at : run.start()]) + self._merged(string[run.start() : end].encode())
             at = end

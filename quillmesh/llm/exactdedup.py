@@ -36,6 +36,9 @@ def _named_blocks(docs: DataFrame, scratch: Scratch, block_bytes: int, hash_bits
     if keys.filter("contents > 1").isEmpty():
         names = scratch.cut(global_rank(keys.select("key"), "name", F.asc("key")), "names")
         return blocks.drop("block").join(names.hint("merge"), "key").drop("key")
+    # hashes collide: both branches below must see the same row numbers, so the occurrences are written first
+    blocks = scratch.cut(blocks, "occurrences")
+    distinct = blocks.groupBy("key", "block").agg(F.lit(1).alias("one"))
     # of keys with several contents, the contents in their order
     several = distinct.join(keys.filter("contents > 1").select("key").hint("merge"), "key", "left_semi")
     several = scratch.cut(several.select("key", "block", F.row_number().over(Window.partitionBy("key").orderBy("block")).alias("content")), "several")

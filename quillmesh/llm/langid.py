@@ -94,7 +94,7 @@ def predict_language(docs: DataFrame, margin: float = 0.002) -> DataFrame:
 
     ``und`` (score 0, rejected) for a null text or one without a letter, or if nothing was
     learned. Rejected too: a score under ``margin``. Each row gets a result, repeated or not; ties
-    go to the language first in order. Other columns are ignored.
+    go to the language first in order. An empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(3, 1).alias("held_out"), "text")
     return rows.mapInArrow(_predicting(learn(docs), margin, False), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -178,3 +178,22 @@ def test_long_white_space_equals_the_library(spark):
     assert library.decode(ids) == text
     pieces = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), BYTE).collect()
     assert sum(p.length for p in pieces) == len(ids) + 1
+
+
+def test_long_words_and_runs_just_below_the_limit_take_their_length(docs):
+    import random
+    import time
+
+    rng, encoder, library = random.Random(4), RankEncoder(BYTE), load(BYTE)
+    text = ("x" + " " * 19_999) * 40 + "y" + " " * 20_001 + "z" + "\t\n" * 30
+    began = time.time()
+    got = encoder.encode(text.encode()).tolist()
+    assert time.time() - began < 5
+    assert got == library.encode(text, add_special_tokens=False).ids
+    words = WordEncoder(WORD, most_words=50)
+    model = bpe.ForcedBoundaryBpe(WORD, most_kept=50)
+    many = " ".join("".join(rng.choice("abcxyz019+/") for _ in range(rng.randrange(30, 300))) for _ in range(300))
+    ids = library_ids = load(WORD).encode(many, add_special_tokens=False).ids
+    assert np.frombuffer(words.encode(many.encode()), words.type).tolist() == ids
+    assert np.frombuffer(model.encode(many.encode())[0], "<u4").tolist() == library_ids
+    assert all(len(w) <= 48 for w in words.known) and all(len(w) <= 48 for w in model.words) and len(model.fragments) <= 50
