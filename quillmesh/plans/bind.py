@@ -23,6 +23,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("pos"),
         F.lpad(k.cast("string"), 8, "0").alias("internal_id"),
         F.col("source").alias("source_db"),
+        F.concat_ws("-", "source", (k % 3).cast("string")).alias("query_id"),
         "title",
         F.when(~((k % 4 == 0) | (after == "")), rest).alias("abstract"),
         (1994 + n % 33).cast("int").alias("year"),

@@ -89,7 +89,7 @@ def new_candidates(spark, sf):
 
 
 def title_blocks(spark, sf):
-    return linkage.title_pairs(bind.papers(spark, sf)).groupBy("year", "word").agg(F.count("*").alias("pairs"), F.count_if(F.expr("verdict = 'accept'")).alias("accepted"), F.count_if(F.expr("verdict = 'reject'")).alias("rejected"))
+    return linkage.title_blocks(bind.papers(spark, sf))
 
 
 def similar_titles(spark, sf):

@@ -117,7 +117,7 @@ def first_links(spark, sf):
     n, pos = F.length("title"), F.col("pos")
     direct = F.when(n % 3 == 0, "https://doi.org/10.1/x").when(n % 3 == 1, F.concat(F.lit("https://files.org/"), pos))
     link = lambda kind, base: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(base), pos).alias("url"))
-    items = bind.papers(spark, sf).select("doi", direct.alias("direct"), F.array(link("Reader", "https://r.org/"), link("PDF", "https://p.org/")).alias("links"))
+    items = bind.papers(spark, sf).select(pos.alias("at"), "doi", direct.alias("direct"), F.array(link("Reader", "https://r.org/"), link("PDF", "https://p.org/")).alias("links"))
     return matching.first_links(bind.papers(spark, sf), items)
 
 

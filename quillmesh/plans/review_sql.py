@@ -49,7 +49,7 @@ select step, n, 100 * n / (select sum(n) from got) as of_recovered_pct, 100 * n
         "title_membership": f"with {_P}, c as (select d, {_B('lower(title)')} as t from {_CONTROLS}) select pos, coalesce({_B('lower(doi)')} in (select d from c), false) or coalesce({_B('lower(title)')} in (select t from c where t is not null), false) as known from papers",
         "id_states": f"with {_WORK} select pos, case when pdf_file is not null then 'mapped' when pos in (select doc_id from labels where toxic = 1) then 'missing' else 'unidentified' end as state, pdf_file from worked",
         "extraction_sheet": f"with {_WORK}, m as (select distinct d.doc_id as pos, d.source as authors, d.lang as venue, d.n_chars::varchar as pages, case when d.n_chars > 500 then {_B('d.text')} end as a, true as known from documents d join labels using (doc_id)), t as (select w.pos, w.matched_ic, w.year, coalesce(m.authors, '') as authors, coalesce(m.venue, '') as venue, coalesce(m.pages, '') as pages, length(coalesce(m.a, w.abstract, '')) as n_chars, case when pdf_file is null then 'não' else 'sim' end as pdf_available, coalesce(pdf_file, '') as pdf_file, '' as main_finding from worked w left join m using (pos) where decision = 'include') select * exclude (year), row_number() over (order by pdf_available = 'não', matched_ic, year, pos) as place from t",
-        "first_links": f"with {_P}, i as (select {_ND('doi')} as d, min(case length(title) % 3 when 1 then 'https://files.org/' || pos else 'https://p.org/' || pos end) as url from papers where doi is not null group by 1) select pos, url from papers join i on {_ND('doi')} = d",
+        "first_links": f"with {_P}, i as (select {_ND('doi')} as d, arg_min(case length(title) % 3 when 1 then 'https://files.org/' || pos else 'https://p.org/' || pos end, pos) as url from papers where doi is not null group by 1) select pos, url from papers join i on {_ND('doi')} = d",
         "responses_joined": f"with {_RESP} select conv_id as pos, turn, case when conv_id % 7 = 0 or d = 'other' then 'maybe' else lower(d) end as decision, source as source_db from resp left join documents on conv_id = doc_id",
         "lookup_by_kind": f"with {_P}, {_SNAP} select p.pos, case when doc_type = 'article' then 'aux' else 'recovered' end as kind, case when doc_type = 'article' then s.ft_decision else g.url end as note from papers p left join snap s using (pos) left join (select page_id as pos, min(url) as url from pages group by 1) g on g.pos = p.pos",
         "target_union": f"with {_P}, {_SNAP} select pos, ft_oa_url as url, null::int as n_chars, 'recovered' as origin from snap where ft_oa_url is not null union all select pos, null, length(abstract), 'aux' from snap left join papers using (pos) where ft_decision = 'include'",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import text as T
 from quillmesh.functions.udfs import file_slug, token_set, token_sort
 from quillmesh.operators import keys, linkage, matching, profiles, reports, screening, workflow
+from quillmesh.plans import bind
 from quillmesh.sources import files
 
 WORDS = "process mining of software event logs with markov models and simulation in agile teams".split()
@@ -32,8 +33,8 @@ def titles(n, seed):
 
 @pytest.fixture(scope="module")
 def papers(spark):
-    rows = [(i, t, y, f"src{i % 3}", f"https://doi.org/10.1/{i % 7}" if i % 2 else None, None if i % 4 else "text") for i, t, y in titles(40, 1)]
-    return spark.createDataFrame(rows, "pos long, title string, year int, source_db string, doi string, abstract string")
+    rows = [(i, t, y, f"src{i % 3}", f"q{i % 5}", f"https://doi.org/10.1/{i % 7}" if i % 2 else None, None if i % 4 else "text") for i, t, y in titles(40, 1)]
+    return spark.createDataFrame(rows, "pos long, title string, year int, source_db string, query_id string, doi string, abstract string")
 
 
 def test_best_title_match_equals_brute_force(spark, papers):
@@ -45,7 +46,7 @@ def test_best_title_match_equals_brute_force(spark, papers):
             best = None
             for provider, t, y, text in offers:
                 a, b = norm(r.title), norm(t)
-                if provider != p or not text or not a or not b or a.split()[:2] != b.split()[:2]:
+                if provider != p or not text or not a or not b:
                     continue
                 near = bool(r.year and y and abs(r.year - y) <= 1)
                 score = 1000.0 if a == b else token_set(a, b) + 3.0 * near
@@ -70,7 +71,7 @@ def test_urls_by_title_equal_brute_force(spark, papers):
     for r in papers.collect():
         for at, t, y, url in offers:
             a, b = norm(r.title), norm(t)
-            fits = a and b and a.split()[:2] == b.split()[:2] and (a == b or token_set(a, b) >= 92) and not (r.year and y and abs(r.year - y) > 1)
+            fits = a and b and (a == b or token_set(a, b) >= 92) and not (r.year and y and abs(r.year - y) > 1)
             if fits and url and "doi.org/10." not in url and r.pos not in want:
                 want[r.pos] = url
     assert got == want and got
@@ -97,10 +98,65 @@ def test_known_items_equal_brute_force(spark, papers, monkeypatch, block):
         mine = [(p, k) for i, p, k in want if i == item]
         kind = "doi" if any(k == "doi" for _, k in mine) else "title" if mine else "not_found"
         assert report[item].matched_by == kind and report[item].found == bool(mine)
+        assert report[item].queries == "|".join(sorted({f"q{p % 5}" for p, _ in mine})) and report[item].sources == "|".join(sorted({f"src{p % 3}" for p, _ in mine}))
     total = matching.coverage(matching.control_report(table, papers), 2).collect()[0]
     assert total.total == len(controls) and total.passed == (total.found >= 2)
 
 
+def test_title_matches_lose_none_of_300_titles(spark, sf_dir):
+    """All pairs of distinct titles, without any block: those of the data, and made ones with words changed, dropped and added."""
+    data = [norm(r.title) for r in bind.papers(spark, sf_dir).select("title").distinct().collect()]
+    random.seed(8)
+    made = []
+    for t in sorted(filter(None, data)) * 2:
+        words = t.split()
+        for _ in range(min(len(words) - 1, random.randint(1, 2))):
+            at = random.randrange(len(words))
+            words[at : at + 1] = random.choice([[], [words[at] + "s"], [words[at], "study"], [words[at][1:] or "x"], ["of", words[at]]])
+        made.append(" ".join(words))
+    every = sorted({" ".join(sorted(set(t.split()))) for t in [*data, *made] if t})
+    assert len(every) >= 300
+    sets = spark.createDataFrame([(t,) for t in every], "_s string")
+    for least in (89, 92):
+        got = {(r.sa, r.sb): r.score for r in matching.similar_word_sets(sets, sets, least).collect()}
+        want = {(a, b): s for a in every for b in every if (s := token_set(a, b)) >= least}
+        assert not (lost := {k: v for k, v in want.items() if k not in got}), sorted(lost.items())[:5]
+        assert got == want and len(want) > len(every) + 50
+
+
+def test_a_word_in_every_title_meets_nothing(spark):
+    """Candidates grow with the titles: a hot word is looked up by none that has rarer ones."""
+    rows = [(i, f"mining {chr(97 + i % 26)}{i}x{i * 7919 % 1000} {i * 104729 % 99991}y", 2020) for i in range(1500)]
+    table = spark.createDataFrame(rows, "pos long, title string, year int")
+    sets = table.select(matching.word_set(matching.norm_title(F.col("title"))).alias("_s"))
+    assert matching.similar_word_sets(sets, sets, 92).count() >= 1500
+    _, classes = linkage.title_classes(table)
+    assert linkage.near_classes(classes).count() < 60 * 1500
+
+
+def test_greedy_scan_of_a_long_chain(spark):
+    rng = random.Random(2)
+    for pairs, run in (([(i, i + 1) for i in range(10_000)], 3000), (sorted({tuple(sorted(rng.sample(range(200), 2))) for _ in range(900)}), 60)):
+        rich = {v: rng.randrange(4) for p in pairs for v in p}
+        gone = {}
+        for a, b in pairs:
+            if a not in gone and b not in gone:
+                lost, kept = (a, b) if rich[b] > rich[a] else (b, a)
+                gone[lost] = kept
+        table = spark.createDataFrame([(a, b, rich[a], rich[b]) for a, b in pairs], "a long, b long, ra int, rb int").repartition(5)
+        assert {r.lost: r.kept for r in linkage.greedy_scan(table, run).collect()} == gone
+
+
+def test_title_pieces_lose_no_similar_pair(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "_SMALL_BLOCK", 1)
+    rows = [(i, t, 2019) for i, t, _ in titles(150, 9)]
+    table = spark.createDataFrame(rows, "pos long, title string, year int")
+    known = [(i, norm(t)) for i, t, _ in rows if norm(t)]
+    for threshold in (92, 80):
+        pairs = sorted((i, j) for i, a in known for j, b in known if i < j and a.split()[0] == b.split()[0] and token_sort(a, b) >= threshold)
+        assert sorted((r.a, r.b) for r in linkage.similar_titles(table, threshold).collect()) == pairs
+
+
 def test_similar_titles_and_greedy_scan_equal_brute_force(spark):
     rows = [(i, t, 2019, "10.1/x" if i % 3 else None, "a" * (60 * (i % 2)), [], [], None, None) for i, t, _ in titles(60, 5)]
     table = spark.createDataFrame(rows, "pos long, title string, year int, doi string, abstract string, authors array<string>, keywords array<string>, venue string, pages string")
