@@ -12,6 +12,7 @@ LIMIT = r"LIMIT-TO\s*\([^)]+\)"
 LIMIT_KIND = r'(?i)LIMIT-TO\s*\(\s*DOCTYPE\s*,\s*"(\w+)"\s*\)'
 LIMIT_LANGUAGE = r'(?i)LIMIT-TO\s*\(\s*LANGUAGE\s*,\s*"([^"]+)"\s*\)'
 ANY_FIELD = r'"All Metadata"\s*:\s*'
+_TOKEN = rf'(?i){LIMIT}|"[^"]*"|[()]|\s+|[^\s()"]+|"'
 
 
 def listing(queries: DataFrame, database: str | None = None, show_query: bool = False) -> DataFrame:
@@ -21,17 +22,37 @@ def listing(queries: DataFrame, database: str | None = None, show_query: bool =
     return chosen.join(counts, "database").select("database", "n_queries", "id", "label", "notes", *["query"] * show_query)
 
 
+def clauses(query: Column) -> Column:
+    """The clauses of a query: what its operators AND outside all brackets and quotes stand between.
+
+    The query is read token by token: a limit clause, a quoted text, a bracket, white space or a word.
+    """
+    tokens = F.regexp_extract_all(query, F.lit(_TOKEN), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def read(state: Column, token: Column) -> Column:
+        ends = (state["depth"] == 0) & (F.upper(token) == "AND")
+        step = F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
+        return F.struct(
+            F.greatest(F.lit(0), state["depth"] + step).alias("depth"),
+            F.when(ends, F.array_append(state["done"], state["open"])).otherwise(state["done"]).alias("done"),
+            F.when(ends, F.lit("")).otherwise(F.concat(state["open"], token)).alias("open"),
+        )
+
+    return F.aggregate(tokens, start, read, lambda state: F.array_append(state["done"], state["open"]))
+
+
 def without_limits(query: Column) -> Column:
-    """The query on one line, without limit clauses; limits of language become a clause of their own."""
-    # clauses that open with a limit: what is left of each after its list of limits
-    clauses = F.split(query, rf"(?i)AND\s+(?=\(?\s*{LIMIT})")
-    first, others = F.get(clauses, F.lit(0)), F.slice(clauses, F.lit(2), F.greatest(F.size(clauses) - 1, F.lit(0)))
-    after = F.transform(others, lambda clause: F.regexp_replace(clause, rf"(?i)^\(?(?:\s*(?:OR\s*)?{LIMIT})+\s*(?:OR\s*)?\)?", ""))
-    bare = F.array_join(F.concat(F.array(first), after), "")
-    bare = strip(F.regexp_replace(F.regexp_replace(bare, rf"(?i){LIMIT}", ""), r"\s+", " "))
-    languages = F.regexp_extract_all(query, F.lit(LIMIT_LANGUAGE), F.lit(1))
-    clause = F.array_join(F.transform(languages, lambda x: F.concat(F.lit("LANGUAGE("), F.lower(x), F.lit(")"))), " OR ")
-    return F.when(F.size(languages) > 0, F.concat(bare, F.lit(" AND ("), clause, F.lit(")"))).otherwise(bare)
+    """The query on one line, without limit clauses; limits of language become a clause of their own.
+
+    Of each clause the limits go; one that held nothing but limits, brackets and ORs goes whole. Operators
+    are whole words; blank clauses are dropped; a null query is null.
+    """
+    bare = F.transform(clauses(query), lambda clause: strip(F.regexp_replace(F.regexp_replace(clause, rf"(?i){LIMIT}", ""), r"\s+", " ")))
+    kept = F.filter(bare, lambda clause: F.regexp_replace(clause, r"(?i)\bOR\b|[\s()]", "") != "")
+    languages = F.transform(F.array_distinct(F.regexp_extract_all(query, F.lit(LIMIT_LANGUAGE), F.lit(1))), lambda x: F.format_string("LANGUAGE(%s)", F.lower(x)))
+    turned = F.when(F.size(languages) > 0, F.array(F.concat(F.lit("("), F.array_join(languages, " OR "), F.lit(")")))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(kept, turned), " AND ")
 
 
 def limited_kinds(query: Column) -> Column:

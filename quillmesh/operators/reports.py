@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
 
-RULE = "=" * 70
-
-
 def _has(c: str) -> Column:
     return blank_to_null(F.col(c)).isNotNull()
 
@@ -89,31 +86,45 @@ def input_profile(rows: DataFrame, flagged: DataFrame) -> DataFrame:
     return rows.join(marks.hint("merge"), "pos", "left").agg(F.count("*").alias("rows"), with_file.alias("with_file"), F.floor(100 * with_file / F.count("*")).alias("with_file_pct"), (F.count("*") - with_file).alias("without_file"), F.countDistinct(F.when(F.col("_flag") == 1, F.col("pos"))).alias("flagged"))
 
 
-def search_report(papers: DataFrame, flags: DataFrame, control: str, items: DataFrame | None = None, threshold: int = 8) -> str:
-    """The search report as text in six sections. ``papers``: pos, source_db, query_id, year, doc_type; ``flags``: pos, is_duplicate.
+def search_figures(papers: DataFrame, flags: DataFrame, control: str, labels: DataFrame) -> DataFrame:
+    """section, key, label, raw, unique_records: all figures of the search report, by one pass over the records.
 
-    Every figure is an aggregate; what comes to the driver is a row for each source, query, year
-    and type, and for each known item of ``items`` (a control report).
+    ``papers``: pos, source_db, query_id, year, doc_type; ``flags``: pos, is_duplicate; ``labels``: query_id, label, one row
+    of each. Sections: part (all, primary, control), source, query (with its label; the control source's queries
+    are marked as such), year (known ones), type. Years and types count unique records only in ``unique_records``.
+    """
+    joined = papers.select("pos", "source_db", "query_id", "year", "doc_type").join(flags.select("pos", "is_duplicate").hint("merge"), "pos")
+    named = lambda section, key: F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"))
+    is_control = F.col("source_db").eqNullSafe(F.lit(control))
+    year = F.when(F.col("year") != 0, F.col("year"))
+    query = F.concat_ws("/", "source_db", "query_id")
+    rows = joined.select(
+        "is_duplicate",
+        F.when(is_control, "known items, not a search").alias("note"),
+        "query_id",
+        F.explode(F.array(named("part", F.lit("all")), named("part", F.when(is_control, "control").otherwise("primary")), named("source", F.col("source_db")), named("query", query), named("year", year), named("type", F.col("doc_type")))).alias("x"),
+    )
+    counted = rows.filter("x.section <> 'year' or x.key is not null").groupBy("x.section", "x.key", F.when(F.col("x.section") == "query", F.col("query_id")).alias("query_id"), F.when(F.col("x.section").isin("query", "source"), F.col("note")).alias("note"))
+    counted = counted.agg(F.count("*").alias("raw"), F.count_if(~F.col("is_duplicate")).alias("unique_records"))
+    return counted.join(labels.select("query_id", "label").hint("merge"), "query_id", "left").select("section", "key", F.coalesce("label", "note").alias("label"), "raw", "unique_records")
+
+
+def search_report(figures: DataFrame, items: DataFrame | None = None, threshold: int = 8) -> str:
+    """The figures as a Markdown text, a table for each section, and known items with a verdict.
+
+    ``figures``: of ``search_figures``; what comes to the driver is a row for each source, query, year and type.
+    ``items``: a control report.
     """
-    joined = papers.join(flags.select("pos", "is_duplicate").hint("merge"), "pos")
-    parts = {r.part: r for r in overview(joined, control).collect()}
-    figure = lambda part, name: getattr(parts[part], name) if part in parts else 0
-    lines = [RULE, "SEARCH RESULTS REPORT", RULE, "", "1. OVERVIEW", "-" * 40]
-    lines += [f"   Total raw results:       {figure('all', 'raw'):,}", f"   After deduplication:     {figure('all', 'unique_records'):,}", f"   Duplicates removed:      {figure('all', 'removed'):,}", f"   Duplication rate:        {figure('all', 'rate') * 100:.1f}%"]
-    for part in ("primary", "control"):
-        lines += ["", f"   {part.capitalize()} set:", f"     Raw:                   {figure(part, 'raw'):,}", f"     Unique:                {figure(part, 'unique_records'):,}"]
-    by_source = joined.groupBy("source_db").agg(F.count("*").alias("raw"), F.count_if(~F.col("is_duplicate")).alias("unique_records")).orderBy("source_db").collect()
-    lines += ["", "2. RESULTS BY DATABASE", "-" * 40, *(f"   {r.source_db or '':<15} raw={r.raw:>5,}   unique={r.unique_records:>5,}" for r in by_source)]
-    by_query = joined.groupBy("source_db", "query_id").agg(F.count("*").alias("n")).orderBy("source_db", "query_id").collect()
-    lines += ["", "3. RESULTS BY QUERY", "-" * 40, *(f"   [{r.source_db}] {r.query_id or '':<45}  {r.n:>5,}" for r in by_query)]
-    unique = joined.filter("not is_duplicate")
-    years = unique.filter("year is not null and year <> 0").groupBy("year").agg(F.count("*").alias("n")).orderBy("year").collect()
-    lines += ["", "4. PUBLICATION YEAR DISTRIBUTION (unique papers)", "-" * 40, *(f"   {r.year}  {r.n:>4}  {'#' * min(r.n // 2, 40)}" for r in years)]
-    kinds = unique.groupBy("doc_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_type").collect()
-    lines += ["", "5. DOCUMENT TYPES (unique papers)", "-" * 40, *(f"   {r.doc_type or '':<25}  {r.n:>5,}" for r in kinds)]
+    by: dict[str, list] = {}
+    for r in figures.collect():
+        by.setdefault(r.section, []).append(r)
+    text = ["# Search report"]
+    for section in ("part", "source", "query", "year", "type"):
+        text += ["", f"## By {section}", "", f"| {section} | label | raw | unique | kept |", "|-|-|-|-|-|"]
+        text += [f"| {r.key} | {r.label or ''} | {r.raw} | {r.unique_records} | {r.unique_records / r.raw:.1%} |" for r in sorted(by.get(section, []), key=lambda r: (r.key is None, r.key))]
     if items is not None:
         rows = items.orderBy("item_id").collect()
         found = sum(r.found for r in rows)
-        lines += ["", "6. CONTROL PAPERS VALIDATION", "-" * 40, *(f"   [{r.item_id}] {r.matched_by:<12}  {r.sources or 'NOT FOUND'}" for r in rows)]
-        lines += ["", f"   Coverage: {found}/{len(rows)}  Status: {'PASS' if found >= threshold else 'FAIL'}"]
-    return "\n".join([*lines, "", RULE, ""])
+        text += ["", "## Known items", "", "| item | match | sources | queries |", "|-|-|-|-|", *(f"| {r.item_id} | {r.matched_by} | {r.sources} | {r.queries} |" for r in rows)]
+        text += ["", f"{found} of {len(rows)} known items found, {threshold} asked for: {'enough' if found >= threshold else 'too few'}."]
+    return "\n".join([*text, ""])

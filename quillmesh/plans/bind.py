@@ -60,6 +60,12 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def query_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the queries that have one."""
+    docs = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 3).alias("k")).distinct().filter("k < 2")
+    return docs.select(F.concat_ws("-", "source", F.col("k").cast("string")).alias("query_id"), F.concat(F.lit("query "), "k", F.lit(" of "), "source").alias("label"))
+
+
 def pdf_file():
     """The file of a queued record that has been downloaded."""
     return F.when(F.col("pdf_status") == "downloaded", F.concat(F.lit("f"), F.col("pos"), F.lit(".pdf")))

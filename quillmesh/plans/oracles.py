@@ -85,9 +85,9 @@ catalogue as (
       when 2 then '"' || w || '" "' || l || '"'
       else w || ' limit-to(x) ' || l end as query
   from words)"""
-# by the form that a query was written in; an "and" right before a limit goes with it, also at the end of a word
+# by the form that a query was written in
 _FORMS = r"""select 'q' || doc_id as id,
-  case doc_id % 4 when 0 then 'TITLE("' || w || '") AND (LANGUAGE(' || lower(l) || '))' when 3 then case when lower(w) like '%and' then left(w, length(w) - 3) || l else ltrim(w || ' ' || l) end else (select query from catalogue c where c.id = 'q' || doc_id) end as limits_out,
+  case doc_id % 4 when 0 then 'TITLE("' || w || '") AND (LANGUAGE(' || lower(l) || '))' when 3 then case when lower(w) = 'and' then l else ltrim(w || ' ' || l) end else (select query from catalogue c where c.id = 'q' || doc_id) end as limits_out,
   case when doc_id % 4 = 0 then 'ar,cp' end as kinds,
   case when doc_id % 4 = 1 then '"' || w || '" AND "' || l || '"' else (select trim(query) from catalogue c where c.id = 'q' || doc_id) end as plain,
   coalesce((select string_agg('keyword:"' || t || '"', ' AND ' order by i) from (select unnest(x) as t, generate_subscripts(x, 1) as i from (select regexp_extract_all((select query from catalogue c where c.id = 'q' || doc_id), '"([^"]+)"', 1) as x))), ltrim(w || ' limit-to(x) ' || l)) as keywords

@@ -73,6 +73,11 @@ def overview_by_part(spark, sf):
     return reports.overview(bind.papers(spark, sf).select("pos", "source_db").join(flags.hint("merge"), "pos"), "src0")
 
 
+def search_figures(spark, sf):
+    flags = linkage.exact_duplicates(bind.papers(spark, sf)).select("pos", "is_duplicate")
+    return reports.search_figures(bind.papers(spark, sf), flags, "src0", bind.query_labels(spark, sf))
+
+
 def work_targets(spark, sf):
     flags = {
         "download": workflow.download_target(), "rescreen": workflow.rescreen_target(), "rescreen_all": workflow.rescreen_target(True, True), "blank": workflow.blank_target(),

@@ -43,6 +43,14 @@ select step, n, 100 * n / (select sum(n) from got) as of_recovered_pct, 100 * n
         "disagreement_counts": f"with {_R} select stage, count(*) as n, count(*) filter ((\"primary\" = 'include') <> (verifier = 'include')) as binary from raters where \"primary\" <> verifier group by stage",
         "input_profile": f"with {_WORK} select count(*) as rows, count(pdf_file) as with_file, cast(floor(100 * count(pdf_file) / count(*)) as bigint) as with_file_pct, count(*) - count(pdf_file) as without_file, count(distinct case when pos in (select doc_id from labels where quality = 1) then pos end) as flagged from worked",
         "overview_by_part": f"with {_D}, x as (select 'all' as part, duplicate_of from flags union all select case when source_db = 'src0' then 'control' else 'primary' end, duplicate_of from flags) select part, count(*) as raw, count(*) - count(duplicate_of) as unique_records, count(duplicate_of) as removed, count(duplicate_of) / count(*) as rate from x group by part",
+        "search_figures": f"""with {_D}, x as (select source_db, source_db || '-' || (pos % 3) as q, pos % 3 as k, year, doc_type, duplicate_of from flags join papers using (pos, source_db)),
+n as (select *, case when source_db = 'src0' then 'known items, not a search' end as note from x)
+select 'part' as section, 'all' as key, null as label, count(*) as raw, count(*) - count(duplicate_of) as unique_records from n
+union all select 'part', case when source_db = 'src0' then 'control' else 'primary' end as p, null, count(*), count(*) - count(duplicate_of) from n group by p
+union all select 'source', source_db, note, count(*), count(*) - count(duplicate_of) from n group by source_db, note
+union all select 'query', source_db || '/' || q, case when k < 2 then 'query ' || k || ' of ' || source_db else note end, count(*), count(*) - count(duplicate_of) from n group by source_db, q, k, note
+union all select 'year', year::varchar, null, count(*), count(*) - count(duplicate_of) from n group by year
+union all select 'type', doc_type, null, count(*), count(*) - count(duplicate_of) from n group by doc_type""",
         "work_targets": f"with {_WORK} select pos, coalesce(ft_decision = 'include', false) or (decision = 'include' and {_UNDECIDED}) as download, decision = 'maybe' and own is not null and {_UNDECIDED} as rescreen, decision <> 'exclude' and own is not null as rescreen_all, {_UNDECIDED} as blank, pdf_file is not null and main_finding is null as extract_file, pdf_file is null and main_finding is null and (own is not null or {_B('title')} is not null) as extract_text, pdf_file is not null and coalesce(ft_decision, '') in ('', 'pending') as pending from worked",
         "marked_pending": f"with {_WORK}, h as (select *, doi is null and {_UNDECIDED} as hit from worked) select pos, case when hit then 'pending' else ft_decision end as ft_decision, case when hit then '{no}' else ft_rationale end as ft_rationale, case when hit then 'low' else ft_confidence end as ft_confidence, case when hit then 'missing_pdf' end as ft_evidence_status, case when hit then 'true' end as ft_manual_review_required from h",
         "content_routes": f"with {_WORK} select pos, case when pdf_file is not null and {_B('text')} is not null then 'file' when own is not null then 'abstract' else 'title' end as origin, md5(coalesce(case when pdf_file is not null then {_B('text')} end, own, title)) as digest from worked",

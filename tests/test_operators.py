@@ -147,6 +147,18 @@ def test_request_forms(spark):
     got = rows.select(catalogue.without_limits(c), catalogue.limited_kinds(c), catalogue.plain_boolean(c), catalogue.keywords(c)).collect()
     assert tuple(got[0])[:2] == ('TITLE("a b") AND (LANGUAGE(english))', "ar,cp")
     assert got[1][2] == '"x" AND "y"' and got[2][3] == "plain" and got[3][1:3] == (None, None)
+    cases = {
+        'a and (b AND c) AND (LIMIT-TO(X, "y"))': "a AND (b AND c)",
+        'LIMIT-TO(DOCTYPE, "ar") AND "x AND y" and z': '"x AND y" AND z',
+        'band LIMIT-TO ( LANGUAGE , "Old Norse" ) or (limit-to(LANGUAGE,"English"))': "band or () AND (LANGUAGE(old norse) OR LANGUAGE(english))",
+        'a AND (LIMIT-TO(LANGUAGE, "en") OR LIMIT-TO(LANGUAGE, "en"))': "a AND (LANGUAGE(en))",
+        "": "",
+        "x ) AND ( y AND z": "x ) AND ( y AND z",
+        'open "quote AND more': 'open "quote AND more',
+    }
+    made = spark.createDataFrame([(x,) for x in cases], "q string")
+    assert {r.q: r.x for r in made.select("q", catalogue.without_limits(c).alias("x")).collect()} == cases
+    assert got[3][0] is None
     assert rows.limit(1).select(catalogue.escape_slashes(F.lit("10.1/a/b"))).collect()[0][0] == "10.1\\/a\\/b"
 
 

@@ -250,8 +250,15 @@ def test_samples_batches_and_ids(spark):
 
 def test_report_and_clusters(spark, papers):
     flags = papers.select("pos", (F.col("pos") % 5 == 0).alias("is_duplicate"))
-    text = reports.search_report(papers.withColumns({"query_id": F.lit("q"), "doc_type": F.lit("article")}), flags, "src0")
-    assert "Total raw results:       42" in text and "After deduplication:     33" in text and "[src1] q" in text and "5. DOCUMENT TYPES" in text
+    rows = papers.withColumn("doc_type", F.when(F.col("pos") % 2 == 0, "article"))
+    figures = reports.search_figures(rows, flags, "src0", spark.createDataFrame([("q1", "first words")], "query_id string, label string"))
+    got = {(r.section, r.key): (r.label, r.raw, r.unique_records) for r in figures.collect()}
+    assert got["part", "all"] == (None, 42, 33) and got["part", "primary"][1] + got["part", "control"][1] == 42
+    assert got["query", "src1/q1"][0] == "first words" and got["query", "src0/q0"][0] == "known items, not a search" and got["source", "src0"][0] and not got["source", "src1"][0]
+    assert sum(v[1] for (s, _), v in got.items() if s == "query") == 42 and ("year", None) not in got and got["type", None][1] == 21
+    items = spark.createDataFrame([("c1", True, "src1", "q1", "doi")], "item_id string, found boolean, sources string, queries string, matched_by string")
+    text = reports.search_report(figures, items, 2)
+    assert "| all |  | 42 | 33 | 78.6% |" in text and "| src1/q1 | first words |" in text and "too few" in text
     rows = spark.createDataFrame([(1, "IC1|IC2"), (2, "IC3")], "id int, matched_ic string")
     got = sorted((r.id, r.cluster) for r in screening.clusters(rows, {"both": (["IC1", "IC2"], [])}, members={"picked": [2, 9]}).collect())
     assert got == [(1, "both"), (2, "picked")]
