@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,16 @@ from ..storage import written
 
 
 def first_wins(df: DataFrame, keys: list[str], *order, blank_exempt: bool = True) -> DataFrame:
-    """One row of each key, the first in order; rows with a null key are all kept unless told otherwise."""
-    known = df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    null = F.greatest(*(F.col(k).isNull() for k in keys)) if len(keys) > 1 else F.col(keys[0]).isNull()
-    keep = (F.col("_at") == 1) | null if blank_exempt else F.col("_at") == 1
-    return known.filter(keep).drop("_at")
+    """One row of each key, the first in order; rows with a null key are all kept unless told otherwise.
+
+    Null keys may be many: they don't go through the window. For the rest a key's first row is found
+    before and after the shuffle, so a hot key sends one row from each task.
+    """
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if not blank_exempt:
+        return df.withColumn("_at", at).filter("_at = 1").drop("_at")
+    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    return df.filter(~null).withColumn("_at", at).filter("_at = 1").drop("_at").unionByName(df.filter(null))
 
 
 def latest(df: DataFrame, key: str, *order) -> DataFrame:

@@ -12,6 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as papers: the title is the first line up to 200 characters, the abstract all that follows it."""
+    return _with_text(spark, sf_dir).drop("text")
+
+
+def _with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(200)).alias("title"))
     after = F.substring("text", F.length("title") + 1, F.length("text"))
     rest = F.when(F.startswith(after, F.lit("\n")), F.substring(after, F.lit(2), F.length("text"))).otherwise(after)
@@ -34,13 +38,13 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 7 != 0, F.col("source")).alias("venue"),
         F.when(k % 8 != 0, F.concat(k.cast("string"), F.lit("-"), (k + 9).cast("string"))).alias("pages"),
         F.when(k % 2 == 0, "article").when(k % 3 == 0, "Conference Paper").otherwise("chapter").alias("doc_type"),
+        "text",
     )
 
 
 def provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers of abstracts for all papers, from two sources by turns."""
-    full = papers(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text"), "pos")
-    return full.select("pos", F.when(F.col("pos") % 8 == 0, "alpha").otherwise("beta").alias("provider"), "doi", "title", "year", F.col("text").alias("abstract"))
+    return _with_text(spark, sf_dir).select("pos", F.when(F.col("pos") % 8 == 0, "alpha").otherwise("beta").alias("provider"), "doi", "title", "year", F.col("text").alias("abstract"))
 
 
 def controls(spark: SparkSession, sf_dir: str) -> DataFrame:

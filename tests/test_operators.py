@@ -170,3 +170,27 @@ def test_enrich_working_set(spark):
     assert both == {1: (None, None), 2: ("one", "s"), 3: ("two", "o"), 4: ("kept", None)}
     first = {r.pos: r.abstract for r in enrich.enrich_working_set(papers, provider, "s", "o", True).collect()}
     assert first == {1: None, 2: "one", 3: None, 4: "four"}
+
+
+def test_hot_null_keys_stay_out_of_the_window(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 else i % 7, i % 2 or None) for i in range(200)], "pos int, k int, j int")
+    got = sorted(r.pos for r in keys.first_wins(rows, ["k"], "pos").collect())
+    seen, want = set(), []
+    for i in range(200):
+        k = None if i % 3 else i % 7
+        if k is None or k not in seen:
+            want.append(i)
+        seen.add(k)
+    assert got == want
+    both = keys.first_wins(rows, ["k", "j"], F.desc("pos"))
+    assert both.filter("k is not null and j is not null").count() == 7 and both.filter("k is null or j is null").count() == rows.filter("k is null or j is null").count()
+    plan = keys.first_wins(rows, ["k"], "pos")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_shared_folder_of_a_cluster():
+    from quillmesh import storage
+
+    assert storage.cluster_folder("hdfs://nn/warehouse/") == "hdfs://nn/warehouse/_checkpoints"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.cluster_folder("file:/home/x/spark-warehouse")
