@@ -9,7 +9,7 @@ from quillmesh.functions import text as T
 from quillmesh.functions import udfs
 from quillmesh.operators import agreement, catalogue, enrich, exports, keys, linkage, screening
 from quillmesh.sources import files
-from quillmesh.streaming import ledger
+from quillmesh.streaming import ingest, ledger
 
 LABELS = ("include", "exclude", "maybe")
 
@@ -130,14 +130,48 @@ def test_exports_and_append(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [1, 2, 3]
 
 
+def size_of(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
 def test_ledger_stream_equals_batch(spark, tmp_path):
-    schema = "id long, decision string, at long"
-    batches = [[(1, "maybe", 1), (2, "include", 1)], [(1, "exclude", 3), (3, "maybe", 2)], [(1, "late", 2)]]
-    for rows in batches:
+    schema, rng = "id long, decision string, at long", random.Random(3)
+    batches = [[(i, rng.choice("abc"), i) for i in range(4000)], [(5, "late", 1), (7, "new", 9000), (4001, "new", 9001)], [(5, "now", 9002), (5, "old", 0)]]
+    every, book = [], ledger.Ledger(spark, f"{tmp_path}/out", "id", ["at"], 32)
+    for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        ledger.follow_decisions(spark, f"{tmp_path}/in", schema, "id", ["at"], f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out/v2").collect()
-    assert sorted((r.id, r.decision) for r in got) == [(1, "exclude"), (2, "include"), (3, "maybe")]
+        ledger.follow_decisions(spark, f"{tmp_path}/in", schema, "id", ["at"], f"{tmp_path}/out", f"{tmp_path}/check", 32).awaitTermination()
+        every += rows
+        want = {}
+        for k, d, at in sorted(every, key=lambda r: r[2]):
+            want[k] = d
+        assert {r.id: r.decision for r in book.read(schema).collect()} == want
+        if i:  # a small batch writes its buckets only
+            touched = {v for v in book.placed(i).values()}
+            assert sum(v == i for v in book.placed(i).values()) <= len({r[0] for r in rows}) and touched != {i}
+            assert size_of(tmp_path / "out" / "data" / f"v={i}") < 0.25 * size_of(tmp_path / "out" / "data" / "v=0")
+    assert len(book.placed(0 if 0 in book.versions() else 1)) == 32 and book.versions() == [1, 2]
+    book.upsert(spark.createDataFrame([(5, "again", 9999)], schema), 2)  # taken up before: nothing changes
+    assert {r.decision for r in book.read(schema).filter("id = 5").collect()} == {"now"}
+    book.upsert(spark.createDataFrame([(i, "x", 10_000) for i in range(4002)], schema), 3)
+    book.upsert(spark.createDataFrame([(1, "y", 10_001)], schema), 4)
+    assert not (tmp_path / "out" / "data" / "v=0").exists() and not (tmp_path / "out" / "data" / "v=2").exists()
+
+
+def test_ingest_finds_repeats_by_doi_and_by_title_over_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    batches = [
+        [(1, "10.1/a", "A Title"), (2, "https://doi.org/10.1/A", "Other"), (3, None, "A title!"), (4, None, None), (5, None, "")],
+        [(6, "10.1/a", "Third"), (7, "10.1/b", "a TITLE"), (8, "10.1/c", "New one"), (9, None, "new one")],
+        [(0, "10.1/c", "late"), (10, "10.1/b", "Fourth"), (11, "10.1/d", "Fourth"), (12, None, None)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, "pos long, doi string, title string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("pos long, doi string, title string").parquet(f"{tmp_path}/in")
+        out = ingest.distinct_arrivals(stream, "pos").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        out.awaitTermination()
+    # 7: its title came before, and its DOI is used up, so 10 is a repeat too
+    assert sorted(r.pos for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 4, 5, 8, 11, 12]
 
 
 def test_request_forms(spark):
