@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.udfs import file_slug
-from ..operators import enrich, keys, linkage, matching, reports, screening, workflow
+from ..operators import enrich, expansion, keys, linkage, matching, reports, screening, workflow
+from ..storage import shared_folder
 from . import bind
 
 NOTE = "No file found by hand; the whole text cannot be read."
@@ -246,6 +249,25 @@ def urls_by_title(spark, sf):
     return matching.url_by_title(bind.papers(spark, sf), offers)
 
 
+def citation_network(spark, sf):
+    """Two steps from the parts of one brand: orders that cite them, and what these cite."""
+    named = lambda kind, c: F.concat(F.lit(kind), F.col(c))
+    parts, orders = bind.table(spark, sf, "part"), bind.table(spark, sf, "orders")
+    edges = bind.edges(spark, sf).select(named("order ", "citing").alias("citing"), named("part ", "cited").alias("cited"))
+    works = parts.select(named("part ", "p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit(None).cast("int").alias("year")).unionByName(orders.select(named("order ", "o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.year("o_orderdate").alias("year")))
+    seeds = parts.filter("p_brand = 'Brand#11'").select(named("part ", "p_partkey").alias("id"))
+    return expansion.expand(seeds, edges, works, 2)
+
+
+def new_against_seen(spark, sf):
+    """All papers against an index of the known items and of the labelled papers."""
+    index = expansion.SeenIndex(spark, f"{shared_folder(spark)}/seen-{uuid.uuid4().hex}")
+    index.add(bind.controls(spark, sf).select("doi", "title", "year"))
+    labelled = bind.table(spark, sf, "labels").select(F.col("doc_id").alias("pos")).distinct()
+    index.add(bind.papers(spark, sf).join(labelled.hint("merge"), "pos", "left_semi").select("doi", "title", "year"))
+    return index.new(bind.papers(spark, sf)).select("pos", "source_db")
+
+
 def queries():
     own = [v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"]
     return {f.__name__: f for f in own}

@@ -51,6 +51,14 @@ union all select 'source', source_db, note, count(*), count(*) - count(duplicate
 union all select 'query', source_db || '/' || q, case when k < 2 then 'query ' || k || ' of ' || source_db else note end, count(*), count(*) - count(duplicate_of) from n group by source_db, q, k, note
 union all select 'year', year::varchar, null, count(*), count(*) - count(duplicate_of) from n group by year
 union all select 'type', doc_type, null, count(*), count(*) - count(duplicate_of) from n group by doc_type""",
+        "citation_network": """with e as (select distinct 'order ' || l_orderkey as citing, 'part ' || l_partkey as cited from lineitem),
+steps as (select citing as parent, cited as id, 0 as rank from e union all select cited, citing, 1 from e),
+seeds as (select 'part ' || p_partkey as id from part where p_brand = 'Brand#11'),
+one as (select id, 1 as depth, min((parent, rank)) as f, count(distinct parent) as n from steps where parent in (select id from seeds) and id not in (select id from seeds) group by id),
+two as (select id, 2 as depth, min((parent, rank)) as f, count(distinct parent) as n from steps where parent in (select id from one) and id not in (select id from one) and id not in (select id from seeds) group by id),
+x as (select * from one union all select * from two),
+works as (select 'part ' || p_partkey as id, p_name as title, null::int as year from part union all select 'order ' || o_orderkey, o_orderpriority, year(o_orderdate) from orders)
+select x.id, depth, f[1] as parent, case f[2] when 0 then 'backward' else 'forward' end as way, n as n_parents, title, year from x left join works w on w.id = x.id""",
         "work_targets": f"with {_WORK} select pos, coalesce(ft_decision = 'include', false) or (decision = 'include' and {_UNDECIDED}) as download, decision = 'maybe' and own is not null and {_UNDECIDED} as rescreen, decision <> 'exclude' and own is not null as rescreen_all, {_UNDECIDED} as blank, pdf_file is not null and main_finding is null as extract_file, pdf_file is null and main_finding is null and (own is not null or {_B('title')} is not null) as extract_text, pdf_file is not null and coalesce(ft_decision, '') in ('', 'pending') as pending from worked",
         "marked_pending": f"with {_WORK}, h as (select *, doi is null and {_UNDECIDED} as hit from worked) select pos, case when hit then 'pending' else ft_decision end as ft_decision, case when hit then '{no}' else ft_rationale end as ft_rationale, case when hit then 'low' else ft_confidence end as ft_confidence, case when hit then 'missing_pdf' end as ft_evidence_status, case when hit then 'true' end as ft_manual_review_required from h",
         "content_routes": f"with {_WORK} select pos, case when pdf_file is not null and {_B('text')} is not null then 'file' when own is not null then 'abstract' else 'title' end as origin, md5(coalesce(case when pdf_file is not null then {_B('text')} end, own, title)) as digest from worked",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.functions.udfs import file_slug, token_set, token_sort
-from quillmesh.operators import keys, linkage, matching, profiles, reports, screening, workflow
+from quillmesh.operators import expansion, keys, linkage, matching, profiles, reports, screening, workflow
 from quillmesh.plans import bind
 from quillmesh.sources import files
 
@@ -282,3 +282,56 @@ def test_section_scans(spark):
     titles_of = {"A fine study of logs\nin two lines\nAbstract\nno": "A fine study of logs in two lines", "ab\nA fine study\nSolo\nnext line": "A fine study", "me@x.org\nA fine study": "", "Solo!\nmore words": "Solo! more words"}
     for text, want in titles_of.items():
         assert spark.createDataFrame([(text,)], "t string").select(profiles.title_guess(F.col("t")).alias("x")).collect()[0].x == want, text
+
+
+def test_expansion_keeps_the_first_step(spark):
+    edges = [("a", "b"), ("b", "c"), ("d", "a"), ("d", "a"), ("c", "a"), ("b", "e"), (None, "a"), ("a", None), ("f", "e"), ("g", "f")] + [(f"h{i}", "b") for i in range(50)]
+    table = spark.createDataFrame(edges, "citing string, cited string")
+    works = spark.createDataFrame([("b", "Title b"), ("e", "Title e")], "id string, title string")
+    seeds = spark.createDataFrame([("a",), ("a",), (None,)], "id string")
+    got = {r.id: (r.depth, r.parent, r.way, r.title) for r in expansion.expand(seeds, table, works, 3).collect()}
+    want = {"b": (1, "a", "backward", "Title b"), "c": (1, "a", "forward", None), "d": (1, "a", "forward", None), "e": (2, "b", "backward", "Title e"), "f": (3, "e", "forward", None)} | {f"h{i}": (2, "b", "forward", None) for i in range(50)}
+    assert got == want
+    only = expansion.expand(seeds, table, works, 1, ("backward",)).collect()
+    assert [(r.id, r.n_parents) for r in only] == [("b", 1)]
+    assert expansion.expand(seeds.limit(0), table, works, 2).collect() == []
+
+
+def test_new_records_against_an_index_of_all_seen(spark, tmp_path):
+    random.seed(12)
+    made = [(i, f"10.1/{i // 2}" if i % 3 == 0 else None, t, y or None) for i, t, y in titles(120, 12)]
+    batches = [made[:50], made[50:90], made[90:]]
+    schema = "pos long, doi string, title string, year int, abstract string, authors array<string>, keywords array<string>, venue string, pages string"
+    index, seen, reads = expansion.SeenIndex(spark, str(tmp_path)), [], []
+    read = index._table
+    index._table = lambda name, kind: (reads.append(name), read(name, kind))[1]
+    block = lambda t, y: (y or 0, norm(t).split()[0]) if norm(t) else None
+    alike = lambda a, b: norm(a[2]) and norm(b[2]) and block(a[2], a[3]) == block(b[2], b[3]) and token_sort(norm(a[2]), norm(b[2])) >= 92
+    for rows in batches:
+        table = spark.createDataFrame([(*r, "a" * (60 * (r[0] % 2)), [], [], None, None) for r in rows], schema)
+        found = index.new(table)
+        got = sorted(r.pos for r in found.collect())
+        title = lambda r: (r[2] or "").strip().lower() or None
+        fresh = [r for r in rows if not (r[1] and r[1] in {s[1] for s in seen}) and not (title(r) and title(r) in {title(s) for s in seen})]
+        one, dois, names = [], set(), set()
+        for r in fresh:
+            if r[1] not in dois:
+                one.append(r)
+            dois.add(r[1] or object())
+        two = []
+        for r in one:
+            if title(r) not in names:
+                two.append(r)
+            names.add(title(r) or object())
+        left = [r for r in two if not any(alike(r, s) for s in seen)]
+        rich = lambda r: 10 * bool(r[1]) + 5 * (r[0] % 2) + bool(r[3])
+        gone = set()
+        for i, a in enumerate(left):
+            for b in left[i + 1 :]:
+                if a[0] not in gone and b[0] not in gone and alike(a, b):
+                    gone.add(a[0] if rich(b) > rich(a) else b[0])
+        want = [r for r in left if r[0] not in gone]
+        assert got == sorted(r[0] for r in want)
+        index.add(found)
+        seen += want
+    assert set(reads) == {"keys", "pieces"} and index._batches() == 3
