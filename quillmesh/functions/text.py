@@ -99,6 +99,16 @@ def year_of(c: Column) -> Column:
     return F.left(plain, F.lit(4)).try_cast("int")
 
 
+# Where an item says when it came out, the first that does wins.
+DATE_KEYS = ("published-print", "published-online", "published", "issued")
+
+
+def year_by_keys(item: Column, keys: tuple[str, ...] = DATE_KEYS) -> Column:
+    """Of an item as JSON the year under the first of some keys that has date-parts; null if that is no whole number."""
+    parts = [F.get_json_object(item, f"$['{k}']['date-parts'][0]") for k in keys]
+    return F.trim(F.split_part(F.btrim(F.coalesce(*(F.nullif(p, F.lit("[]")) for p in parts)), F.lit('[]" ')), F.lit(","), F.lit(1)), F.lit('" ')).try_cast("int")
+
+
 def pages(first: Column, last: Column) -> Column:
     return blank_to_null(F.concat_ws("-", blank_to_null(first), blank_to_null(last)))
 

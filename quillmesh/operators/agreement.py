@@ -35,6 +35,16 @@ def cohen_kappa(df: DataFrame, a: str = "primary", b: str = "verifier", *by: str
     return out.select(*by, "n", "po", "pe", "kappa", agreement_label(F.col("kappa")).alias("label"))
 
 
+def disagreement_list(*sets: tuple[str, DataFrame]) -> DataFrame:
+    """stage, id, title, primary, verifier, binary: what raters differ in by include or not, of several tables, each with its stage.
+
+    Each table: id, title, primary, verifier. Null decisions count as not included; titles are cut at 200.
+    """
+    two = lambda c: F.when(F.lower(F.coalesce(c, F.lit(""))) == "include", "include").otherwise("not_include")
+    one = [df.withColumns({"_p": two("primary"), "_v": two("verifier")}).filter("_p <> _v").select(F.lit(stage).alias("stage"), "id", F.left(F.coalesce("title", F.lit("")), F.lit(200)).alias("title"), "primary", "verifier", F.concat("_p", F.lit(" vs "), "_v").alias("binary")) for stage, df in sets]
+    return reduce(lambda a, b: a.unionByName(b), one)
+
+
 def quality_total(items: list[str]) -> Column:
     """Sum of items that may be null; null if all are."""
     return F.when(F.coalesce(*items).isNotNull(), sum(F.coalesce(i, F.lit(0)) for i in items))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_word, last_name, norm_title
@@ -49,6 +49,27 @@ def append_log(rows: DataFrame, path: str, **extras: str) -> None:
     stamped.withColumns({k: F.lit(v) for k, v in extras.items()}).write.mode("append").json(path)
 
 
+#: A record of a batch of work: what ran, how it ended, for how many rows, and anything else by name.
+BATCH = "batch_id string, stage string, status string, n_rows long, logged_at timestamp, extras map<string,string>"
+
+
+def log_batches(batches: DataFrame, path: str) -> None:
+    """Append batch records of a declared shape; columns that BATCH does not name go into extras as text. ``logged_at`` is now where it is missing."""
+    names = [c.strip().split(" ")[0] for c in BATCH.rpartition(", extras")[0].split(",")]
+    kinds = dict(c.strip().split(" ") for c in BATCH.rpartition(", extras")[0].split(","))
+    more = [x for c in batches.columns if c not in names for x in (F.lit(c), F.col(c).cast("string"))]
+    have = {c: F.col(c).cast(kinds[c]) if c in batches.columns else F.lit(None).cast(kinds[c]) for c in names}
+    have["logged_at"] = F.coalesce(have["logged_at"], F.current_timestamp())
+    extras = F.create_map(*more) if more else F.lit(None).cast("map<string,string>")
+    batches.select(*(c.alias(n) for n, c in have.items()), extras.cast("map<string,string>").alias("extras")).write.mode("append").parquet(path)
+
+
+def review_order() -> list[Column]:
+    """The order of the pending sheet: group rank, then priority rank, both last where they are no whole number, then title."""
+    number = lambda c: F.when(F.col(c).cast("string").rlike("^[0-9]+$"), F.col(c).try_cast("long"))
+    return [F.asc_nulls_last(number("group_rank")), F.asc_nulls_last(number("priority_rank")), F.asc(F.coalesce("title", F.lit("")))]
+
+
 def routed(results: DataFrame) -> DataFrame:
     """Adds route (good, review or error) and review_reason, from parsed and warnings (an array)."""
     warned = F.size(F.coalesce("warnings", F.array().cast("array<string>"))) > 0

@@ -114,3 +114,9 @@ def vocabulary_warnings(fields: dict[str, list[str]]) -> Column:
     """What is wrong with fields that take values of a vocabulary: missing or not in it."""
     found = [F.when(F.col(f).isNull(), F.lit(f"missing {f}")).when(~F.col(f).isin(*allowed), F.concat(F.lit(f"invalid {f}: "), F.col(f))) for f, allowed in fields.items()]
     return F.array_compact(F.array(*found))
+
+
+def valid_decisions(rows: DataFrame, column: str = "decision", domain: tuple[str, ...] = ("include", "exclude", "maybe")) -> DataFrame:
+    """Rows whose decision, stripped and in small letters, is one of a domain; it is written back in that form."""
+    said = F.lower(F.trim(column))
+    return rows.filter(said.isin(*domain)).withColumn(column, said)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, norm_doi
@@ -227,6 +227,12 @@ def step_checkpoints(papers: DataFrame, steps: list[tuple], folder: str) -> Data
     return out
 
 
-def latest_of(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    """A manifest looked up by an id or a file name: the last row of each, by aggregation."""
-    return rows.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_at = 1").drop("_at")
+def latest_of(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """A manifest looked up by an id or a file name: of each key that is not blank the last row by the columns of ``order``.
+
+    An aggregate and no window, so a hot key is combined before it is shuffled.
+    """
+    known = rows.filter(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) != "")
+    rest = [c for c in rows.columns if c != key]
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
+    return known.groupBy(key).agg(last).select(key, "_last.*").select(*rows.columns)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null, pages, strip, year_of
 
@@ -62,13 +66,54 @@ def read_ris(spark: SparkSession, path: str, source_db: str, query_id: str = "",
     return as_papers(out.withColumn("year", F.expr("try_cast(substring(year, 1, 4) as int)")), source_db, query_id, label)
 
 
+_NAME = re.compile(r"\s*,?\s*([A-Za-z][\w-]*)\s*=\s*")
+_BARE = re.compile(r"[^\s,{}\"#]+")
+
+
+def bibtex_fields(entry: str) -> dict[str, str]:
+    """Fields of one entry: values in braces of any depth, in quotes (braces inside keep their quotes), or bare; ``#`` joins parts.
+
+    Braces are dropped, white space is one space, names are small; the last of repeated names wins. An entry that is cut
+    short gives what is whole.
+    """
+    found, at = {}, entry.find(",")
+    while at >= 0 and (name := _NAME.match(entry, at)):
+        at, parts = name.end(), []
+        while at < len(entry):
+            opened = entry[at]
+            if opened in '{"':
+                depth, end = int(opened == "{"), at + 1
+                while end < len(entry) and not (entry[end] == '"' and opened == '"' and not depth):
+                    depth += (entry[end] == "{") - (entry[end] == "}")
+                    if opened == "{" and not depth:
+                        break
+                    end += 1
+                if end == len(entry):
+                    return found
+                parts.append(entry[at + 1 : end])
+                at = end + 1
+            elif bare := _BARE.match(entry, at):
+                parts.append(bare[0])
+                at = bare.end()
+            else:
+                break
+            joined = re.compile(r"\s*#\s*").match(entry, at)
+            if not joined:
+                break
+            at = joined.end()
+        found[name[1].lower()] = " ".join("".join(parts).replace("{", "").replace("}", "").split())
+    return found
+
+
+@F.pandas_udf(T.StringType())
+def _bibtex_json(entries: pd.Series) -> pd.Series:
+    return entries.map(lambda x: json.dumps(bibtex_fields(x)), na_action="ignore")
+
+
 def read_bibtex(spark: SparkSession, path: str, source_db: str, query_id: str = "", label: str = "") -> DataFrame:
-    """Entries start with @ at the start of a line; values stand in braces (one level inside) or quotes."""
+    """Entries start with @ at the start of a line, so a large file is read by several tasks; values as ``bibtex_fields`` reads them."""
     raw = spark.read.option("lineSep", "\n@").text(path).filter(F.col("value").rlike(r"^@?\w+\s*\{"))
-    pattern = r"(?s)(\w+)\s*=\s*(?:\{((?:[^{}]|\{[^{}]*\})*)\}|\"([^\"]*)\"|(\d+))"
-    names = F.regexp_extract_all("value", F.lit(pattern), F.lit(1))
-    values = F.transform(F.arrays_zip(*(F.regexp_extract_all("value", F.lit(pattern), F.lit(i)).alias(f"v{i}") for i in (2, 3, 4))), lambda z: F.concat(z["v2"], z["v3"], z["v4"]))
-    entry = raw.withColumn("_f", F.map_from_entries(F.array_distinct(F.transform(F.arrays_zip(F.transform(names, F.lower).alias("k"), values.alias("v")), lambda z: F.struct(z["k"], strip(F.regexp_replace(F.regexp_replace(z["v"], "[{}]", ""), r"\s+", " ")))))))
+    entry = raw.withColumn("_f", F.from_json(_bibtex_json("value"), "map<string,string>"))
     get = lambda *names: F.coalesce(*(blank_to_null(F.col("_f")[n]) for n in names))
     kind = F.lower(F.regexp_extract("value", r"^@?(\w+)", 1))
     out = entry.select(
@@ -131,6 +176,13 @@ def write_csv(papers: DataFrame, path: str, columns: list[str], bom: bool = Fals
     out.write.mode("overwrite").csv(path, header=True, quoteAll=not bom, escape='"')
 
 
+def write_json_arrays(papers: DataFrame, path: str, bucket: Column) -> None:
+    """A corpus as JSON arrays, a file for each value of ``bucket``, which must hold few enough papers for one text."""
+    one = F.to_json(F.struct(*papers.columns), {"ignoreNullFields": "false"})
+    arrays = papers.select(bucket.alias("_b"), one.alias("_j")).groupBy("_b").agg(F.concat(F.lit("["), F.array_join(F.collect_list("_j"), ",\n"), F.lit("]")).alias("value"))
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def write_json(papers: DataFrame, path: str) -> None:
     """A corpus as JSON lines, one object for each paper, nulls included; ``read_json_lines`` takes it back."""
     papers.write.mode("overwrite").option("ignoreNullFields", False).json(path)

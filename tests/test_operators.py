@@ -228,3 +228,24 @@ def test_shared_folder_of_a_cluster():
     assert storage.cluster_folder("hdfs://nn/warehouse/") == "hdfs://nn/warehouse/_checkpoints"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.cluster_folder("file:/home/x/spark-warehouse")
+
+
+def test_bibtex_values_of_any_depth():
+    entry = """article{key1,
+      title = {Of {A {very {deep}}} one, with = and "quotes"}, AUTHOR="A {"}b{"} C and D", year = 2020 , month = jan # "~" # {x},
+      note = {}, title = {Last {wins}}, cut = {never ends"""
+    assert files.bibtex_fields(entry) == {"title": "Last wins", "author": 'A "b" C and D', "year": "2020", "month": "jan~x", "note": ""}
+    assert files.bibtex_fields("comment{no fields}") == {} and files.bibtex_fields("book{k, a = 1 b = 2}") == {"a": "1", "b": "2"}
+    assert files.bibtex_fields("") == {}
+
+
+def test_a_large_bibtex_file_is_read_by_several_tasks(spark, tmp_path):
+    (tmp_path / "a.bib").write_text("".join(f"@article{{k{i},\n title = {{T {{{{{i}}}}} {'x' * 200}}},\n year = {1990 + i % 30}\n}}\n" for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        read = files.read_bibtex(spark, f"{tmp_path}/a.bib", "db")
+        assert read.rdd.getNumPartitions() > 4
+        assert sorted(int(r.title.split()[1]) for r in read.collect()) == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
