@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null, pages, strip, year_of
+from .json_arrays import read_array
 
 PAPER = (
     "internal_id string, source_db string, source_query_id string, source_query_label string, doi string, title string, authors array<string>, year int, abstract string, venue string, "
@@ -153,7 +154,12 @@ def read_tagged(spark: SparkSession, path: str, query_id: str = "", label: str =
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A corpus as a JSON array; unknown keys are dropped."""
+    """A corpus as a JSON array; unknown keys are dropped. Files of more than one block are read by several tasks each."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if any(x.getLen() > most for x in files.globStatus(place) or []) or any(x.getLen() > most for g in files.globStatus(place) or [] if g.isDirectory() for x in files.listStatus(g.getPath())):
+        return read_array(spark, path, PAPER)
     return spark.read.schema(PAPER).option("multiLine", True).json(path)
 
 

@@ -249,3 +249,28 @@ def test_a_large_bibtex_file_is_read_by_several_tasks(spark, tmp_path):
         assert sorted(int(r.title.split()[1]) for r in read.collect()) == list(range(3000))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_json_arrays_are_read_by_several_tasks(spark, tmp_path):
+    import json
+
+    rng = random.Random(6)
+    odd = ['a "quoted} {text', "back\\\\slash", "{[}]", "ends with \\", "ünï 日本", "", "line\nbreak }, {", "x" * 3000]
+    rows = [{"title": " ".join(rng.choice(odd) for _ in range(rng.randrange(5))), "authors": ["{", "}"] if i % 3 else [], "year": i, "unknown": {"deep": {"er": [{}, {"a": "}"}]}}} for i in range(400)]
+    rows.insert(7, {"title": "y}{" * 9000, "year": -1})  # longer than blocks
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.json").write_text(json.dumps(rows), encoding="utf-8")
+    (tmp_path / "one" / "b.json").write_text(" [\n" + ",\n".join(json.dumps(r, indent=1, ensure_ascii=False) for r in rows[:50]) + "\n]\n", encoding="utf-8")
+    (tmp_path / "one" / "c.json").write_text("[]")
+    key = lambda df: sorted((r.year, r.title, r.authors) for r in df.select("year", "title", F.coalesce("authors", F.array().cast("array<string>")).alias("authors")).collect())
+    want = key(spark.read.schema(files.PAPER).option("multiLine", True).json(f"{tmp_path}/one"))
+    assert len(want) == 451
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4k", "10k", "100k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert key(files.read_records(spark, f"{tmp_path}/one", "json")) == want
+            assert spark.read.option("lineSep", "}").text(f"{tmp_path}/one/a.json").rdd.getNumPartitions() > 2
+        assert key(files.read_json(spark, f"{tmp_path}/one/c.json")) == []
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
