@@ -145,11 +145,12 @@ def _tests(held_by: dict[int, int], share: float) -> int:
     return max(1, left)
 
 
-def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = 8000, steps: int = 400) -> BagModel:
+def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = 8000, steps: int = 400, most_features: int = 100_000) -> BagModel:
     """Fit on labelled rows that crc32 mod 5 does not hold out.
 
     Features: all that are far more often in toxic than in clean documents (odds of e^2.5), and so
-    significantly that not one is expected to be chosen by chance; counted over all labelled rows.
+    significantly that not one is expected to be chosen by chance; counted over all labelled rows. The model
+    goes to the driver and to every worker, so it has ``most_features`` at most, those with the most evidence.
     Weights: from about ``docs_per_label`` documents of each label, by hashed doc_id, all if there are
     fewer; a feature outside of that sample keeps its odds. Repeated labels of a doc_id: the highest counts. Without toxic or
     without clean examples every score is 0.
@@ -176,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_label: int = 8000, steps:
     # exp(-evidence) bounds the chance of so many toxic documents among those that hold the feature
     part = lambda n, p: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (F.col("held") * p))).otherwise(0.0)
     evidence = part("toxic", share) + part("clean", 1 - share)
-    chosen = counts.withColumn("odds", odds).filter("odds >= 2.5").filter(evidence >= float(np.log(_tests(held_by, share)))).select("feature", "odds").orderBy("feature").collect()
+    chosen = counts.withColumn("odds", odds).filter("odds >= 2.5").withColumn("evidence", evidence).filter(F.col("evidence") >= float(np.log(_tests(held_by, share)))).orderBy(F.desc("evidence"), "feature").limit(most_features).select("feature", "odds").collect()
+    chosen.sort(key=lambda r: r.feature)
     names = [r.feature for r in chosen]
     if not names:
         return BagModel({}, -40.0)

@@ -1,5 +1,6 @@
 """Language and toxicity: held-out accuracy, odd rows, empty tables."""
 
+import random
 import zlib
 
 from quillmesh.llm import langid, toxicity
@@ -157,3 +158,40 @@ def test_sample_of_labels_is_bounded_and_spread(spark):
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels, docs_per_label=300)
     assert model.score("You idiot!")[0] > 0.5 > model.score("A fine day.")[0]
+
+
+def test_choice_of_features_equals_brute_force(spark, docs):
+    import math
+    import re
+    import zlib
+
+    toxic_words = ["vilething", "nastyword"]
+    rng = random.Random(9)
+    clean = sorted({w for r in docs.limit(40).collect() for w in re.findall(r"[^\W\d_]+", (r.text or "").lower())})[:300]
+    rows, marks = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        words = [rng.choice(clean) for _ in range(40)] + ([rng.choice(toxic_words)] if bad and i % 3 else [])
+        rows.append((i, " ".join(words).capitalize() + "."))
+        marks.append((i, int(bad)))
+    table, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    known = [(set(re.findall(r"[^\W\d_]+", t.lower())), y) for (i, t), (_, y) in zip(rows, marks) if zlib.crc32(str(i).encode()) % 5]
+    held = {}
+    for words, y in known:
+        for f in {f for w in words for f in toxicity.features(w)}:
+            held.setdefault(f, [0, 0])[y] += 1
+    n = [sum(1 - y for _, y in known), sum(y for _, y in known)]
+    share, held = n[1] / sum(n), {f: c for f, c in held.items() if sum(c) >= 2}
+    by_size = {}
+    for c in held.values():
+        by_size[sum(c)] = by_size.get(sum(c), 0) + 1
+    least, evidence = math.log(toxicity._tests(by_size, share)), {}
+    for f, (c, t) in held.items():
+        odds = math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
+        e = sum(x * math.log(x / ((c + t) * p)) for x, p in ((t, share), (c, 1 - share)) if x)
+        if odds >= 2.5 and e >= least:
+            evidence[f] = e
+    model = toxicity.train(table, labels, steps=5)
+    assert set(model.weights) == set(evidence) and {"vilething", "nastyword"} <= set(evidence)
+    best = sorted(evidence, key=lambda f: (-round(evidence[f], 9), f))[:3]
+    assert set(toxicity.train(table, labels, steps=5, most_features=3).weights) == set(best)

@@ -197,3 +197,74 @@ def test_long_words_and_runs_just_below_the_limit_take_their_length(docs):
     assert np.frombuffer(words.encode(many.encode()), words.type).tolist() == ids
     assert np.frombuffer(model.encode(many.encode())[0], "<u4").tolist() == library_ids
     assert all(len(w) <= 48 for w in words.known) and all(len(w) <= 48 for w in model.words) and len(model.fragments) <= 50
+
+
+def naive_weights(words, statistics):
+    """BM25 by dictionaries."""
+    counts, docs, total = statistics
+    out = []
+    for w in words:
+        tf = defaultdict(int)
+        for s in w.tolist():
+            tf[s] += 1
+        out.append({s: np.log1p(max(0.0, docs - max(1, counts[s]) + 0.5) / (max(1, counts[s]) + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) * docs / total)) for s, n in tf.items()})
+    return out
+
+
+def naive_order(sizes, neighbours, window):
+    """The greedy filling, written out: documents in the order in which they are packed."""
+    order, used, room = [], set(), window
+
+    def put(i):
+        nonlocal room
+        used.add(i)
+        order.append(i)
+        over, room = sizes[i] > room, window - (window - room + sizes[i]) % window
+        return over
+
+    for first in range(len(sizes)):
+        seed = None if first in used else first
+        if seed is not None:
+            put(seed)
+        while seed is not None and room < window:
+            here, seed = seed, None
+            for near in neighbours(here):
+                if near not in used:
+                    over = put(near)
+                    if room == window:
+                        break
+                    if over:
+                        seed = near
+                        break
+    return order
+
+
+def test_neighbours_and_filling_equal_a_naive_packer():
+    import random
+
+    rng = random.Random(11)
+    vocabulary = [f"word{i}" for i in range(120)]
+    texts_ = [" ".join(rng.choice(vocabulary[topic * 20 : topic * 20 + 45]) for _ in range(rng.randrange(3, 60))).encode() for topic in [rng.randrange(4) for _ in range(70)]]
+    words = list(packing.term_slots(texts_))
+    counts, seen = np.zeros(packing._SLOTS, np.int64), np.zeros(packing._SLOTS, np.int64)
+    for w in words:
+        counts[packing.distinct(w, seen)] += 1
+    statistics = (counts, len(words), sum(map(len, words)))
+    weights, index = naive_weights(words, statistics), packing.Shard(words, statistics)
+    asked = [set(x.tolist()) for x in index.terms]
+    for mine, w in zip(asked, weights):
+        assert len(mine) == min(12, len(w)) and all(w[a] >= w[b] - 1e-12 for a in mine for b in set(w) - mine)
+
+    def neighbours(seed):
+        scores = {i: sum(w.get(s, 0.0) for s in asked[seed]) for i, w in enumerate(weights) if i != seed}
+        return sorted((i for i, x in scores.items() if x), key=lambda i: (-round(scores[i], 10), i))
+
+    for seed in range(70):
+        got, want = index.neighbours(seed), neighbours(seed)
+        scores = {i: round(sum(weights[i].get(s, 0.0) for s in asked[seed]), 8) for i in want}
+        assert set(got) == set(want) and [scores[i] for i in got] == [scores[i] for i in want]
+    ids = [(i, np.arange(len(w) * 2 + 1, dtype=np.uint16)) for i, w in enumerate(words)]
+    packer = packing.Packer(0, 128)
+    packing._fill(packer, ids, words, statistics)
+    packer.finish()
+    assert [p[0] for p in packer.pieces if p[1] == 0] == naive_order([len(x) for _, x in ids], index.neighbours, 128)
