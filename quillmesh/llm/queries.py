@@ -156,9 +156,7 @@ r as (select *, case
     when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
     when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
     when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule,
-  case when regexp_matches(host || path, '(^|[./-])cheap-pills([./-]|$)') then 'cheap-pills'
-    when regexp_matches(host || path, '(^|[./-])casino[0-9]*([./-]|$)') then 'casino'
-    when regexp_matches(host || path, '/(login|signin)([./?-]|$)') then 'login' end as pattern
+  case PATTERNS end as pattern
   from p)
 select page_id, host, path, rule,
   case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when pattern is not null then 'block' else 'allow' end as verdict,
@@ -167,6 +165,8 @@ from r
 """
 
 
+# the longest name that fits, then the first
+_OP9 = _OP9.replace("PATTERNS", " ".join(f"when regexp_matches(host || path, '{p[1]}') then '{p[0]}'" for p in sorted(urlfilter.PATTERNS, key=lambda p: (-len(p[0]), p[0]))))
 
 
 def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:

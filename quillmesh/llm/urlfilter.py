@@ -20,12 +20,25 @@ _TOKEN = re.compile(_TOKENS)
 #: Rule tables up to this many rows are broadcast; larger ones are joined by shuffle.
 _FEW_RULES = 10_000
 
-#: Example patterns for URLs that no host rule covers: (name, expression over host and path, verdict, literals).
-PATTERNS = (
-    ("cheap-pills", r"(^|[./-])cheap-pills([./-]|$)", "block", "cheap-pills"),
-    ("casino", r"(^|[./-])casino[0-9]*([./-]|$)", "block", "casino"),
-    ("login", r"/(login|signin)([./?-]|$)", "block", "login", "signin"),
-)
+#: Words that block a host or a path where they stand alone, with digits after them or not, and parts of paths that lead to no text.
+BLOCKED_WORDS = (
+    "casino", "poker", "roulette", "jackpot", "slots", "betting", "free-bets", "sportsbook", "cheap-pills", "pharmacy", "viagra", "weight-loss", "porn", "xxx", "escort", "camgirls", "hookup", "warez", "torrents", "keygen", "cracked-software", "serial-keys", "payday-loans",
+    "get-rich-quick", "fake-watches", "link-farm", "buy-followers", "clickbank", "adserver", "doubleclick", "popunder", "tracking-pixel", "malware",
+)
+BLOCKED_PATHS = ("logout", "register", "cart", "checkout", "wishlist", "wp-admin", "wp-login", "cgi-bin", "unsubscribe", "password-reset", "captcha", "search-results", "print-version", "share-by-mail")
+
+
+def word_pattern(word: str) -> tuple[str, str, str, str]:
+    """(name, expression over host and path, verdict, literal)."""
+    return word, rf"(^|[./-]){word}[0-9]*([./-]|$)", "block", word
+
+
+def path_pattern(part: str) -> tuple[str, str, str, str]:
+    return part, rf"/{part}([./?-]|$)", "block", part
+
+
+#: Patterns for URLs that no host rule covers: (name, expression over host and path, verdict, literals).
+PATTERNS = (*map(word_pattern, BLOCKED_WORDS), ("login", r"/(login|signin)([./?-]|$)", "block", "login", "signin"), *map(path_pattern, BLOCKED_PATHS))
 
 
 def host_rule(host: str, path: str, verdict: str) -> dict:
