@@ -389,7 +389,9 @@ def citation_pages(spark, sf):
     e = bind.edges(spark, sf)
     paper = F.struct(F.col("cited").cast("string").alias("title"), F.struct(F.col("citing").cast("string").alias("DOI")).alias("externalIds"))
     hit = F.when(F.col("direction") == "forward", F.struct(paper.alias("citingPaper"), F.lit(None).cast(_CITED).alias("citedPaper"))).otherwise(F.struct(F.lit(None).cast(_CITED).alias("citingPaper"), paper.alias("citedPaper")))
-    pages = e.groupBy(F.col("citing").alias("seed"), "direction").agg(F.to_json(F.struct(F.collect_list(hit).alias("data"))).alias("payload"))
+    # a seed's hits come in pages, so a hub has many
+    page = F.pmod(F.xxhash64("cited"), F.lit(16)).alias("page")
+    pages = e.groupBy(F.col("citing").alias("seed"), "direction", page).agg(F.to_json(F.struct(F.collect_list(hit).alias("data"))).alias("payload"))
     return payloads.citation_rows(pages).select("seed", "direction", "title", "doi")
 
 
