@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .characters import html_unescape
+
 # Fixed values.
 DOI_IN_TEXT = r"(?i)\b10\.\d{4,9}/[-._;()/:a-z0-9]+\b"
 DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "https://dx.doi.org/", "http://dx.doi.org/", "doi:")
 SPACE = " \t\n\r\f\x0b"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
 def strip(c: Column) -> Column:
@@ -51,7 +52,7 @@ def norm_title_ws(c: Column, n: int = 120) -> Column:
 
 
 def norm_title_html(c: Column) -> Column:
-    return norm_title(unescape(c))
+    return norm_title(html_unescape(c))
 
 
 def slugify(c: Column) -> Column:
@@ -68,14 +69,9 @@ def first_word(c: Column) -> Column:
     return F.split_part(c, F.lit(" "), F.lit(1))
 
 
-def unescape(c: Column) -> Column:
-    """The common entities; ``functions.udfs.html_unescape`` has the full table."""
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
-
-
 def clean_markup(c: Column) -> Column:
     """Entities to text, tags to spaces, runs of white space to one space."""
-    return strip(F.regexp_replace(F.regexp_replace(unescape(c), "<[^>]+>", " "), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(html_unescape(c), "<[^>]+>", " "), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def clean_extracted(c: Column) -> Column:
