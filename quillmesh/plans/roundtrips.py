@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.characters import html_unescape, nfkd_ascii
 from ..operators import agreement, exports, keys, screening, workflow
 from ..sources import files, payloads
 from ..storage import shared_folder, written
+from ..streaming import ingest, ledger
 from . import bind
 
 
@@ -218,6 +220,61 @@ def pending_order(spark, sf):
     return keys.global_rank(rows, "place", *exports.review_order(), F.asc("pos")).select("pos", "place")
 
 
+def _landed(spark, name, df, column):
+    """A table as files that arrive one after another, in order of a column: the schema's text and the folder."""
+    place = _place(spark, name)
+    ranked = written(keys.global_rank(df, "_rank", F.asc(column)), "landing")
+    part = F.floor((F.col("_rank") - 1) * 3 / ranked.count()).cast("int")
+    for i in range(3):  # files are taken up by age
+        ranked.filter(part == i).drop("_rank").repartition(1, column).write.mode("append").parquet(place)
+    return place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def stream_ledger(spark, sf):
+    """Decisions arriving in files, taken up by the ledger; its current state."""
+    place, schema = _landed(spark, "decisions", bind.decisions(spark, sf), "event_id")
+    out = _place(spark, "ledger")
+    ledger.follow_decisions(spark, place, schema, "id", ["ts", "event_id"], out, _place(spark, "ledger-check"), 16).awaitTermination()
+    return ledger.Ledger(spark, out, "id", ["ts", "event_id"], 16).read(schema).select("id", "decision", "event_id")
+
+
+def stream_ingest(spark, sf):
+    """Papers arriving in files; those that are new by DOI and by title."""
+    place, schema = _landed(spark, "arrivals", bind.papers(spark, sf).select("pos", "doi", "title"), "pos")
+    name, out = "spark.sql.streaming.stateStore.providerClass", _place(spark, "ingested")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(place)
+        kept = ingest.distinct_arrivals(arriving, "pos").select("pos")
+        kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", _place(spark, "ingest-check")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema("pos long").parquet(out)
+
+
+def found_dois(spark, sf):
+    """DOIs found in running text."""
+    p = bind.papers(spark, sf)
+    said = F.concat_ws(" ", F.lit("as in"), F.coalesce("doi", F.lit("no doi 10.12/x")), F.lit(", and others"))
+    return p.select("pos", T.find_doi(said).alias("doi"))
+
+
+def page_ranges(spark, sf):
+    k = F.col("doc_id")
+    first, last = F.when(k % 3 != 0, F.concat(F.lit(" "), k)), F.when(k % 4 != 0, (k + 7).cast("string"))
+    return bind.table(spark, sf, "documents").select("doc_id", T.pages(first, last).alias("pages"))
+
+
+def folded_titles(spark, sf):
+    return bind.papers(spark, sf).select("pos", nfkd_ascii(F.col("title")).alias("plain"))
+
+
+def unescaped_pages(spark, sf):
+    text = html_unescape(F.col("html"))
+    return bind.table(spark, sf, "pages").select("page_id", F.length(text).alias("n"), F.md5(text).alias("digest"))
+
+
 def queries():
     own = [v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"]
     return {f.__name__: f for f in own}
