@@ -437,9 +437,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 1
     join.lists = scratch.cut(listed.join(shared.hint("merge"), "shingle"), "lists")
 
     join.weights = scratch.cut(join.lists.groupBy("gid").agg((F.sum("size") / F.max("n")).alias("weight")), "weights")
-    # rows that repeat a doc_id with other texts hang together
-    pooled = ids.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).filter(F.size("reps") > 1)
-    placed = join.components(rounds, scratch.cut(pooled.select("a", F.explode("reps").alias("b")).filter("a <> b"), "pooled"))
+    # rows that repeat a doc_id with other texts hang together: each set's first document with the first of all
+    pooled = ids.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_last")).filter("a <> _last").select("doc_id", "a")
+    pooled = ids.join(pooled.hint("merge"), "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    placed = join.components(rounds, scratch.cut(pooled, "pooled"))
 
     out = ids.join(placed.select("rep", "component").distinct().hint("merge"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
