@@ -74,7 +74,7 @@ def judge_urls(pages: DataFrame, rules: list[dict], default: str = "allow") -> D
     rules (``fallback_rule``); among each the longest, then the first by name. Without a fitting
     rule the verdict is ``default``. Null URLs and URLs without ``://`` have an empty host and path, and
     fit no host rule. Each row gets a result, repeated or not. Rules without a literal token are
-    tried on every URL. Other columns are ignored.
+    tried on every URL. An empty table gives no rows. Other columns are ignored.
     """
     spark = pages.sparkSession
     host, path = url_parts(F.col("url"))
