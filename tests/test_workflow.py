@@ -172,6 +172,25 @@ def test_similar_titles_and_greedy_scan_equal_brute_force(spark):
     assert {r.pos: r.duplicate_of_pos for r in linkage.fuzzy_duplicates(table).collect()} == gone
 
 
+def test_thousands_of_copies_make_no_pairs(spark, monkeypatch):
+    """A title of 6,000 records that is like no other one: its scan is a running best."""
+    rows = [(i, "One hot title of many", 2019, "10.1/x" if i % 3 == 2 else None, "a" * (60 * (i > 4000)), [], [], None, None) for i in range(6000)] + [(7000, "Quite another one here", 2019, None, None, [], [], None, None)]
+    table = spark.createDataFrame(rows, "pos long, title string, year int, doi string, abstract string, authors array<string>, keywords array<string>, venue string, pages string").repartition(8)
+    scanned = []
+    scan = linkage.greedy_scan
+    monkeypatch.setattr(linkage, "greedy_scan", lambda pairs: (scanned.append(pairs.count()), scan(pairs))[1])
+    gone = {}
+    best = (0, 0 + 1)
+    for i in range(1, 6000):
+        r = 10 * (i % 3 == 2) + 5 * (i > 4000) + 1
+        if r > best[1]:
+            gone[best[0]], best = i, (i, r)
+        else:
+            gone[i] = best[0]
+    assert {r.pos: r.duplicate_of_pos for r in linkage.fuzzy_duplicates(table).collect()} == gone
+    assert scanned == [0]
+
+
 def test_inverted_index_is_linear_and_ordered(spark):
     rows = [(1, {"b": [1, 3], "a": [0], "z": [3]}), (2, {}), (3, None), (4, {"x": [5, 2]})]
     got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, m map<string,array<int>>").select("i", T.from_inverted_index(F.col("m")).alias("t")).collect()}
