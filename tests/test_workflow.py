@@ -134,6 +134,16 @@ def test_a_word_in_every_title_meets_nothing(spark):
     assert linkage.near_classes(classes).count() < 60 * 1500
 
 
+def test_only_titles_that_letters_allow_become_pairs(spark, monkeypatch):
+    counts, plain = {}, matching.written
+    monkeypatch.setattr(matching, "written", lambda df, name: counts.__setitem__(name, (out := plain(df, name)).count()) or out)
+    letters = "bcdfghjklmnpqrstvwxz"
+    sets = spark.createDataFrame([(f"{''.join(x * 4 for x in letters[i:] + letters[:i])[:20]} internationalisation",) for i in range(20)] + [("aaaa internationalisations",), ("aaaa internationalisation",)], "_s string")
+    got = {(r.sa, r.sb) for r in matching.similar_word_sets(sets, sets, 92).collect()}
+    assert ("aaaa internationalisation", "aaaa internationalisations") in got
+    assert counts["met-titles"] < 22 * 22 / 2  # all share a word that holds half their letters
+
+
 def test_greedy_scan_of_a_long_chain(spark):
     rng = random.Random(2)
     for pairs, run in (([(i, i + 1) for i in range(10_000)], 3000), (sorted({tuple(sorted(rng.sample(range(200), 2))) for _ in range(900)}), 60)):
