@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import text as T
 from quillmesh.functions.udfs import file_slug, token_set, token_sort
 from quillmesh.operators import expansion, keys, linkage, matching, profiles, reports, screening, workflow
-from quillmesh.plans import bind
+from quillmesh.plans import bind, review
 from quillmesh.sources import files
 
 WORDS = "process mining of software event logs with markov models and simulation in agile teams".split()
@@ -144,6 +144,13 @@ def test_only_titles_that_letters_allow_become_pairs(spark, monkeypatch):
     assert counts["met-titles"] < 22 * 22 / 2  # all share a word that holds half their letters
 
 
+def test_equal_titles_need_no_similar_ones(spark, sf_dir, monkeypatch):
+    offers = review._offers(spark, sf_dir)
+    want = {(r.pos, r.provider): len(r.text) for r in matching.best_title_match(bind.papers(spark, sf_dir), offers).filter("match_type = 'title_exact'").collect()}
+    monkeypatch.setattr(matching, "similar_word_sets", None)
+    assert {(r.pos, r.provider): r.n_chars for r in review.title_exact_matches(spark, sf_dir).collect()} == want
+
+
 def test_greedy_scan_of_a_long_chain(spark):
     rng = random.Random(2)
     for pairs, run in (([(i, i + 1) for i in range(10_000)], 3000), (sorted({tuple(sorted(rng.sample(range(200), 2))) for _ in range(900)}), 60)):
