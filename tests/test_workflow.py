@@ -151,6 +151,15 @@ def test_equal_titles_need_no_similar_ones(spark, sf_dir, monkeypatch):
     assert {(r.pos, r.provider): r.n_chars for r in review.title_exact_matches(spark, sf_dir).collect()} == want
 
 
+def test_papers_settled_by_the_first_source_are_not_compared(spark, monkeypatch):
+    offers = spark.createDataFrame([("a", "Process mining of software", 2019, "from a"), ("b", "Process mining of software", 2019, "from b"), ("b", "Event logs of agile teams", 2019, "logs")], "provider string, title string, year int, text string")
+    asks = spark.createDataFrame([(1, "Process mining of SOFTWARE!", 2019, None), (2, "Event logs of agile team", 2019, None)], "pos long, title string, year int, abstract string")
+    asked, similar = [], matching.similar_word_sets
+    monkeypatch.setattr(matching, "similar_word_sets", lambda a, b, least: asked.extend(r._s for r in a.collect()) or similar(a, b, least))
+    got = {r.pos: (r.abstract, r.abstract_source, r.abstract_match_type) for r in matching.enrich_by_title(asks, offers, ["a", "b"]).collect()}
+    assert got == {1: ("from a", "a", "title_exact"), 2: ("logs", "b", "title_fuzzy")} and asked == ["agile event logs of team"]
+
+
 def test_greedy_scan_of_a_long_chain(spark):
     rng = random.Random(2)
     for pairs, run in (([(i, i + 1) for i in range(10_000)], 3000), (sorted({tuple(sorted(rng.sample(range(200), 2))) for _ in range(900)}), 60)):
