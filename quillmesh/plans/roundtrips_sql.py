@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import _DEC, _ND, _NT, _P, _R, _WS
+from .oracles import _DEC, _ND, _NT, _P, _R, _WS, _unescaped
 
 _ONE = lambda c: rf"nullif(trim(regexp_replace(regexp_replace({c}, '[{{}}]', '', 'g'), '\s+', ' ', 'g'), {_WS}), '')"
 _B = lambda c: f"nullif(trim({c}, {_WS}), '')"
@@ -35,7 +35,7 @@ select c_custkey as id, i.file, i.status, i.order_id, f.id as file_id, f.status
         "found_dois": rf"with {_P} select pos, nullif(rtrim(regexp_extract(coalesce(doi, 'no doi 10.12/x'), '10\.\d{{4,9}}/[-._;()/:a-zA-Z0-9]+'), '.,;'), '') as doi from papers",
         "page_ranges": "select doc_id, case when doc_id % 3 <> 0 and doc_id % 4 <> 0 then doc_id || '-' || (doc_id + 7) when doc_id % 3 <> 0 then doc_id::varchar when doc_id % 4 <> 0 then (doc_id + 7)::varchar end as pages from documents",
         "folded_titles": rf"with {_P} select pos, regexp_replace(strip_accents(title), '[^\x00-\x7f]', '', 'g') as plain from papers",
-        "unescaped_pages": "with c as (select page_id, replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&') as h from pages) select page_id, length(h) as n, md5(h) as digest from c",
+        "unescaped_pages": f"with {_unescaped('pages', 'page_id', 'html')} select page_id, length(h) as n, md5(h) as digest from \"references\"",
         "payload_articles": f"with {_P} select 'https://ieeexplore.ieee.org/document/' || internal_id as url, {_B('title')} as title, doi, year, case when pos % 2 = 0 then 'article' else 'conference paper' end as doc_type, venue, pages, concat_ws(';', {_WHO}, 'B, C') as authors, case when has_keyword then 'x;' || language || ';y' else 'x;y' end as keywords, md5({_B('abstract')}) as abstract from papers",
         "payload_records": f"with {_P} select 'https://l.org/' || pos as url, {_B('title')} as title, case when pos % 2 = 0 and doi is not null then 'doi:10.9/' || pos else '10.9/' || pos end as doi, year, case when pos % 2 = 0 then 'chapter' else 'article' end as doc_type, venue, null::varchar as pages, coalesce({_WHO}, '') as authors, case when has_keyword then language else '' end as keywords, md5({_B('abstract')}) as abstract from papers",
         "payload_hits": f"with {_P} select case when pos % 2 = 0 then 'https://r.org/' || pos else 'https://www.webofscience.com/wos/woscc/full-record/' || internal_id end as url, {_B('title')} as title, doi, year, case when pos % 2 = 0 then 'article' when pos % 3 = 0 then 'conference paper' else 'chapter' end as doc_type, venue, pages, coalesce({_WHO}, '') as authors, case when has_keyword then language || ';plus' else 'plus' end as keywords, md5({_B('abstract')}) as abstract from papers",

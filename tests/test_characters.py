@@ -5,8 +5,11 @@ import random
 import unicodedata
 from html.entities import html5
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quillmesh.functions import characters
 
 
@@ -35,3 +38,14 @@ def test_every_entity(spark):
     assert not wrong, [(texts[i], got[i], html.unescape(texts[i])) for i in wrong[:5]]
     plan = table.select(characters.html_unescape(F.col("x")), characters.nfkd_ascii(F.col("x")))._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan
+
+
+@pytest.mark.parametrize("name", ["unescaped_pages"])
+def test_references_equal_the_sql(spark, tmp_path, name):
+    odd = ["a &amp", "&am", "x &ampx; <b>&lt;b&gt;</b> &notit; &notin; &#65 &#x41;&#X1f600; &#0; &#128; &#55296; &#99999999999;", "&nbsp;| &#11;v&#x2003;w\x85 &amp;lt; &bogus; && &#; &#x; &#xg", "", None, "&copy2 &acE; &#x110000; &#1;'&quot;\n&\n"]
+    rows = [*enumerate(odd), (0, "a &amp again")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.digest or "") for r in entry.queries()[name](spark, str(tmp_path)).collect())
+    with duckdb.connect() as db:
+        db.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        assert got == sorted((k, digest or "") for k, _, digest in db.execute(entry.oracle_sql()[name]).fetchall())
