@@ -40,7 +40,7 @@ def test_every_entity(spark):
     assert "EvalPython" not in plan
 
 
-@pytest.mark.parametrize("name", ["unescaped_pages"])
+@pytest.mark.parametrize("name", ["unescaped_pages", "clean_markup"])
 def test_references_equal_the_sql(spark, tmp_path, name):
     odd = ["a &amp", "&am", "x &ampx; <b>&lt;b&gt;</b> &notit; &notin; &#65 &#x41;&#X1f600; &#0; &#128; &#55296; &#99999999999;", "&nbsp;| &#11;v&#x2003;w\x85 &amp;lt; &bogus; && &#; &#x; &#xg", "", None, "&copy2 &acE; &#x110000; &#1;'&quot;\n&\n"]
     rows = [*enumerate(odd), (0, "a &amp again")]
