@@ -9,6 +9,7 @@ from quillmesh.functions import text as T
 from quillmesh.functions.udfs import file_slug, token_set, token_sort
 from quillmesh.operators import expansion, keys, linkage, matching, profiles, reports, screening, workflow
 from quillmesh.plans import bind, review
+from quillmesh.plans import queries as plans
 from quillmesh.sources import files
 
 WORDS = "process mining of software event logs with markov models and simulation in agile teams".split()
@@ -225,6 +226,13 @@ def test_inverted_index_is_linear_and_ordered(spark):
     text = spark.createDataFrame([(1, long)], "i int, m map<string,array<int>>").select(T.from_inverted_index(F.col("m")).alias("t")).collect()[0].t
     assert text == " ".join(f"w{i % 2000}" for i in range(40_000))
 
+def test_a_word_index_is_made_within_its_row(spark, sf_dir):
+    rows = [(1, ["b", "a", "b", "ça"]), (2, []), (3, None), (4, ["x"])]
+    table = spark.createDataFrame(rows, "i int, w array<string>")
+    got = {r.i: r.m for r in table.select("i", T.word_index(F.col("w")).alias("m")).collect()}
+    assert got == {1: {"a": [1], "b": [0, 2], "ça": [3]}, 2: None, 3: None, 4: {"x": [0]}}
+    assert "Exchange" not in plans.inverted_index_text(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
 
 def test_small_rules(spark):
     one = lambda *cols, **values: spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)).select(*cols).collect()[0]
