@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import text as T
 from quillmesh.functions.udfs import file_slug, token_set, token_sort
 from quillmesh.operators import expansion, keys, linkage, matching, profiles, reports, screening, workflow
-from quillmesh.plans import bind, review
+from quillmesh.plans import bind, review, roundtrips
 from quillmesh.plans import queries as plans
 from quillmesh.sources import files
 
@@ -232,6 +232,7 @@ def test_a_word_index_is_made_within_its_row(spark, sf_dir):
     got = {r.i: r.m for r in table.select("i", T.word_index(F.col("w")).alias("m")).collect()}
     assert got == {1: {"a": [1], "b": [0, 2], "ça": [3]}, 2: None, 3: None, 4: {"x": [0]}}
     assert "Exchange" not in plans.inverted_index_text(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in roundtrips.payload_works(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_small_rules(spark):
