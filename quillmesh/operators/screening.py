@@ -88,14 +88,20 @@ def relevant(text: Column, *term_lists) -> Column:
     return reduce(lambda a, b: a & b, [reduce(lambda x, y: x | y, [F.contains(low, F.lit(t)) for t in terms]) for terms in term_lists])
 
 
-def first_match(text: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
-    """The label of the first rule (label, pattern) that matches."""
-    return reduce(lambda rest, r: F.when(text.rlike(r[1]), r[0]).otherwise(rest), reversed(rules), F.lit(otherwise))
+def _test(text):
+    return text.rlike if isinstance(text, Column) else text
 
 
-def all_matches(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """The labels of all rules that match, in order."""
-    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(label)) for label, p in rules)))
+def first_match(text, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
+    """The label of the first rule (label, pattern) that matches a text (or by a function from pattern to condition)."""
+    test = _test(text)
+    return reduce(lambda rest, r: F.when(test(r[1]), r[0]).otherwise(rest), reversed(rules), F.lit(otherwise))
+
+
+def all_matches(text, rules: list[tuple[str, str]]) -> Column:
+    """The labels of all rules that match a text (or by a function from pattern to condition), in order."""
+    test = _test(text)
+    return F.array_compact(F.array(*(F.when(test(p), F.lit(label)) for label, p in rules)))
 
 
 def clusters(df: DataFrame, rules: dict[str, tuple[list[str], list[str]]], column: str = "matched_ic", members: dict[str, list] | None = None, key: str = "id") -> DataFrame:

@@ -73,3 +73,11 @@ def test_routes_and_log(spark, tmp_path):
     for _ in range(2):
         exports.append_log(df.select("id"), str(tmp_path / "log"), stage="x")
     assert spark.read.json(str(tmp_path / "log")).filter("stage = 'x'").count() == 8
+
+
+def test_a_profile_looks_for_each_term_once(spark):
+    from quillmesh.operators import profiles
+
+    table = spark.createDataFrame([("a GitHub case study", "process mining")], "t string, a string")
+    plan = profiles.profile(table, "t", "a").select("method", "technique", "level", "assessment", "reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and plan.count("Contains") <= len(profiles._TERMS)
