@@ -135,6 +135,18 @@ def test_a_word_in_every_title_meets_nothing(spark):
     assert linkage.near_classes(classes).count() < 60 * 1500
 
 
+def test_known_titles_are_compared_only_where_letters_allow(monkeypatch):
+    random.seed(5)
+    made = lambda: " ".join("".join(random.choice("aeinrstdlu") for _ in range(random.randint(2, 9))) for _ in range(random.randint(1, 20)))
+    known = [made() for _ in range(150)] + ["a", ""]
+    asked = [made() for _ in range(60)] + ["".join(random.choice([c, c, c, c, "", "x"]) if random.random() < 0.08 else c for c in t) for t in known[:60]] + ["a", ""]
+    want = [[(i, token_sort(k, t)) for i, k in enumerate(known) if token_sort(k, t) >= 88] for t in asked]
+    index, times = matching.TitleIndex(known, 88.0), []
+    monkeypatch.setattr(matching, "token_sort", lambda a, b: times.append(1) or token_sort(a, b))
+    assert [index.near(t) for t in asked] == want and sum(map(len, want)) > 20
+    assert len(times) < len(asked) * len(known) / 20
+
+
 def test_only_titles_that_letters_allow_become_pairs(spark, monkeypatch):
     counts, plain = {}, matching.written
     monkeypatch.setattr(matching, "written", lambda df, name: counts.__setitem__(name, (out := plain(df, name)).count()) or out)
