@@ -25,20 +25,21 @@ def expand(seeds: DataFrame, edges: DataFrame, works: DataFrame, depth: int = 1,
     repeated edges count for nothing, unknown works have null columns. Works of many citations are
     joined as skewed keys, and each step's repeats are combined before anything is shuffled on.
     """
-    plain = edges.select("citing", "cited").filter("citing is not null and cited is not null").distinct()
+    plain = written(edges.select("citing", "cited").filter("citing is not null and cited is not null"), "steps")
     sides = {_BACKWARD: plain.select(F.col("citing").alias("parent"), F.col("cited").alias("id")), _FORWARD: plain.select(F.col("cited").alias("parent"), F.col("citing").alias("id"))}
-    steps = written(reduce(lambda a, b: a.unionByName(b), [sides[w].withColumn("rank", F.lit(i)) for i, w in enumerate(ways)]), "steps")
+    steps = reduce(lambda a, b: a.unionByName(b), [sides[w].withColumn("rank", F.lit(i)) for i, w in enumerate(ways)])
     frontier = written(seeds.select("id").filter("id is not null").distinct(), "frontier")
     visited, found = frontier, []
     for at in range(1, depth + 1):
-        met = steps.join(frontier.select(F.col("id").alias("parent")).hint("merge"), "parent")
+        # the frontier has each work once, so it is hashed and the steps needn't be sorted
+        met = steps.join(frontier.select(F.col("id").alias("parent")).hint("shuffle_hash"), "parent")
         first = met.groupBy("id").agg(F.min(F.struct("parent", "rank")).alias("first"), F.count_distinct("parent").alias("n_parents"))
         new = written(first.join(visited.hint("merge"), "id", "left_anti").select("id", F.lit(at).alias("depth"), "first.parent", "first.rank", "n_parents"), "reached")
         found.append(new)
+        if at == depth or new.isEmpty():
+            break
         frontier = new.select("id")
         visited = written(visited.unionByName(frontier), "visited")
-        if new.isEmpty():
-            break
     every = reduce(lambda a, b: a.unionByName(b), found)
     names = F.element_at(F.array(*map(F.lit, ways)), F.col("rank") + 1)
     return every.join(works.hint("merge"), "id", "left").withColumn("way", names).drop("rank")

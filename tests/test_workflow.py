@@ -363,6 +363,16 @@ def test_expansion_keeps_the_first_step(spark):
     assert expansion.expand(seeds.limit(0), table, works, 2).collect() == []
 
 
+def test_expansion_writes_edges_once_and_nothing_after_the_last_step(spark, monkeypatch):
+    names, plain = [], expansion.written
+    monkeypatch.setattr(expansion, "written", lambda df, name: names.append((name, df.columns)) or plain(df, name))
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "a")], "citing string, cited string")
+    works = spark.createDataFrame([("b", "Title b")], "id string, title string")
+    got = sorted((r.id, r.n_parents) for r in expansion.expand(spark.createDataFrame([("a",)], "id string"), edges, works, 1).collect())
+    assert got == [("b", 1), ("c", 1)]
+    assert [n for n, _ in names] == ["steps", "frontier", "reached"] and names[0][1] == ["citing", "cited"]
+
+
 def test_new_records_against_an_index_of_all_seen(spark, tmp_path):
     random.seed(12)
     made = [(i, f"10.1/{i // 2}" if i % 3 == 0 else None, t, y or None) for i, t, y in titles(120, 12)]
