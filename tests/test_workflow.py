@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
+from quillmesh.functions import udfs
 from quillmesh.functions.udfs import file_slug, token_set, token_sort
 from quillmesh.operators import expansion, keys, linkage, matching, profiles, reports, screening, workflow
 from quillmesh.plans import bind, review, roundtrips
@@ -411,3 +414,30 @@ def test_new_records_against_an_index_of_all_seen(spark, tmp_path):
         index.add(found)
         seen += want
     assert set(reads) == {"keys", "pieces"} and index._batches() == 3
+
+
+def test_title_links_say_all_pairs_without_pairs_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "_TILE", 7)
+    rows = [(i, t, 2019) for i, t, _ in titles(60, 5)] + [(1000 + i, "Copies of a hot title all alike", 2019) for i in range(300)] + [(2000, "Copies of a hot title all alikes", 2019)]
+    table = spark.createDataFrame(rows, "pos long, title string, year int")
+    links = plans.queries()["similar_titles"]  # the registered query has this form
+    monkeypatch.setattr(bind, "papers", lambda spark, sf: table)
+    found = links(spark, "").collect()
+    of = {r.b: r.a for r in found if r.kind == "member"}
+    near = {(r.a, r.b) for r in found if r.kind == "similar"}
+    known = [(i, norm(t)) for i, t, _ in rows if norm(t)]
+    pairs = {(i, j) for i, a in known for j, b in known if i < j and a.split()[0] == b.split()[0] and token_sort(a, b) >= 92}
+    assert set(of) == {i for i, _ in known} and (1000, 2000) in near and len(found) < 2 * len(rows)
+    assert {(i, j) for i in of for j in of if i < j and (of[i] == of[j] or tuple(sorted((of[i], of[j]))) in near)} == pairs
+
+
+def test_many_ratios_at_once_equal_one_by_one():
+    rng = random.Random(4)
+    words = ["the", "a", "of", "process", "mining", "x9", "tion", "in"]
+    a = [" ".join(sorted(rng.choices(words, k=rng.randrange(45))))[: rng.choice([200, 63, 64, 65, 128, 129])] for _ in range(300)]
+    b = ["".join(rng.choice(" abz9") if rng.random() < 0.03 else c for c in x if rng.random() > i % 6 * 0.08) for i, x in enumerate(a)]
+    for least in (80, 92):
+        want = [udfs.ratio(x, y) >= least for x, y in zip(a, b)]
+        assert udfs.reach(pa.array(a), pa.array(b), least).tolist() == want and 0 < sum(want) < 300
+        one = [a[0]] * 300
+        assert udfs.reach(pa.array(one), pa.array(a), least, np.zeros(300, int)).tolist() == [udfs.ratio(a[0], y) >= least for y in a]
