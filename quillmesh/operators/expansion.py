@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_word, norm_doi, norm_title, strip
-from ..functions.udfs import token_sort_ratio
 from ..storage import written
 from .keys import first_wins
-from .linkage import _edits, _pieces, fuzzy_duplicates
+from .linkage import LETTERS, fuzzy_duplicates, lettered, similar_in_blocks
 
 _BACKWARD, _FORWARD = "backward", "forward"
 
@@ -46,15 +45,15 @@ def expand(seeds: DataFrame, edges: DataFrame, works: DataFrame, depth: int = 1,
 
 
 class SeenIndex:
-    """Records that have been seen, under ``folder``: DOIs, titles, and pieces of titles by which similar ones are found.
+    """Records that have been seen, under ``folder``: DOIs, titles, and for each title of a block its letters, by which similar ones are found.
 
     Each batch that is added is a folder of its own, so a new batch is held against the index alone and
     nothing of it is rewritten. Titles are similar within a year and first word, by a token-sort
-    ratio of ``threshold``: a title is cut into more pieces than edits can spoil, its rarest are kept, and one of these
-    stands in any similar title, moved by no more places than there are edits.
+    ratio of ``threshold``: new titles meet seen ones of their block whose length and counted letters leave that possible
+    (see ``linkage.similar_in_blocks``), and only these are compared.
     """
 
-    _KEYS, _PIECES = "doi string, title string", "key long, at long, len int, t string"
+    _KEYS, _PIECES = "doi string, title string", "block string, id long, t string, len int, " + ", ".join(f"{k} long" for k in LETTERS)
 
     def __init__(self, spark: SparkSession, folder: str, threshold: int = 92):
         self.spark, self.folder, self.threshold = spark, folder.rstrip("/"), threshold
@@ -78,35 +77,19 @@ class SeenIndex:
         )
 
     def add(self, records: DataFrame) -> None:
-        """Take up records (doi, title, year). The pieces go first; a batch counts once its keys are complete."""
+        """Take up records (doi, title, year). The titles go first; a batch counts once its keys are complete."""
         at, keyed = self._batches(), written(self._keyed(records).select("_doi", "_title", "_block", "_t").distinct(), "taken-up")
-        titles = keyed.filter("_t <> ''").select("_block", F.col("_t").alias("t")).distinct().withColumn("len", F.length("t"))
-        n, length = _pieces(F.col("len"), self.threshold), F.col("len")
-        start = lambda i: F.floor(i * length / n)
-        cut = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(start(i).alias("at"), F.substring("t", start(i) + 1, (start(i + 1) - start(i)).cast("int")).alias("piece")))
-        pieces = titles.select("_block", "t", "len", F.inline(cut)).select(F.xxhash64("_block", "piece").alias("key"), "at", "len", "t", "_block")
-        common = pieces.select("key").unionByName(self._table("pieces", self._PIECES).select("key")).groupBy("key").agg(F.count("*").alias("times"))
-        rank = F.row_number().over(Window.partitionBy("_block", "t").orderBy("times", "at"))
-        kept = pieces.join(common.hint("merge"), "key").withColumn("_rank", rank).filter(F.col("_rank") <= _edits(F.col("len"), self.threshold) + 1)
-        kept.select("key", "at", "len", "t").write.mode("overwrite").parquet(f"{self.folder}/pieces/v{at}")
+        titles = keyed.filter("_t <> ''").select(F.col("_block").alias("block"), F.col("_t").alias("t")).distinct().withColumn("id", F.monotonically_increasing_id() + (at << 48))
+        lettered(titles, "t", ["block"]).write.mode("overwrite").parquet(f"{self.folder}/pieces/v{at}")
         keyed.select(F.col("_doi").alias("doi"), F.col("_title").alias("title")).distinct().write.mode("overwrite").parquet(f"{self.folder}/keys/v{at}")
 
     def _similar(self, keyed: DataFrame) -> DataFrame:
         """pos of records with a title similar to one that was seen."""
-        pieces = self._table("pieces", self._PIECES)
-        spans = [r.n for r in pieces.select(F.explode(F.array(F.floor(F.col("len") / _pieces(F.col("len"), self.threshold)), F.ceil(F.col("len") / _pieces(F.col("len"), self.threshold)))).alias("n")).distinct().collect()]  # lengths of pieces: a few
-        if not spans:
-            return keyed.select("pos").limit(0)
-        asks = keyed.filter("_t <> ''").select("_block", "_t").distinct().withColumn("_len", F.length("_t"))
-        grams = asks.select("_block", "_t", "_len", F.explode(F.array(*map(F.lit, spans))).alias("span")).filter("span > 0 and span <= _len")
-        grams = grams.select("_block", "_t", "_len", F.posexplode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("_len") - F.col("span") + 1), lambda p: F.substring("_t", p.cast("int"), F.col("span").cast("int")))).alias("_at", "piece"))
-        grams = grams.select(F.xxhash64("_block", "piece").alias("key"), "_block", "_t", "_len", "_at")
-        budget = (100 - self.threshold) * (F.col("len") + F.col("_len"))
-        fits = (F.abs(F.col("at") - F.col("_at")) <= _edits(F.col("len"), self.threshold)) & (100 * F.abs(F.col("len") - F.col("_len")) <= budget)
-        met = grams.join(pieces.hint("merge"), "key").filter(fits).select("_block", "_t", "t").distinct()
-        near = F.call_function("levenshtein", "_t", "t", F.floor((100 - self.threshold) * (F.length("t") + F.length("_t")) / 100).cast("int")) >= 0
-        met = written(met.filter(near), "near-seen")
-        found = met.withColumn("_s", token_sort_ratio("_t", "t")).filter(F.col("_s") >= self.threshold).select("_block", "_t").distinct()
+        seen = self._table("pieces", self._PIECES)
+        asks = keyed.filter("_t <> ''").select(F.col("_block").alias("block"), "_t").distinct().withColumn("id", F.monotonically_increasing_id())
+        asks = lettered(asks, "_t", ["block"])
+        near = written(similar_in_blocks(asks, seen, ["block"], self.threshold).select("x").distinct(), "near-seen")
+        found = asks.join(near.hint("merge"), F.col("id") == F.col("x"), "left_semi").select(F.col("block").alias("_block"), F.col("t").alias("_t"))
         return keyed.join(written(found, "similar-seen").hint("merge"), ["_block", "_t"]).select("pos")
 
     def new(self, records: DataFrame) -> DataFrame:

@@ -441,3 +441,9 @@ def test_many_ratios_at_once_equal_one_by_one():
         assert udfs.reach(pa.array(a), pa.array(b), least).tolist() == want and 0 < sum(want) < 300
         one = [a[0]] * 300
         assert udfs.reach(pa.array(one), pa.array(a), least, np.zeros(300, int)).tolist() == [udfs.ratio(a[0], y) >= least for y in a]
+
+
+def test_the_index_has_one_row_for_each_title(spark, tmp_path):
+    index = expansion.SeenIndex(spark, str(tmp_path))
+    index.add(spark.createDataFrame([(None, "Some long title of mining processes", 2019), (None, "Another title", 2019), (None, "another  TITLE", 2019)], "doi string, title string, year int"))
+    assert index._table("pieces", index._PIECES).count() == 2
