@@ -175,6 +175,22 @@ def test_ingest_finds_repeats_by_doi_and_by_title_over_batches(spark, tmp_path):
     assert sorted(r.pos for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 4, 5, 8, 11, 12]
 
 
+def test_ingest_for_ever_needs_no_call_for_each_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "_FirstOfKey", None)
+    spark.createDataFrame([(i, f"10.1/{i % 7}" if i % 3 else None, f"Title {i % 50}") for i in range(25_000)], "pos long, doi string, title string").coalesce(1).sortWithinPartitions(F.desc("pos")).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("pos long, doi string, title string").parquet(f"{tmp_path}/in")
+    ingest.distinct_arrivals(stream, "pos").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    dois, names, want = set(), set(), []
+    for i in range(25_000):
+        doi = f"10.1/{i % 7}" if i % 3 else None
+        if doi is None or doi not in dois:
+            dois.add(doi)
+            if i % 50 not in names:
+                names.add(i % 50)
+                want.append(i)
+    assert sorted(r.pos for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want
+
+
 def test_request_forms(spark):
     q = 'TITLE("a b")\n AND (LIMIT-TO(DOCTYPE, "ar") OR LIMIT-TO(DOCTYPE, "cp"))\n AND (LIMIT-TO(LANGUAGE, "English"))'
     rows = spark.createDataFrame([(q,), ('"All Metadata":"x" AND "All Metadata" : "y"',), (" plain ",), (None,)], "q string")
