@@ -1,5 +1,6 @@
 """Matching by similarity against brute force, and the workflow's operators on small cases."""
 
+import functools
 import random
 
 import numpy as np
@@ -488,3 +489,52 @@ def test_copies_after_the_richest_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(linkage, "greedy_scan", lambda pairs: (scanned.append(pairs.count()), scan(pairs))[1])
     assert {r.pos: r.duplicate_of_pos for r in linkage.fuzzy_duplicates(table).collect()} == gone
     assert 0 < scanned[0] < 400 * 399 / 8
+
+
+@functools.lru_cache(None)
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_titles_of_a_large_block_meet_only_if_they_are_near(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "_TILE", 50)
+    rng = random.Random(11)
+    made = lambda: " ".join(rng.choice(["the", "of", "and", "tion", "ed", "ing", "an"]) + rng.choice(["th", "re", "er", "st", ""]) for _ in range(rng.choice([3, 8, 12, 16])))
+    rows = ["w " + made() for _ in range(60)]
+    rows += ["".join(rng.choice(["", "x", c + "y"]) if c != " " and i > 1 and rng.random() < 0.09 else c for i, c in enumerate(t)) for t in rows[:45]] + rows[:10] + ["v " + t for t in rows[:3]]
+    table = spark.createDataFrame([(i, t, 2020) for i, t in enumerate(rows)], "pos long, title string, year int")
+    key = lambda t: (t.split()[0], " ".join(sorted(norm(t).split())))
+    for threshold in (92, 80):
+        want, near = {}, set()
+        for i, a in enumerate(map(key, rows)):
+            for b in map(key, rows[:i]):
+                if a[0] == b[0]:
+                    apart, budget = edits(a[1], b[1]), (100 - threshold) * (len(a[1]) + len(b[1]))
+                    near |= {tuple(sorted((a[1], b[1])))} if a[1] != b[1] and 100 * apart <= budget else set()
+                    n = want.setdefault(a[0], [0, 0, 0])
+                    n[0], n[1], n[2] = n[0] + 1, n[1] + (200 * apart <= budget), n[2] + (100 * apart > budget)
+        assert {r.word: [r.pairs, r.accepted, r.rejected] for r in linkage.title_blocks(table, threshold).collect()} == want
+        _, classes = linkage.title_classes(table)
+        met, of = linkage.near_classes(classes, threshold).collect(), {r.cls: r.t for r in classes.collect()}
+        assert {tuple(sorted((of[r.x], of[r.y]))) for r in met} == near and len(met) == len(near) > 10
+
+
+def test_edit_distances_of_many_pairs():
+    rng = random.Random(3)
+    a = ["".join(rng.choice("abc 01") for _ in range(n)) for n in (0, 1, 2, 5, 63, 64, 65, 127, 128, 129, 200) * 4]
+    b = ["".join(rng.choice(["", c + "x", "q"]) if rng.random() < rng.choice([0.05, 0.5]) else c for c in t) + rng.choice(["", "zz"]) for t in a]
+    want = [edits(x, y) for x, y in zip(a, b)]
+    assert udfs.edit_distances(pa.array(a), pa.array(b)).tolist() == want
+    assert udfs.edit_distances(pa.array(a)[9:30], pa.array(b)[9:30]).tolist() == want[9:30]
+    every, twice = pa.array(a + b), 2 * len(a)
+    p, q = udfs.near_by_runs(every, every, 92, True)
+    found = set(zip(p.tolist(), q.tolist()))
+    pairs = [(i, j) for i in range(twice) for j in range(i + 1, twice)]
+    apart = udfs.edit_distances(*(every.take(pa.array(ends)) for ends in zip(*pairs)))
+    near = {(i, j) for (i, j), d in zip(pairs, apart) if 100 * d <= 8 * (len(every[i].as_py()) + len(every[j].as_py()))}
+    assert near <= found and len(found) < len(pairs) / 2
