@@ -69,33 +69,52 @@ class WordSplitter:
         return out
 
 
+class _Table(dict):
+    """Ids of words and of runs of words, made where one is asked for that isn't there."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, run: str) -> bytes:
+        return self.make(run)
+
+
 class WordEncoder:
-    """Ids of whole texts by the library's BPE model, one call per distinct word."""
+    """Ids of whole texts by the library's BPE model, one call per distinct word.
+
+    Words end at white space, which has no ids, so a plain text is looked up by what stands between white space, punctuation included;
+    only runs that aren't known are cut into words.
+    """
 
     def __init__(self, path: str, most_words: int = 500_000):
         self.tokenizer = load(path)
         self.splitter, self.model, self.most = WordSplitter(self.tokenizer), self.tokenizer.model, most_words
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known = _Table(self._run)
 
-    def _word(self, word: str) -> bytes:
-        ids = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(byte_letters(word))])
-        if len(word) <= _KEPT_WORD:
+    def _keep(self, run: str, ids: bytes) -> bytes:
+        if len(run) <= _KEPT_WORD:
             if len(self.known) >= self.most:
                 self.known.clear()
-            self.known[word] = ids
+            self.known[run] = ids
         return ids
 
+    def _word(self, word: str) -> bytes:
+        return self._keep(word, b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(byte_letters(word))]))
+
+    def _run(self, run: str) -> bytes:
+        words = self.splitter.plain(run)
+        if len(words) == 1:
+            return self._word(run)
+        known = self.known.get
+        return self._keep(run, b"".join([self._word(word) if (ids := known(word)) is None else ids for word in words]))
+
     def encode(self, text: bytes) -> bytes:
         string = text.decode()
         if not self.splitter.is_plain(string):
             return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, self.type).tobytes()
-        known, out = self.known, []
-        for word in self.splitter.plain(string):
-            ids = known.get(word)
-            out.append(self._word(word) if ids is None else ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, string.lower().split()))
 
 
 class RankEncoder:

@@ -1,6 +1,7 @@
 """Token files, BPE and packing against the tokenizers library and exact round trips."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -268,3 +269,16 @@ def test_neighbours_and_filling_equal_a_naive_packer():
     packing._fill(packer, ids, words, statistics)
     packer.finish()
     assert [p[0] for p in packer.pieces if p[1] == 0] == naive_order([len(x) for _, x in ids], index.neighbours, 128)
+
+
+def test_known_runs_between_white_space_are_not_cut_again(monkeypatch):
+    encoder = WordEncoder(WORD, most_words=60)
+    rng, parts = random.Random(4), ["it's", "''t", "'test", "We'll", "x1²y", "½", "Ünï", "ß", "\t", "\n", "\r", "a" * 60, "!?'s", "9", "ª«", "don't,", "  ", "-", "'LL", "\xad"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    for text in texts:
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text.encode()), encoder.type).tolist() == want and len(encoder.known) <= 60
+    text = b"Well, it's (almost) done: 12 runs, don't you think?"
+    ids, cut, plain = encoder.encode(text), [], encoder.splitter.plain
+    monkeypatch.setattr(encoder.splitter, "plain", lambda run: cut.append(run) or plain(run))
+    assert encoder.encode(text) == ids and not cut
