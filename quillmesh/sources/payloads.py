@@ -48,6 +48,11 @@ def _plain(**columns) -> list[Column]:
     return [strip(c if isinstance(c, Column) else F.col(c)).alias(name) for name, c in columns.items()]
 
 
+def _filled(**columns) -> list[Column]:
+    """As ``_plain``; what is blank is null, as what is missing."""
+    return [F.nullif(c, F.lit("")).alias(name) for name, c in zip(columns, _plain(**columns))]
+
+
 def payload_a(raw: DataFrame, query_id: str = "", label: str = "") -> DataFrame:
     """Flat entries; creators split at ";", keywords at "|"; entries with an error are dropped."""
     names = ("error", "dc:creator", "authkeywords", "prism:coverDate", "prism:doi", "eid", "dc:title", "dc:description", "prism:publicationName", "subtypeDescription", "prism:volume", "prism:issueIdentifier", "prism:pageRange", "dc:publisher")
@@ -65,7 +70,7 @@ def payload_b(raw: DataFrame, query_id: str = "", label: str = "") -> DataFrame:
     a = _items(raw, f"authors struct<authors: array<struct<full_name: string>>>, publication_year string, doi string, article_number string, index_terms {terms}, author_terms {terms}, controlled_terms {terms}, content_type string, title string, abstract string, publication_title string, volume string, issue string, start_page string, end_page string, publisher string")
     keywords = F.array_distinct(F.concat(*(_list(F.col(f"{k}.terms")) for k in ("index_terms", "author_terms", "controlled_terms"))))
     out = a.select(
-        *_plain(doi="doi", title="title", abstract="abstract", venue="publication_title", volume="volume", issue="issue", publisher="publisher"),
+        *_filled(doi="doi", title="title", abstract="abstract", venue="publication_title", volume="volume", issue="issue", publisher="publisher"),
         _list(F.col("authors.authors.full_name")).alias("authors"), keywords.alias("keywords"), F.col("publication_year").try_cast("int").alias("year"), _kind(F.col("content_type"), KINDS_B).alias("doc_type"), F.concat(F.lit(RECORD_B), F.nullif("article_number", F.lit(""))).alias("url"), pages(F.col("start_page"), F.col("end_page")).alias("pages"),
     )
     return as_papers(out, "ieee", query_id, label)

@@ -50,6 +50,11 @@ def test_articles(spark):
     assert r.url.endswith("/7")
 
 
+def test_articles_with_blank_fields(spark):
+    first, second = payloads.payload_b(rows(spark, {"title": " \n", "abstract": "", "publication_title": " ", "article_number": "1"}, {"article_number": "2"})).collect()
+    assert (first.title, first.abstract, first.venue) == (second.title, second.abstract, second.venue) == (None, None, None)
+
+
 def test_records_of_mixed_types(spark):
     first = {"creators": [{"creator": "A"}, "B"], "onlineDate": "2020-02-01", "identifier": "doi:10.1/x", "url": [{"value": "http://u"}], "subjects": [{"term": "k"}, "l"], "contentType": "Article", "startingPage": "1"}
     second = {"authors": ["C"], "publicationDate": "", "identifier": "10.2/y", "url": "http://v", "genre": "BookSection"}
