@@ -105,7 +105,7 @@ def payload_d(raw: DataFrame, query_id: str = "", label: str = "") -> DataFrame:
     keywords = F.array_distinct(F.concat(_list(F.col("keywords.authorKeywords")), _list(F.col("keywords.keywordsPlus"))))
     url = F.coalesce(blank_to_null(F.col("links.record")), F.concat(F.lit(RECORD_D), F.nullif("uid", F.lit(""))))
     out = h.select(
-        *_plain(doi="identifiers.doi", title="title.value", abstract="abstract.value", venue="source.sourceTitle", volume="source.volume", issue="source.issue", pages="source.pages.range"),
+        *_filled(doi="identifiers.doi", title="title.value", abstract="abstract.value", venue="source.sourceTitle", volume="source.volume", issue="source.issue", pages="source.pages.range"),
         _list(F.col("names.authors.displayName")).alias("authors"), keywords.alias("keywords"), F.col("source.publishYear").try_cast("int").alias("year"), _kind(F.get("types", F.lit(0)), KINDS_D).alias("doc_type"), url.alias("url"),
     )
     return as_papers(out, "wos", query_id, label)

@@ -72,6 +72,12 @@ def test_hits_and_works(spark):
     assert [(x.title, x.doi, x.abstract, x.doc_type, x.source_query_id) for x in r] == [("Event logs", "10.1/z", "our software", "article", "snowball_forward")]
 
 
+def test_hits_with_blank_fields(spark):
+    blank = {"title": {"value": " \n"}, "abstract": {"value": ""}, "source": {"sourceTitle": " "}, "identifiers": {"doi": ""}}
+    first, second = payloads.payload_d(rows(spark, blank, {"uid": "W:2"})).collect()
+    assert (first.title, first.abstract, first.venue, first.doi) == (second.title, second.abstract, second.venue, second.doi) == (None,) * 4
+
+
 def test_routes_and_log(spark, tmp_path):
     df = spark.createDataFrame([(1, True, None), (2, True, ["w"]), (3, False, None), (4, None, ["w"])], "id int, parsed boolean, warnings array<string>")
     assert {r.id: r.route for r in exports.routed(df).collect()} == {1: "good", 2: "review", 3: "error", 4: "error"}
