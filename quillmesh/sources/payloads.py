@@ -92,7 +92,7 @@ def payload_c(raw: DataFrame, query_id: str = "", label: str = "") -> DataFrame:
     by_name = F.when((F.coalesce(strip(F.col("doi")), F.lit("")) == "") & F.startswith(name, F.lit("doi:")), strip(F.substring(name, 5, 1 << 30))).when(F.contains(name, F.lit("/")), name)
     first_url = F.when(F.startswith("url", F.lit("[")), F.get(F.from_json("url", _NONE), F.lit(0))).otherwise(F.col("url"))
     out = r.select(
-        *_plain(doi=F.coalesce(by_name, F.col("doi")), title="title", abstract="abstract", venue=some("journalTitle", "publicationName"), volume="volume", issue="number", publisher="publisher"),
+        *_filled(doi=F.coalesce(by_name, F.col("doi")), title="title", abstract="abstract", venue=some("journalTitle", "publicationName"), volume="volume", issue="number", publisher="publisher"),
         _list(F.transform(many("creators", "authors"), lambda x: _either(x, "creator", "name", "author"))).alias("authors"), _list(F.transform(many("subjects", "keywords"), lambda x: _either(x, "term", "value"))).alias("keywords"),
         _year("publicationDate", "onlineDate", "coverDate", "printDate").alias("year"), _either(first_url, "value", "url").alias("url"), _kind(some("contentType", "genre", "type"), KINDS_C).alias("doc_type"), pages(F.col("startingPage"), F.col("endingPage")).alias("pages"),
     )

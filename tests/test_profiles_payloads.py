@@ -63,6 +63,11 @@ def test_records_of_mixed_types(spark):
     assert (b.doi, b.authors, b.year, b.url, b.keywords, b.doc_type) == ("10.2/y", ["C"], None, "http://v", [], "chapter")
 
 
+def test_records_with_blank_fields(spark):
+    first, second = payloads.payload_c(rows(spark, {"title": " \n", "abstract": "", "journalTitle": " ", "doi": " "}, {"url": "http://v"})).collect()
+    assert (first.title, first.abstract, first.venue, first.doi) == (second.title, second.abstract, second.venue, second.doi) == (None,) * 4
+
+
 def test_hits_and_works(spark):
     h = payloads.payload_d(rows(spark, {"uid": "W:1", "names": {"authors": [{"displayName": "D"}]}, "source": {"publishYear": 2001, "pages": {"range": "1-2"}}, "types": ["Review"], "title": {"value": "T"}, "keywords": {"authorKeywords": ["a"], "keywordsPlus": ["a", "b"]}})).first()
     assert (h.title, h.year, h.doc_type, h.keywords, h.pages) == ("T", 2001, "article", ["a", "b"], "1-2")
