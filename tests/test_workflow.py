@@ -82,6 +82,29 @@ def test_urls_by_title_equal_brute_force(spark, papers):
     assert got == want and got
 
 
+def test_urls_by_title_in_rounds(spark, papers, monkeypatch):
+    """The same links whatever the rounds are, ties of ``at`` and an unknown ``at`` included."""
+    offers = [(i // 3 if i else None, t, y, f"https://f.org/{i * 7 % 40}") for i, t, y in titles(40, 5)]
+    table = spark.createDataFrame(offers, "at long, title string, year int, url string")
+    want = {}
+    for r in papers.collect():
+        fits = lambda t, y: norm(r.title) and norm(t) and token_set(norm(r.title), norm(t)) >= 92 and not (r.year and y and abs(r.year - y) > 1)
+        if found := [(-1 if at is None else at, url) for at, t, y, url in offers if fits(t, y)]:
+            want[r.pos] = min(found)[1]
+    for first, more in ((4096, 8), (5, 3)):
+        monkeypatch.setattr(matching, "FIRST_LINKS", first)
+        monkeypatch.setattr(matching, "MORE_LINKS", more)
+        assert {r.pos: r.url for r in matching.url_by_title(papers, table).collect()} == want and len(want) > 30
+
+
+def test_titles_of_years_that_do_not_fit_do_not_meet(spark, monkeypatch):
+    met, plain = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df, name: (out := plain(df, name), name == "met-titles" and met.append(out.count()))[0])
+    table = spark.createDataFrame([(i, f"event logs of software teams {chr(97 + i % 26) * 2}", 1900 + 3 * i, f"https://f.org/{i}") for i in range(40)], "pos long, title string, year int, url string")
+    got = {r.pos: r.url for r in matching.url_by_title(table, table.withColumnRenamed("pos", "at")).collect()}
+    assert got == {i: f"https://f.org/{i}" for i in range(40)} and sum(met) == 0
+
+
 @pytest.mark.parametrize("block", [1000, 3])
 def test_known_items_equal_brute_force(spark, papers, monkeypatch, block):
     monkeypatch.setattr(matching, "CONTROL_BLOCK", block)
