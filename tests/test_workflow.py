@@ -62,6 +62,18 @@ def test_best_title_match_equals_brute_force(spark, papers):
     assert got == want and len({m for _, m in got.values()}) == 2
 
 
+def test_years_that_are_not_near_ask_more_of_a_pair(spark, monkeypatch):
+    """A ratio of 89.9, with three more for near years: the pair is accepted with these, and without them it is not even met."""
+    met, plain = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df, name: (out := plain(df, name), name == "met-titles" and met.append(out.count()))[0])
+    stems = "abandong calendop decoupls efferven flatbush gradunds hemloctu kaolinyp marvelom quetzaln".split()
+    asks = spark.createDataFrame([(1, " ".join(w + "r" for w in stems), 1990)], "pos long, title string, year int")
+    for year, want in ((2010, []), (1991, [(1, "title_fuzzy")])):
+        offers = spark.createDataFrame([("p", " ".join(w + "i" for w in stems), year, "text")], "provider string, title string, year int, text string")
+        assert [(r.pos, r.match_type) for r in matching.best_title_match(asks, offers).collect()] == want
+    assert met == [0, 1]
+
+
 def test_title_cascade_takes_the_first_source_that_accepts(spark, papers):
     offers = spark.createDataFrame([("b", "Process Mining of Software", 2019, "from b"), ("a", "process mining of software", 2019, "from a"), ("c", "Process mining of software", None, " ")], "provider string, title string, year int, text string")
     asks = spark.createDataFrame([(1, "Process mining of SOFTWARE!", 2019, None), (2, "Process mining of software", 2019, "own"), (3, "Something else", 2019, "")], "pos long, title string, year int, abstract string")
